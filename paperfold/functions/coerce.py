@@ -79,17 +79,23 @@ def boolean_text_sql(x: str) -> str:
     return f"CASE WHEN {word} IN ({true}) THEN 'true' WHEN {word} IN ({false}) THEN 'false' END"
 
 
-def _guarded(x: str, coerced: str) -> str:
+# Text the number rule would return unchanged; most cells are of this kind.
+_PLAIN_NUMBER = "^-?(0|[1-9][0-9]*)([.][0-9]+)?$"
+_PLAIN_INTEGER = "^(0|-?[1-9][0-9]*)$"
+
+
+def _guarded(x: str, coerced: str, plain: str | None = None) -> str:
     """Blank reads as NULL; a failed coercion keeps the raw text."""
-    return f"CASE WHEN {strip_sql(x)} <> '' THEN coalesce({coerced}, {x}) END"
+    shortcut = f"WHEN {x} RLIKE '{plain}' THEN {x} " if plain else ""
+    return f"CASE {shortcut}WHEN {x} RLIKE '[^{_SPACE[1:]}' THEN coalesce({coerced}, {x}) END"
 
 
 def coerce_number_sql(x: str, mode: str = "reference") -> str:
-    return _guarded(x, number_text_sql(x, mode))
+    return _guarded(x, number_text_sql(x, mode), _PLAIN_NUMBER)
 
 
 def coerce_integer_sql(x: str, mode: str = "reference") -> str:
-    return _guarded(x, integer_text_sql(x, mode))
+    return _guarded(x, integer_text_sql(x, mode), _PLAIN_INTEGER)
 
 
 def coerce_boolean_sql(x: str) -> str:

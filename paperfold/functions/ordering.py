@@ -1,47 +1,78 @@
 """Running computations that stay parallel when one key holds most rows.
 
-A plain window puts a whole key into one task. These helpers cut a key into
-slices along its order (`coarse`: a column that never decreases along
-`order_by`), work inside each slice, and add what the earlier slices of the key
-contribute. The second part touches one row per (key, slice) only, and the
-slices that need no correction drop out before the join.
+A plain window puts a whole key into one task, which is right for ordinary keys
+and fatal for a hot one. Keys are counted first (combined before the shuffle).
+Ordinary keys take the plain window. A hot key is cut into slices along its
+order (`coarse`: a column that never decreases along `order_by`), worked inside
+each slice, and corrected by what its earlier slices contribute, one row per
+(key, slice). Without hot keys, adaptive execution drops that branch unread.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+# A key with more rows than this is hot.
+HOT_ROWS = 1_000_000
+
 _SLICE = "__slice"
 
 
-def _earlier(slices: DataFrame, keys: list[str], value: Column, name: str) -> DataFrame:
-    """Per (key, slice): `value` over the key's earlier slices, where there are any."""
-    before = W.partitionBy(*keys).orderBy(_SLICE).rowsBetween(W.unboundedPreceding, -1)
-    return (
-        slices.withColumn(name, value.over(before))
-        .filter(F.col(name).isNotNull())
-        .select(*keys, _SLICE, name)
-    )
+def hot_keys(df: DataFrame, keys: list[str], rows: int = HOT_ROWS) -> DataFrame:
+    """The keys with more than `rows` rows: at most (all rows / `rows`) of them."""
+    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    return counted.filter(F.col("__n") > rows).select(*keys)
+
+
+def split_hot(
+    df: DataFrame,
+    keys: list[str],
+    hot: DataFrame,
+    ordinary: Callable[[DataFrame], DataFrame],
+    spread: Callable[[DataFrame], DataFrame],
+) -> DataFrame:
+    """`ordinary` on the rows of ordinary keys, `spread` on those of hot keys."""
+    # Safe to broadcast: `hot_keys` bounds it at one key per HOT_ROWS rows.
+    few = F.broadcast(hot)
+    return ordinary(df.join(few, keys, "left_anti")).unionByName(spread(df.join(few, keys, "left_semi")))
 
 
 def ordered_index(
-    df: DataFrame, keys: list[str], order_by: list, coarse: Column, name: str = "row_index"
+    df: DataFrame,
+    keys: list[str],
+    order_by: list,
+    coarse: Column,
+    name: str = "row_index",
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """0-based position of each row within its key."""
     part = [*keys, _SLICE]
-    sliced = df.withColumn(_SLICE, coarse)
-    local = sliced.withColumn(name, F.row_number().over(W.partitionBy(*part).orderBy(*order_by)) - 1)
-    sizes = sliced.groupBy(*part).agg(F.count(F.lit(1)).alias("__n"))
-    offsets = _earlier(sizes, keys, F.sum("__n"), "__before")
-    return (
-        local.join(offsets, part, "left")
-        .withColumn(name, (F.col(name) + F.coalesce(F.col("__before"), F.lit(0))).cast("int"))
-        .drop(_SLICE, "__before")
-    )
+
+    def ordinary(rows: DataFrame) -> DataFrame:
+        position = F.row_number().over(W.partitionBy(*keys).orderBy(*order_by)) - 1
+        return rows.withColumn(name, position.cast("bigint"))
+
+    def spread(rows: DataFrame) -> DataFrame:
+        sliced = rows.withColumn(_SLICE, coarse)
+        local = F.row_number().over(W.partitionBy(*part).orderBy(*order_by)) - 1
+        before = W.partitionBy(*keys).orderBy(_SLICE).rowsBetween(W.unboundedPreceding, -1)
+        offsets = (
+            sliced.groupBy(*part)
+            .agg(F.count(F.lit(1)).alias("__n"))
+            .select(*part, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+        )
+        return (
+            sliced.withColumn(name, local)
+            .join(offsets, part)
+            .withColumn(name, (F.col(name) + F.col("__before")).cast("bigint"))
+            .drop(_SLICE, "__before")
+        )
+
+    return split_hot(df, keys, hot if hot is not None else hot_keys(df, keys), ordinary, spread)
 
 
 def running(
@@ -51,46 +82,63 @@ def running(
     coarse: Column,
     sums: dict[str, Column] | None = None,
     maxima: dict[str, Column] | None = None,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Adds inclusive running sums and maxima along the order of each key."""
     sums, maxima = sums or {}, maxima or {}
     part = [*keys, _SLICE]
-    source = {n: f"__in_{n}" for n in [*sums, *maxima]}
-    sliced = df.withColumn(_SLICE, coarse).withColumns(
-        {source[n]: c for n, c in [*sums.items(), *maxima.items()]}
-    )
-    so_far = W.partitionBy(*part).orderBy(*order_by).rowsBetween(W.unboundedPreceding, 0)
-    fold = {**{n: F.sum for n in sums}, **{n: F.max for n in maxima}}
-    local = sliced.withColumns({n: fold[n](source[n]).over(so_far) for n in source})
-    totals = sliced.groupBy(*part).agg(*[fold[n](source[n]).alias(source[n]) for n in source])
-    before = W.partitionBy(*keys).orderBy(_SLICE).rowsBetween(W.unboundedPreceding, -1)
-    carried = totals.withColumns({f"__pre_{n}": fold[n](source[n]).over(before) for n in source})
-    some = reduce(lambda a, b: a | b, [F.col(f"__pre_{n}").isNotNull() for n in source])
-    carried = carried.filter(some).select(*part, *[f"__pre_{n}" for n in source])
-    out = local.join(carried, part, "left")
-    merged = {n: F.coalesce(F.col(n) + F.col(f"__pre_{n}"), F.col(n), F.col(f"__pre_{n}")) for n in sums}
-    merged |= {n: F.greatest(F.col(n), F.col(f"__pre_{n}")) for n in maxima}
-    drop = [_SLICE, *source.values(), *[f"__pre_{n}" for n in source]]
-    return out.withColumns(merged).drop(*drop)
+    values = {**sums, **maxima}
+    fold = {**dict.fromkeys(sums, F.sum), **dict.fromkeys(maxima, F.max)}
+
+    def ordinary(rows: DataFrame) -> DataFrame:
+        so_far = W.partitionBy(*keys).orderBy(*order_by).rowsBetween(W.unboundedPreceding, 0)
+        return rows.withColumns({n: fold[n](c).over(so_far) for n, c in values.items()})
+
+    def spread(rows: DataFrame) -> DataFrame:
+        sliced = rows.withColumns({_SLICE: coarse, **{f"__in_{n}": c for n, c in values.items()}})
+        so_far = W.partitionBy(*part).orderBy(*order_by).rowsBetween(W.unboundedPreceding, 0)
+        local = sliced.withColumns({n: fold[n](f"__in_{n}").over(so_far) for n in values})
+        before = W.partitionBy(*keys).orderBy(_SLICE).rowsBetween(W.unboundedPreceding, -1)
+        totals = sliced.groupBy(*part).agg(*[fold[n](f"__in_{n}").alias(f"__in_{n}") for n in values])
+        carried = totals.select(*part, *[fold[n](f"__in_{n}").over(before).alias(f"__pre_{n}") for n in values])
+        merged = {
+            n: F.coalesce(F.col(n) + F.col(f"__pre_{n}"), F.col(n), F.col(f"__pre_{n}"))
+            if n in sums
+            else F.greatest(F.col(n), F.col(f"__pre_{n}"))
+            for n in values
+        }
+        scratch = [_SLICE, *[f"__in_{n}" for n in values], *[f"__pre_{n}" for n in values]]
+        return local.join(carried, part).withColumns(merged).drop(*scratch)
+
+    return split_hot(df, keys, hot if hot is not None else hot_keys(df, keys), ordinary, spread)
 
 
 def previous(
-    df: DataFrame, keys: list[str], order_by: list[str], coarse: Column, columns: list[str], name: str
+    df: DataFrame,
+    keys: list[str],
+    order_by: list[str],
+    coarse: Column,
+    columns: list[str],
+    name: str,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Adds struct `name` with `columns` of the row just before, NULL on the first."""
     part = [*keys, _SLICE]
-    sliced = df.withColumn(_SLICE, coarse)
     row = F.struct(*columns)
-    local = sliced.withColumn(name, F.lag(row).over(W.partitionBy(*part).orderBy(*order_by)))
-    last = sliced.groupBy(*part).agg(F.max_by(row, F.struct(*order_by)).alias("__last"))
-    at = W.partitionBy(*keys).orderBy(_SLICE)
-    carried = (
-        last.withColumn("__carry", F.lag("__last").over(at))
-        .filter(F.col("__carry").isNotNull())
-        .select(*part, "__carry")
-    )
-    return (
-        local.join(carried, part, "left")
-        .withColumn(name, F.coalesce(F.col(name), F.col("__carry")))
-        .drop(_SLICE, "__carry")
-    )
+
+    def ordinary(rows: DataFrame) -> DataFrame:
+        return rows.withColumn(name, F.lag(row).over(W.partitionBy(*keys).orderBy(*order_by)))
+
+    def spread(rows: DataFrame) -> DataFrame:
+        sliced = rows.withColumn(_SLICE, coarse)
+        last = sliced.groupBy(*part).agg(F.max_by(row, F.struct(*order_by)).alias("__last"))
+        at = W.partitionBy(*keys).orderBy(_SLICE)
+        carried = last.select(*part, F.lag("__last").over(at).alias("__carry"))
+        return (
+            sliced.withColumn(name, F.lag(row).over(W.partitionBy(*part).orderBy(*order_by)))
+            .join(carried, part)
+            .withColumn(name, F.coalesce(F.col(name), F.col("__carry")))
+            .drop(_SLICE, "__carry")
+        )
+
+    return split_hot(df, keys, hot if hot is not None else hot_keys(df, keys), ordinary, spread)

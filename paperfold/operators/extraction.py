@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperfold.functions.coerce import coerce_value_sql
-from paperfold.functions.ordering import ordered_index, previous, running
+from paperfold.functions.ordering import hot_keys, ordered_index, previous, running
 from paperfold.operators.lineage import field_scope
 
 MAX_EXTRACT_CHARS = 40_000
@@ -183,35 +183,35 @@ def concat_chunk_rows(rows: DataFrame) -> DataFrame:
     ).drop("chunk_no", "pos")
 
 
-def flatten(header: DataFrame, rows: DataFrame, slice_rows: int = ROW_SLICE) -> DataFrame:
+def flatten(header: DataFrame, rows: DataFrame, hot: DataFrame | None = None, slice_rows: int = ROW_SLICE) -> DataFrame:
     """Header values on every row; a document without rows keeps one record.
 
     header: document_id, values, confidence (one per document)
     rows:   document_id, row_index, values, confidence
-    A row value wins over a header value of the same name. The header is
-    repeated once per slice of a document's rows, so the join key of a document
-    with very many rows is spread over tasks.
+    A row value wins over a header value of the same name. For a document with
+    very many rows (`hot`, see `hot_keys`) the header is repeated once per slice
+    of its rows, so its rows spread over tasks.
     """
-    cut = F.floor(F.col("row_index") / slice_rows)
-    sliced = rows.withColumn("__slice", cut)
-    slices = sliced.select("document_id", "__slice").distinct()
-    spread = header.join(slices, "document_id", "left").withColumn(
-        "__slice", F.coalesce("__slice", F.lit(-1).cast("bigint"))
-    )
-    lines = sliced.select(
+    key = ["document_id"]
+    few = F.broadcast(hot if hot is not None else hot_keys(rows, key))
+    lines = rows.select(
         "document_id",
-        "__slice",
         "row_index",
         F.col("values").alias("__values"),
         F.col("confidence").alias("__confidence"),
     )
-    joined = spread.join(lines, ["document_id", "__slice"], "left")
+    # Both sides are data-sized: join by shuffle, which per-document work after it reuses.
+    cold_lines = lines.join(few, key, "left_anti").hint("merge")
+    ordinary = header.join(few, key, "left_anti").join(cold_lines, key, "left")
+    sliced = lines.join(few, key, "left_semi").withColumn("__slice", F.floor(F.col("row_index") / slice_rows))
+    slices = sliced.select("document_id", "__slice").distinct()
+    spread = header.join(slices, key).join(sliced, ["document_id", "__slice"]).drop("__slice")
 
     def over(base: str, top: str) -> Column:
         return F.when(F.col(top).isNull(), F.col(base)).otherwise(F.map_concat(base, top))
 
     extra = [c for c in header.columns if c not in ("document_id", "values", "confidence")]
-    return joined.select(
+    return ordinary.unionByName(spread).select(
         "document_id",
         *extra,
         F.coalesce("row_index", F.lit(0)).alias("row_index"),

@@ -11,7 +11,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperfold.functions.ordering import ordered_index
+from paperfold.functions.ordering import hot_keys, ordered_index
 from paperfold.operators import extraction, lineage
 from paperfold.plans.registry import Tables
 
@@ -56,20 +56,27 @@ TOTAL, ORDER_DATE, STATUS, PRIORITY, CUSTOMER, AMOUNT, QUANTITY, SHIP_DATE, POIN
 
 
 def order_fields(t: Tables) -> DataFrame:
-    rows = [(ORDER_SCHEMA, v, p, n, ty, d, False, c, s) for v, p, n, ty, d, c, s in _ORDER_FIELDS]
-    return t.spark.createDataFrame(
-        rows,
-        "schema_id string, version int, pos int, name string, type string, description string,"
-        " required boolean, column string, scope string",
+    rows = ", ".join(
+        f"('{ORDER_SCHEMA}', {v}, {p}, '{n}', '{ty}', '{d}', false, '{c}', '{s}')" for v, p, n, ty, d, c, s in _ORDER_FIELDS
+    )
+    return t.spark.sql(
+        f"SELECT * FROM VALUES {rows} AS f(schema_id, version, pos, name, type, description, required, column, scope)"
     )
 
 
 def order_versions(t: Tables) -> DataFrame:
-    return t.spark.createDataFrame([(ORDER_SCHEMA, v) for v in (1, 2, 3)], "schema_id string, version int")
+    return order_fields(t).select("schema_id", "version").distinct()
+
+
+_SPECS: dict[str, list[lineage.FieldSpec]] = {}
 
 
 def order_specs(t: Tables) -> list[lineage.FieldSpec]:
-    return lineage.lineage_specs(order_fields(t), order_versions(t), ORDER_SCHEMA)
+    """Specs change only with a schema edit, so one Spark application derives them once."""
+    app = t.spark.sparkContext.applicationId
+    if app not in _SPECS:
+        _SPECS[app] = lineage.lineage_specs(order_fields(t), order_versions(t), ORDER_SCHEMA)
+    return _SPECS[app]
 
 
 def order_headers(t: Tables) -> DataFrame:
@@ -90,17 +97,22 @@ def order_headers(t: Tables) -> DataFrame:
     )
 
 
+def hot_orders(t: Tables) -> DataFrame:
+    return hot_keys(t.lineitem.select(F.col("l_orderkey").alias("document_id")), ["document_id"])
+
+
 def order_lines(t: Tables) -> DataFrame:
     """document_id, row_index, values, confidence of the repeating rows."""
     indexed = ordered_index(
-        t.lineitem,
-        ["l_orderkey"],
+        t.lineitem.withColumnRenamed("l_orderkey", "document_id"),
+        ["document_id"],
         ["l_linenumber", "l_partkey", "l_suppkey", "l_shipdate"],
-        F.floor(F.col("l_linenumber") / 1000),
+        F.struct("l_linenumber", F.floor(F.col("l_partkey") / 1000).alias("p")),
+        hot=hot_orders(t),
     )
     return indexed.selectExpr(
-        "l_orderkey AS document_id",
-        "row_index",
+        "document_id",
+        "CAST(row_index AS INT) AS row_index",
         """map('Line Amount', format_number(l_extendedprice, 2), 'Quantity', CAST(l_quantity AS STRING),
                'Ship Date', CAST(CAST(l_shipdate AS DATE) AS STRING)) AS values""",
         """map('Line Amount', (l_partkey % 100) / 100D, 'Quantity', (l_partkey % 100) / 100D,
@@ -110,7 +122,7 @@ def order_lines(t: Tables) -> DataFrame:
 
 def order_staged(t: Tables) -> DataFrame:
     """Flattened payloads: document_id, schema_version_id, created_at, row_index, data, data_confidence."""
-    return extraction.flatten(order_headers(t), order_lines(t))
+    return extraction.flatten(order_headers(t), order_lines(t), hot_orders(t))
 
 
 def order_records(t: Tables) -> DataFrame:
