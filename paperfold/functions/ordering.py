@@ -41,104 +41,101 @@ def split_hot(
     return ordinary(df.join(few, keys, "left_anti")).unionByName(spread(df.join(few, keys, "left_semi")))
 
 
-def ordered_index(
-    df: DataFrame,
-    keys: list[str],
-    order_by: list,
-    coarse: Column,
-    name: str = "row_index",
-    hot: DataFrame | None = None,
+def index_within(
+    df: DataFrame, keys: list[str], order_by: list, name: str, coarse: Column | None = None
 ) -> DataFrame:
-    """0-based position of each row within its key."""
-    part = [*keys, _SLICE]
-
-    def ordinary(rows: DataFrame) -> DataFrame:
+    """0-based position within the key; over slices when `coarse` is given."""
+    if coarse is None:
         position = F.row_number().over(W.partitionBy(*keys).orderBy(*order_by)) - 1
-        return rows.withColumn(name, position.cast("bigint"))
-
-    def spread(rows: DataFrame) -> DataFrame:
-        sliced = rows.withColumn(_SLICE, coarse)
-        local = F.row_number().over(W.partitionBy(*part).orderBy(*order_by)) - 1
-        before = W.partitionBy(*keys).orderBy(_SLICE).rowsBetween(W.unboundedPreceding, -1)
-        offsets = (
-            sliced.groupBy(*part)
-            .agg(F.count(F.lit(1)).alias("__n"))
-            .select(*part, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-        )
-        return (
-            sliced.withColumn(name, local)
-            .join(offsets, part)
-            .withColumn(name, (F.col(name) + F.col("__before")).cast("bigint"))
-            .drop(_SLICE, "__before")
-        )
-
-    return split_hot(df, keys, hot if hot is not None else hot_keys(df, keys), ordinary, spread)
-
-
-def running(
+        return df.withColumn(name, position.cast("bigint"))
+    part = [*keys, _SLICE]
+    sliced = df.withColumn(_SLICE, coarse)
+    local = F.row_number().over(W.partitionBy(*part).orderBy(*order_by)) - 1
+    before = W.partitionBy(*keys).orderBy(_SLICE).rowsBetween(W.unboundedPreceding, -1)
+    offsets = (
+        sliced.groupBy(*part)
+        .agg(F.count(F.lit(1)).alias("__n"))
+        .select(*part, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    )
+    return (
+        sliced.withColumn(name, local)
+        .join(offsets, part)
+        .withColumn(name, (F.col(name) + F.col("__before")).cast("bigint"))
+        .drop(_SLICE, "__before")
+    )
+
+
+def running_within(
     df: DataFrame,
     keys: list[str],
     order_by: list,
-    coarse: Column,
     sums: dict[str, Column] | None = None,
     maxima: dict[str, Column] | None = None,
-    hot: DataFrame | None = None,
+    coarse: Column | None = None,
 ) -> DataFrame:
-    """Adds inclusive running sums and maxima along the order of each key."""
+    """Inclusive running sums and maxima along the key; over slices with `coarse`."""
     sums, maxima = sums or {}, maxima or {}
-    part = [*keys, _SLICE]
     values = {**sums, **maxima}
     fold = {**dict.fromkeys(sums, F.sum), **dict.fromkeys(maxima, F.max)}
-
-    def ordinary(rows: DataFrame) -> DataFrame:
+    if coarse is None:
         so_far = W.partitionBy(*keys).orderBy(*order_by).rowsBetween(W.unboundedPreceding, 0)
-        return rows.withColumns({n: fold[n](c).over(so_far) for n, c in values.items()})
-
-    def spread(rows: DataFrame) -> DataFrame:
-        sliced = rows.withColumns({_SLICE: coarse, **{f"__in_{n}": c for n, c in values.items()}})
-        so_far = W.partitionBy(*part).orderBy(*order_by).rowsBetween(W.unboundedPreceding, 0)
-        local = sliced.withColumns({n: fold[n](f"__in_{n}").over(so_far) for n in values})
-        before = W.partitionBy(*keys).orderBy(_SLICE).rowsBetween(W.unboundedPreceding, -1)
-        totals = sliced.groupBy(*part).agg(*[fold[n](f"__in_{n}").alias(f"__in_{n}") for n in values])
-        carried = totals.select(*part, *[fold[n](f"__in_{n}").over(before).alias(f"__pre_{n}") for n in values])
-        merged = {
-            n: F.coalesce(F.col(n) + F.col(f"__pre_{n}"), F.col(n), F.col(f"__pre_{n}"))
-            if n in sums
-            else F.greatest(F.col(n), F.col(f"__pre_{n}"))
-            for n in values
-        }
-        scratch = [_SLICE, *[f"__in_{n}" for n in values], *[f"__pre_{n}" for n in values]]
-        return local.join(carried, part).withColumns(merged).drop(*scratch)
-
-    return split_hot(df, keys, hot if hot is not None else hot_keys(df, keys), ordinary, spread)
-
-
-def previous(
+        return df.withColumns({n: fold[n](c).over(so_far) for n, c in values.items()})
+    part = [*keys, _SLICE]
+    sliced = df.withColumns({_SLICE: coarse, **{f"__in_{n}": c for n, c in values.items()}})
+    so_far = W.partitionBy(*part).orderBy(*order_by).rowsBetween(W.unboundedPreceding, 0)
+    local = sliced.withColumns({n: fold[n](f"__in_{n}").over(so_far) for n in values})
+    before = W.partitionBy(*keys).orderBy(_SLICE).rowsBetween(W.unboundedPreceding, -1)
+    totals = sliced.groupBy(*part).agg(*[fold[n](f"__in_{n}").alias(f"__in_{n}") for n in values])
+    carried = totals.select(*part, *[fold[n](f"__in_{n}").over(before).alias(f"__pre_{n}") for n in values])
+    merged = {
+        n: F.coalesce(F.col(n) + F.col(f"__pre_{n}"), F.col(n), F.col(f"__pre_{n}"))
+        if n in sums
+        else F.greatest(F.col(n), F.col(f"__pre_{n}"))
+        for n in values
+    }
+    scratch = [_SLICE, *[f"__in_{n}" for n in values], *[f"__pre_{n}" for n in values]]
+    return local.join(carried, part).withColumns(merged).drop(*scratch)
+
+
+def previous_within(
+    df: DataFrame, keys: list[str], order_by: list[str], columns: list[str], name: str, coarse: Column | None = None
+) -> DataFrame:
+    """Struct `name` with `columns` of the row just before, NULL on the first."""
+    row = F.struct(*columns)
+    if coarse is None:
+        return df.withColumn(name, F.lag(row).over(W.partitionBy(*keys).orderBy(*order_by)))
+    part = [*keys, _SLICE]
+    sliced = df.withColumn(_SLICE, coarse)
+    last = sliced.groupBy(*part).agg(F.max_by(row, F.struct(*order_by)).alias("__last"))
+    at = W.partitionBy(*keys).orderBy(_SLICE)
+    carried = last.select(*part, F.lag("__last").over(at).alias("__carry"))
+    return (
+        sliced.withColumn(name, F.lag(row).over(W.partitionBy(*part).orderBy(*order_by)))
+        .join(carried, part)
+        .withColumn(name, F.coalesce(F.col(name), F.col("__carry")))
+        .drop(_SLICE, "__carry")
+    )
+
+
+def along(
     df: DataFrame,
     keys: list[str],
-    order_by: list[str],
     coarse: Column,
-    columns: list[str],
-    name: str,
+    work: Callable[[DataFrame, Column | None], DataFrame],
     hot: DataFrame | None = None,
 ) -> DataFrame:
-    """Adds struct `name` with `columns` of the row just before, NULL on the first."""
-    part = [*keys, _SLICE]
-    row = F.struct(*columns)
+    """Runs `work(rows, None)` on ordinary keys and `work(rows, coarse)` on hot ones."""
+    found = hot if hot is not None else hot_keys(df, keys)
+    return split_hot(df, keys, found, lambda rows: work(rows, None), lambda rows: work(rows, coarse))
+
 
-    def ordinary(rows: DataFrame) -> DataFrame:
-        return rows.withColumn(name, F.lag(row).over(W.partitionBy(*keys).orderBy(*order_by)))
-
-    def spread(rows: DataFrame) -> DataFrame:
-        sliced = rows.withColumn(_SLICE, coarse)
-        last = sliced.groupBy(*part).agg(F.max_by(row, F.struct(*order_by)).alias("__last"))
-        at = W.partitionBy(*keys).orderBy(_SLICE)
-        carried = last.select(*part, F.lag("__last").over(at).alias("__carry"))
-        return (
-            sliced.withColumn(name, F.lag(row).over(W.partitionBy(*part).orderBy(*order_by)))
-            .join(carried, part)
-            .withColumn(name, F.coalesce(F.col(name), F.col("__carry")))
-            .drop(_SLICE, "__carry")
-        )
-
-    return split_hot(df, keys, hot if hot is not None else hot_keys(df, keys), ordinary, spread)
+def ordered_index(
+    df: DataFrame,
+    keys: list[str],
+    order_by: list,
+    coarse: Column,
+    name: str = "row_index",
+    hot: DataFrame | None = None,
+) -> DataFrame:
+    """0-based position of each row within its key."""
+    return along(df, keys, coarse, lambda rows, cut: index_within(rows, keys, order_by, name, cut), hot)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperfold.functions.coerce import coerce_value_sql
-from paperfold.functions.ordering import hot_keys, ordered_index, previous, running
+from paperfold.functions.ordering import along, hot_keys, ordered_index, previous_within, running_within
 from paperfold.operators.lineage import field_scope
 
 MAX_EXTRACT_CHARS = 40_000
@@ -159,11 +159,14 @@ def merge_header_chunks(cells: DataFrame) -> DataFrame:
     last run. No score counts as 0.
     """
     keys = ["document_id", "field"]
-    slices = F.floor(F.col("chunk_no") / 1024)
     seen = cells.filter("value IS NOT NULL").withColumn("confidence", F.coalesce("confidence", F.lit(0.0)))
-    with_last = previous(seen, keys, ["chunk_no"], slices, ["value"], "__last")
     starts = F.col("__last").isNull() | (F.col("__last.value") == F.col("value"))
-    runs = running(with_last, keys, ["chunk_no"], slices, sums={"__run": starts.cast("int")})
+
+    def number_runs(rows: DataFrame, cut: Column | None) -> DataFrame:
+        with_last = previous_within(rows, keys, ["chunk_no"], ["value"], "__last", cut)
+        return running_within(with_last, keys, ["chunk_no"], sums={"__run": starts.cast("int")}, coarse=cut)
+
+    runs = along(seen, keys, F.floor(F.col("chunk_no") / 1024), number_runs)
     per_run = runs.groupBy(*keys, "__run").agg(
         F.min("confidence").alias("confidence"), F.max_by("value", "chunk_no").alias("value")
     )

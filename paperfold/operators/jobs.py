@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from paperfold.functions.ordering import previous, running
+from paperfold.functions.ordering import along, previous_within, running_within
 from paperfold.operators.browse import TERMINAL
 
 RETRY_LIMIT = 3
@@ -28,7 +28,13 @@ def status_changes(updates: DataFrame, watched: list[str], order: list[str]) ->
     The feed of a job ends with its first terminal status. A job with very many
     updates is cut by day.
     """
-    before = previous(updates, ["job_id"], order, day_slice(), [*watched, "status"], "__before")
+    keys = ["job_id"]
+    before = along(
+        updates,
+        keys,
+        day_slice(),
+        lambda rows, cut: previous_within(rows, keys, order, watched, "__before", cut),
+    )
     changed = F.col("__before").isNull()
     for column in watched:
         changed = changed | ~F.col(column).eqNullSafe(F.col(f"__before.{column}"))
@@ -53,9 +59,9 @@ def request_rate(requests: DataFrame, seconds: int, limit: int, margin: float =
     """Requests of the same key in the trailing window, open at exactly `seconds`.
 
     requests: key, ts, request_id. capacity = max(1, int(limit * margin)).
-    Counted as (running total) - (running total `seconds` earlier) per time
-    slice: each slice also sees the copies of the one before it, so a key with
-    most requests still spreads over slices.
+    Counted per time slice as wide as the window; each slice also sees the
+    requests of the one before it, so a key with most requests spreads over
+    its slices.
     """
     capacity = max(1, int(limit * margin))
     width = seconds * 1_000_000
@@ -82,14 +88,14 @@ def retry_state(updates: DataFrame, limited: Column, order: list[str]) -> DataFr
     of limited runs minus its value at the last reset.
     """
     flagged = updates.withColumn("__limited", limited.cast("int"))
-    counted = running(flagged, ["job_id"], order, day_slice(), sums={"__total": F.col("__limited")})
-    based = running(
-        counted,
-        ["job_id"],
-        order,
-        day_slice(),
-        maxima={"__base": F.when(F.col("__limited") == 0, F.col("__total"))},
-    )
+    keys = ["job_id"]
+    reset = F.when(F.col("__limited") == 0, F.col("__total"))
+
+    def count(rows: DataFrame, cut: Column | None) -> DataFrame:
+        counted = running_within(rows, keys, order, sums={"__total": F.col("__limited")}, coarse=cut)
+        return running_within(counted, keys, order, maxima={"__base": reset}, coarse=cut)
+
+    based = along(flagged, keys, day_slice(), count)
     attempts = F.when(F.col("__limited") == 1, F.col("__total") - F.coalesce("__base", F.lit(0))).otherwise(0)
     hit = F.col("attempts") > 0
     return (

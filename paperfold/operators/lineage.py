@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from paperfold.functions.ordering import running
+from paperfold.functions.ordering import along, running_within
 from paperfold.functions.text import view_name_sql
 
 KEY_PATTERN = "^f_[0-9a-f]{8}$"
@@ -77,13 +77,12 @@ def backfill_keys(fields: DataFrame) -> DataFrame:
     earlier in the lineage, else one minted for the name.
     """
     own = F.when(valid_key(), F.struct("version", "pos", "column"))
-    carried = running(
-        fields,
-        ["schema_id", "name"],
-        ["version", "pos"],
-        F.floor(F.col("version") / 256),
-        maxima={"__carried": own},
-    )
+    keys = ["schema_id", "name"]
+
+    def carry(rows: DataFrame, cut: Column | None) -> DataFrame:
+        return running_within(rows, keys, ["version", "pos"], maxima={"__carried": own}, coarse=cut)
+
+    carried = along(fields, keys, F.floor(F.col("version") / 256), carry)
     minted = mint_keys(
         carried.filter("__carried IS NULL"), fields.filter(valid_key())
     )

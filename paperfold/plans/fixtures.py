@@ -101,18 +101,22 @@ def hot_orders(t: Tables) -> DataFrame:
     return hot_keys(t.lineitem.select(F.col("l_orderkey").alias("document_id")), ["document_id"])
 
 
-def order_lines(t: Tables) -> DataFrame:
-    """document_id, row_index, values, confidence of the repeating rows."""
-    indexed = ordered_index(
+def order_lines_raw(t: Tables) -> DataFrame:
+    """Line items with document_id and row_index."""
+    return ordered_index(
         t.lineitem.withColumnRenamed("l_orderkey", "document_id"),
         ["document_id"],
         ["l_linenumber", "l_partkey", "l_suppkey", "l_shipdate"],
         F.struct("l_linenumber", F.floor(F.col("l_partkey") / 1000).alias("p")),
         hot=hot_orders(t),
-    )
-    return indexed.selectExpr(
+    ).withColumn("row_index", F.col("row_index").cast("int"))
+
+
+def order_lines(t: Tables) -> DataFrame:
+    """document_id, row_index, values, confidence of the repeating rows."""
+    return order_lines_raw(t).selectExpr(
         "document_id",
-        "CAST(row_index AS INT) AS row_index",
+        "row_index",
         """map('Line Amount', format_number(l_extendedprice, 2), 'Quantity', CAST(l_quantity AS STRING),
                'Ship Date', CAST(CAST(l_shipdate AS DATE) AS STRING)) AS values""",
         """map('Line Amount', (l_partkey % 100) / 100D, 'Quantity', (l_partkey % 100) / 100D,
