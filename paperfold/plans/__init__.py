@@ -1,6 +1,6 @@
 """Ready-made queries over the test tables, each with its SQL twin."""
 
-from paperfold.plans import extractions, lineages, reviews, views  # noqa: F401
+from paperfold.plans import chats, extractions, jobs, lineages, reviews, sources, views  # noqa: F401
 from paperfold.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

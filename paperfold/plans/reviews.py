@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from paperfold.operators import confirm, dedup, extraction, review
 from paperfold.plans import fixtures as fx
 from paperfold.plans.registry import Tables, query
+from paperfold.session import as_table
 
 IDENTITY = ["Customer", "Priority", "Status"]
 
@@ -66,8 +67,8 @@ def _identity_columns(t: Tables, *columns: str):
     return t.spark.sql(f"SELECT * FROM VALUES {rows} AS c(schema_id, column, ord)")
 
 
-def _matches(t: Tables):
-    live = dedup.record_identities(_live(t), fx.order_fields(t), _identity_columns(t, fx.CUSTOMER, fx.PRIORITY))
+def _matches(t: Tables, live):
+    live = dedup.record_identities(live, fx.order_fields(t), _identity_columns(t, fx.CUSTOMER, fx.PRIORITY))
     return dedup.dedup_match(_staged_identities(t), live)
 
 
@@ -79,7 +80,7 @@ _MATCHES = f"""{fx.R1}, live AS (SELECT *, document_id || '-' || row_index AS id
 
 @query("dedup_matches", f"WITH {_MATCHES} SELECT * FROM matches")
 def dedup_matches(t):
-    return _matches(t).select("document_id", "matched_record_id")
+    return _matches(t, _live(t)).select("document_id", "matched_record_id")
 
 
 @query(
@@ -92,7 +93,8 @@ def dedup_matches(t):
 )
 def dedup_banners(t):
     shown = _identity_columns(t, fx.CUSTOMER, fx.TOTAL, fx.POINTS)
-    return dedup.dedup_banner(_matches(t), _live(t), fx.order_fields(t), shown)
+    live = as_table(_live(t), "live")
+    return dedup.dedup_banner(_matches(t, live), live, fx.order_fields(t), shown)
 
 
 @query(
@@ -307,7 +309,7 @@ def backfill_replaced(t):
         F.lit(2),
         F.lit("2024-02-01").cast("timestamp"),
     )
-    state = confirm.backfill_replace(_simple_records(t), fresh)
+    state = confirm.backfill_replace(as_table(_simple_records(t), "records"), fresh)
     return state.select("document_id", "row_index", "schema_version_id", "is_duplicate_of")
 
 
@@ -328,7 +330,7 @@ def backfill_replaced(t):
 )
 def dedup_applied(t):
     statuses = t.orders.select(F.col("o_orderkey").alias("document_id"), "o_orderstatus")
-    everything = _confirmed_records(t).join(statuses, "document_id")
+    everything = as_table(_confirmed_records(t).join(statuses, "document_id"), "records")
     live = everything.filter("o_orderstatus <> 'O'").drop("o_orderstatus")
     old = statuses.filter("o_orderstatus <> 'O'").selectExpr("document_id + 1 AS document_id")
     decisions = statuses.filter("o_orderstatus = 'O'").join(old, "document_id").selectExpr(

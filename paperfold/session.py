@@ -49,3 +49,14 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
         root = os.path.join(tempfile.gettempdir(), f"paperfold-{os.getpid()}")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/paperfold/{purpose}-{uuid.uuid4().hex}"
+
+
+def as_table(df, purpose: str):
+    """`df` written once to the shared folder and read back.
+
+    For a result that several later steps read: they scan files instead of
+    repeating the work, and a lost executor costs a re-read.
+    """
+    path = shared_folder(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
