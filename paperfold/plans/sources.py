@@ -82,16 +82,16 @@ def delimited_previews(t):
 
 @query(
     "delimited_scan",
-    """SELECT n_nationkey AS nation, n_name AS name, r_name || ', region' AS region FROM nation JOIN region ON r_regionkey = n_regionkey""",
+    """SELECT c_custkey AS customer, c_name AS name, n_name || ', ' || c_mktsegment AS place FROM customer JOIN nation ON n_nationkey = c_nationkey""",
 )
 def delimited_scan(t):
-    # Written as a quoted pipe file first, then read back as a table.
-    rows = t.nation.join(t.region, F.col("r_regionkey") == F.col("n_regionkey")).selectExpr(
-        "n_nationkey AS nation", "n_name AS name", "r_name || ', region' AS region"
+    # Written as quoted pipe files first, then read back as a table.
+    rows = t.customer.join(t.nation, F.col("n_nationkey") == F.col("c_nationkey")).selectExpr(
+        "c_custkey AS customer", "c_name AS name", "n_name || ', ' || c_mktsegment AS place"
     )
     path = shared_folder(t.spark, "psv")
     rows.write.csv(path, sep="|", header=True, quoteAll=True)
-    return files.scan_delimited(t.spark, path, "|").withColumn("nation", F.col("nation").cast("int"))
+    return files.scan_delimited(t.spark, path, "|").withColumn("customer", F.col("customer").cast("bigint"))
 
 
 @query(
