@@ -227,23 +227,7 @@ def plain_is_safe(fields: DataFrame, versions: DataFrame) -> DataFrame:
     Only when the key ever had one name, that name had one key, and every
     version declares it. Dropping any clause leaks one field into another.
     """
-    valid = fields.filter(valid_key())
-    per_key = valid.groupBy("schema_id", "column").agg(
-        F.countDistinct("name").alias("names"), F.max("name").alias("name")
-    )
-    per_name = valid.groupBy("schema_id", "name").agg(
-        F.countDistinct("column").alias("owners"), F.countDistinct("version").alias("declared")
-    )
-    total = versions.groupBy("schema_id").agg(F.countDistinct("version").alias("total"))
-    return (
-        per_key.join(per_name, ["schema_id", "name"])
-        .join(total, "schema_id")
-        .select(
-            "schema_id",
-            "column",
-            ((F.col("names") == 1) & (F.col("owners") == 1) & (F.col("declared") == F.col("total"))).alias("plain"),
-        )
-    )
+    return field_specs(fields, versions).select("schema_id", "column", "plain")
 
 
 def malformed_keys(fields: DataFrame) -> DataFrame:
@@ -261,10 +245,11 @@ def malformed_keys(fields: DataFrame) -> DataFrame:
 def field_specs(fields: DataFrame, versions: DataFrame) -> DataFrame:
     """One row per column of a lineage, for lineages without malformed keys.
 
-    position: order of first declaration; name, type, description and scope of
-    the newest declaration; branches: (name, versions), newest name first.
+    first_at: first declaration, the column order; name, type, description and
+    scope of the newest declaration; branches: (name, versions), newest name
+    first; plain: see `plain_is_safe`. `fields` is read once: it shrinks to one
+    row per (column, name), and the rest works on those.
     """
-    sound = fields.join(malformed_keys(fields).select("schema_id"), "schema_id", "left_anti")
     at = F.struct("version", "pos")
     newest = F.struct(
         "name",
@@ -272,24 +257,40 @@ def field_specs(fields: DataFrame, versions: DataFrame) -> DataFrame:
         F.coalesce("description", F.lit("")).alias("description"),
         field_scope().alias("scope"),
     )
-    latest = sound.groupBy("schema_id", "column").agg(
-        F.min(at).alias("first_at"), F.max_by(newest, at).alias("spec")
+    spellings = fields.groupBy("schema_id", "column", "name").agg(
+        F.min(at).alias("first_at"),
+        F.max(at).alias("last_at"),
+        F.max_by(newest, at).alias("spec"),
+        F.array_sort(F.collect_set("version")).alias("versions"),
     )
-    branch = F.struct((-F.col("newest")).alias("rank"), "name", "versions")
-    branches = (
-        field_names(sound)
-        .groupBy("schema_id", "column")
-        .agg(
-            F.transform(
-                F.array_sort(F.collect_list(branch)),
-                lambda b: F.struct(b["name"].alias("name"), b["versions"].alias("versions")),
-            ).alias("branches")
-        )
+    marked = spellings.withColumns(
+        {
+            "__owners": F.count(F.lit(1)).over(W.partitionBy("schema_id", "name")),
+            "__broken": F.max((~valid_key()).cast("int")).over(W.partitionBy("schema_id")),
+        }
     )
-    return (
-        latest.join(branches, ["schema_id", "column"])
-        .join(plain_is_safe(sound, versions), ["schema_id", "column"])
-        .select("schema_id", "column", "first_at", "spec.*", "branches", "plain")
+    branch = F.struct((-F.col("last_at.version")).alias("rank"), "name", "versions")
+    columns = marked.filter("__broken = 0").groupBy("schema_id", "column").agg(
+        F.min("first_at").alias("first_at"),
+        F.max_by("spec", "last_at").alias("spec"),
+        F.array_sort(F.collect_list(branch)).alias("__branches"),
+        F.max("__owners").alias("__owners"),
+    )
+    total = versions.groupBy("schema_id").agg(F.countDistinct("version").alias("__total"))
+    # With one name per key and one key per name, the branch holds every
+    # version that declares the name.
+    plain = (
+        (F.size("__branches") == 1)
+        & (F.col("__owners") == 1)
+        & (F.size(F.col("__branches")[0]["versions"]) == F.col("__total"))
+    )
+    return columns.join(total, "schema_id").select(
+        "schema_id",
+        "column",
+        "first_at",
+        "spec.*",
+        F.transform("__branches", lambda b: F.struct(b["name"].alias("name"), b["versions"].alias("versions"))).alias("branches"),
+        plain.alias("plain"),
     )
 
 

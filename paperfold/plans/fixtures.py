@@ -180,32 +180,31 @@ UNION SELECT 'Uncategorized' AS topic_id, 'Uncategorized' AS name"""
 
 # --- Part lineages: one schema per part, one to three versions ---------------------
 
-_KEY = "lower(printf('%s%08x', 'f_', p_partkey * 8 + {n}))"
+# (version, pos, name, type, key number, scope, condition), as SQL fragments.
+_PART_FIELDS = (
+    (1, 0, "Total", "'number'", 1, "'document'", "true"),
+    (1, 1, "Vendor", "'string'", 2, "CAST(NULL AS VARCHAR(20))", "true"),
+    (1, 2, "Line Amount", "'number'", 3, "'row'", "true"),
+    (2, 0, "Net", "'number'", 1, "'document'", "true"),
+    (2, 1, "Vendor", "'string'", 2, "'document'", "true"),
+    (2, 2, "Line Amount", "CASE WHEN p_size % 2 = 0 THEN 'integer' ELSE 'number' END", 3, "'row'", "p_size % 5 <> 0"),
+    (3, 0, "Net", "'number'", 1, "'document'", "true"),
+    (3, 1, "Total", "'integer'", 4, "'junk'", "true"),
+    (3, 2, "Vendor", "'string'", 2, "'document'", "p_size % 3 <> 0"),
+    (3, 3, "Line Amount", "'number'", 3, "CASE WHEN p_size % 7 = 0 THEN 'document' ELSE 'row' END", "p_size % 5 <> 1"),
+)
 
 
-def _field(version: int, pos: int, name: str, kind: str, n: int, scope: str, when: str) -> str:
-    key = _KEY.replace("{n}", str(n))
-    return (
-        f"SELECT p_partkey AS schema_id, {version} AS version, {pos} AS pos, '{name}' AS name, {kind} AS type,"
-        f" p_brand AS description, {key} AS \"column\", {scope} AS scope FROM {{part}}"
-        f" WHERE p_partkey % 3 >= {version - 1} AND {when}"
-    )
+def _key(n: int) -> str:
+    return f"lower(printf('%s%08x', 'f_', p_partkey * 8 + {n}))"
 
 
 FIELDS_SQL = " UNION ALL ".join(
-    [
-        _field(1, 0, "Total", "'number'", 1, "'document'", "true"),
-        _field(1, 1, "Vendor", "'string'", 2, "CAST(NULL AS VARCHAR(20))", "true"),
-        _field(1, 2, "Line Amount", "'number'", 3, "'row'", "true"),
-        _field(2, 0, "Net", "'number'", 1, "'document'", "true"),
-        _field(2, 1, "Vendor", "'string'", 2, "'document'", "true"),
-        _field(2, 2, "Line Amount", "CASE WHEN p_size % 2 = 0 THEN 'integer' ELSE 'number' END", 3, "'row'", "p_size % 5 <> 0"),
-        _field(3, 0, "Net", "'number'", 1, "'document'", "true"),
-        _field(3, 1, "Total", "'integer'", 4, "'junk'", "true"),
-        _field(3, 2, "Vendor", "'string'", 2, "'document'", "p_size % 3 <> 0"),
-        _field(3, 3, "Line Amount", "'number'", 3, "CASE WHEN p_size % 7 = 0 THEN 'document' ELSE 'row' END", "p_size % 5 <> 1"),
-    ]
-)
+    f"SELECT p_partkey AS schema_id, {version} AS version, {pos} AS pos, '{name}' AS name, {kind} AS type,"
+    f' p_brand AS description, {_key(n)} AS "column", {scope} AS scope FROM part'
+    f" WHERE p_partkey % 3 >= {version - 1} AND {when}"
+    for version, pos, name, kind, n, scope, when in _PART_FIELDS
+)
 
 VERSIONS_SQL = """
 SELECT p_partkey AS schema_id, 1 AS version FROM {part}
@@ -216,18 +215,24 @@ SCHEMAS_SQL = "SELECT p_partkey AS schema_id, p_name AS name FROM {part}"
 
 
 def part_fields(t: Tables) -> DataFrame:
-    return run(t, FIELDS_SQL.replace('"column"', "column"))
+    structs = ", ".join(
+        f"named_struct('version', {version}, 'pos', {pos}, 'name', '{name}', 'type', {kind}, 'column', {_key(n)},"
+        f" 'scope', {scope}, 'kept', p_partkey % 3 >= {version - 1} AND {when})"
+        for version, pos, name, kind, n, scope, when in _PART_FIELDS
+    )
+    every = t.part.selectExpr("p_partkey AS schema_id", "p_brand AS description", f"inline(array({structs}))")
+    return every.filter("kept").drop("kept")
 
 
 def part_versions(t: Tables) -> DataFrame:
-    return run(t, VERSIONS_SQL)
+    return t.part.selectExpr("p_partkey AS schema_id", "explode(sequence(1, CAST(p_partkey % 3 + 1 AS INT))) AS version")
 
 
 def part_schemas(t: Tables) -> DataFrame:
     return run(t, SCHEMAS_SQL)
 
 
-FIELDS = f"fields AS ({plain(FIELDS_SQL)})"
+FIELDS = f"fields AS ({FIELDS_SQL})"
 VERSIONS = f"versions AS ({plain(VERSIONS_SQL)})"
 
 
