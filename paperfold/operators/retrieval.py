@@ -161,8 +161,11 @@ def hybrid_search(
     topic_ids: list[str] | None = None,
     k: int = TOP_K,
 ) -> DataFrame:
-    """The k best chunks for one question, with filename and page."""
-    scored = text_score(in_topics(chunks, topic_ids), terms).withColumn("vector_score", vector_score(vector))
+    """The k best chunks for one question, with filename and page.
+
+    Term figures cover all chunks, so a chunk scores the same under any scope.
+    """
+    scored = in_topics(text_score(chunks, terms), topic_ids).withColumn("vector_score", vector_score(vector))
     best = (
         scored.withColumn("score", hybrid_score())
         .orderBy(F.col("score").desc_nulls_last(), "document_id", "chunk_index")
