@@ -134,7 +134,7 @@ def text_score(chunks: DataFrame, terms: list[str], output: str = "text_score")
     scored = chunks.withColumn("__f", figures.scalar())
     parts = []
     for i, term in enumerate(terms):
-        tf = F.size(F.filter("terms", lambda w, t=term: w == t)).cast("double")
+        tf = F.size("terms").cast("double") - F.size(F.array_remove("terms", term))
         idf = F.log(1 + (F.col("__f.n") - F.col(f"__f.df{i}") + 0.5) / (F.col(f"__f.df{i}") + 0.5))
         damp = BM25_K1 * (1 - BM25_B + BM25_B * F.size("terms") / F.col("__f.length"))
         parts.append(idf * tf * (BM25_K1 + 1) / (tf + damp))
