@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from paperfold.functions.text import let_sql
+
 # The words read as true and as false.
 TRUE_WORDS = ("true", "t", "yes", "y", "1", "paid", "on")
 FALSE_WORDS = ("false", "f", "no", "n", "0", "unpaid", "off")
@@ -22,11 +24,6 @@ def strip_sql(x: str) -> str:
     return f"regexp_replace({x}, '^{_SPACE}+|{_SPACE}+$', '')"
 
 
-def _let(name: str, value: str, body: str) -> str:
-    """Evaluates `value` once and names it inside `body`."""
-    return f"transform(array({value}), {name} -> {body})[0]"
-
-
 def _separators_sql(k: str, strict: bool) -> str:
     """Comma and dot resolved: both present means the comma groups thousands;
     a comma alone groups only in the unambiguous 1,234,567 layout."""
@@ -61,7 +58,7 @@ def number_text_sql(x: str, mode: str = "reference") -> str:
             f" AND NOT {x} RLIKE '[0-9][A-Za-z]+[0-9]|[A-Za-z]\\\\.|[.][0-9]*,'"
         )
     body = f"CASE WHEN {valid} THEN concat(if({negated}, '-', ''), {canon}) END"
-    return _let("t", _let("k", kept, _separators_sql("k", strict)), body)
+    return let_sql("t", let_sql("k", kept, _separators_sql("k", strict)), body)
 
 
 def integer_text_sql(x: str, mode: str = "reference") -> str:
@@ -69,7 +66,7 @@ def integer_text_sql(x: str, mode: str = "reference") -> str:
         r"CASE WHEN n RLIKE '^-?\\d+([.]0*)?$'"
         " THEN regexp_replace(regexp_replace(n, '[.]0*$', ''), '^-0$', '0') END"
     )
-    return _let("n", number_text_sql(x, mode), whole)
+    return let_sql("n", number_text_sql(x, mode), whole)
 
 
 def boolean_text_sql(x: str) -> str:

@@ -7,6 +7,11 @@ PREVIEW_CHARS = 120
 SNIPPET_CHARS = 280
 
 
+def let_sql(name: str, value: str, body: str) -> str:
+    """Evaluates `value` once per row and names it inside `body`."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
 def collapse_sql(x: str) -> str:
     """All runs of whitespace become one blank, ends trimmed."""
     return rf"trim(regexp_replace({x}, '[\\s\\x1c-\\x1f\\x85\\xa0\\u2000-\\u200a\\u2028\\u2029\\u202f\\u3000]+', ' '))"

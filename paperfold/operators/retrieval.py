@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from paperfold.functions.text import SNIPPET_CHARS, tokens_sql
+from paperfold.functions.text import SNIPPET_CHARS, let_sql, tokens_sql
 from paperfold.functions.vectors import cosine_sql
 from paperfold.operators.scope import scope_by_topics
 from paperfold.sources.elements import text_elements_sql
@@ -27,7 +27,7 @@ TEXT_WEIGHT = 0.4
 TOP_K = 8
 MAX_CHUNK_CHARS = 500
 # Questions scored together against one pass over the chunks.
-QUESTION_BLOCK = 256
+QUESTION_BLOCK = 2_048
 BM25_K1, BM25_B = 1.2, 0.75
 # Scores are compared at this precision, so equal chunks tie on any hardware.
 SCORE_DIGITS = 9
@@ -53,36 +53,27 @@ def chunk_by_title(docs: DataFrame, text: str = "text", max_chars: int = MAX_CHU
         f"'opens', e.type = 'Title' AND n = 0, 'type', e.type,"
         f" 'text', substring(e.text, n * {max_chars} + 1, {max_chars})))))"
     )
-    breaks = (
-        "aggregate(transform(__pieces, (p, i) -> named_struct('i', i, 'opens', p.opens, 'n', length(p.text))),"
-        " named_struct('starts', CAST(array() AS ARRAY<INT>), 'size', 0),"
+    # Folds over the pieces, noting where each chunk starts and in which section.
+    starts = (
+        "aggregate(transform(ps, (p, i) -> named_struct('i', i, 'opens', p.opens, 'n', length(p.text))),"
+        " named_struct('starts', CAST(array() AS ARRAY<STRUCT<at: INT, section: INT>>), 'size', 0, 'section', 0),"
         f" (acc, p) -> CASE WHEN p.i = 0 OR p.opens OR acc.size + 2 + p.n > {max_chars}"
-        " THEN named_struct('starts', array_append(acc.starts, p.i), 'size', p.n)"
-        " ELSE named_struct('starts', acc.starts, 'size', acc.size + 2 + p.n) END, acc -> acc.starts)"
+        " THEN named_struct('starts', array_append(acc.starts, named_struct('at', p.i, 'section', acc.section + CAST(p.opens AS INT))),"
+        " 'size', p.n, 'section', acc.section + CAST(p.opens AS INT))"
+        " ELSE named_struct('starts', acc.starts, 'size', acc.size + 2 + p.n, 'section', acc.section) END, acc -> acc.starts)"
     )
     spans = (
-        "transform(__starts, (s, j) -> slice(__pieces, s + 1,"
-        " coalesce(get(__starts, j + 1), size(__pieces)) - s))"
+        "transform(ss, (s, j) -> named_struct('section', s.section, 'pieces',"
+        " slice(ps, s.at + 1, coalesce(get(ss, j + 1).at, size(ps)) - s.at)))"
     )
-    sections = (
-        "aggregate(__chunks, named_struct('ids', CAST(array() AS ARRAY<INT>), 'last', 0), (acc, c) ->"
-        " named_struct('ids', array_append(acc.ids, acc.last + CAST(c[0].opens AS INT)),"
-        " 'last', acc.last + CAST(c[0].opens AS INT)), acc -> acc.ids)"
-    )
-    return (
-        docs.select("document_id", F.expr(pieces).alias("__pieces"))
-        .withColumn("__starts", F.expr(breaks))
-        .withColumn("__chunks", F.expr(spans))
-        .withColumn("__sections", F.expr(sections))
-        .select("document_id", "__sections", F.posexplode("__chunks").alias("chunk_index", "__chunk"))
-        .select(
-            "document_id",
-            "chunk_index",
-            F.expr("get(__sections, chunk_index)").alias("section"),
-            F.expr("array_join(transform(__chunk, p -> p.text), '\\n\\n')").alias("content"),
-            F.lit(None).cast("int").alias("page_number"),
-            F.expr("array_sort(array_distinct(transform(__chunk, p -> p.type)))").alias("element_types"),
-        )
+    chunked = let_sql("ps", pieces, let_sql("ss", starts, spans))
+    return docs.select("document_id", F.expr(f"posexplode({chunked}) AS (chunk_index, c)")).select(
+        "document_id",
+        "chunk_index",
+        F.col("c.section").alias("section"),
+        F.expr("array_join(transform(c.pieces, p -> p.text), '\\n\\n')").alias("content"),
+        F.lit(None).cast("int").alias("page_number"),
+        F.expr("array_sort(array_distinct(transform(c.pieces, p -> p.type)))").alias("element_types"),
     )
 
 
@@ -175,63 +166,85 @@ def hybrid_search(
 
 
 def _block_scorer(block: list, df_of: dict[str, int], total: int, mean_length: float, k: int):
-    """Scores chunk batches against a block of questions; keeps k per question and batch."""
+    """Scores chunk batches against a block of questions; keeps the k best of a task.
+
+    A chunk stays a candidate while it reaches its question's k-th score so far,
+    ties included; candidates shrink to the k best by score and id.
+    """
     vectors = np.array([q["embedding"] for q in block], dtype=np.float64)
     vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
-    ids = [q["question_id"] for q in block]
-    topics = [set(q["topic_ids"]) if q["topic_ids"] else None for q in block]
+    ids = np.array([q["question_id"] for q in block], dtype=object)
+    scopes: dict[frozenset, list[int]] = {}
+    for at, question in enumerate(block):
+        scopes.setdefault(frozenset(question["topic_ids"] or ()), []).append(at)
     wanted = [sorted(set(q["terms"])) for q in block]
     place = {t: i for i, t in enumerate(sorted({t for terms in wanted for t in terms}))}
     idf = np.array([math.log(1 + (total - df_of.get(t, 0) + 0.5) / (df_of.get(t, 0) + 0.5)) for t in place])
-
-    def text_scores(terms: pd.Series) -> np.ndarray:
-        tf = np.zeros((len(terms), len(place)))
-        lengths = np.zeros(len(terms))
+    # Column len(place) is a filler that every chunk holds and that scores 0.
+    slots = np.full((len(block), max([1, *map(len, wanted)])), len(place))
+    for at, terms in enumerate(wanted):
+        slots[at, : len(terms)] = [place[t] for t in terms]
+    has_terms = np.array([bool(terms) for terms in wanted])
+    rows_at_once = max(1, 4_000_000 // len(block))
+    names = ["q", "document_id", "chunk_index", "vector_score", "text_score", "score"]
+
+    def text_scores(terms) -> np.ndarray:
+        tf = np.zeros((len(terms), len(place) + 1))
+        lengths = np.fromiter((len(words) for words in terms), dtype=float, count=len(terms))
         for row, words in enumerate(terms):
-            lengths[row] = len(words)
             for word in words:
                 at = place.get(word)
                 if at is not None:
                     tf[row, at] += 1
         damp = BM25_K1 * (1 - BM25_B + BM25_B * lengths / mean_length)[:, None]
-        part = idf * tf * (BM25_K1 + 1) / (tf + damp)
-        out = np.zeros((len(terms), len(block)))
-        for q, words in enumerate(wanted):
-            if words:
-                at = [place[w] for w in words]
-                total_score = part[:, at].sum(axis=1)
-                out[:, q] = np.where((tf[:, at] > 0).all(axis=1), total_score / (1 + total_score), 0.0)
-        return out
+        part = np.zeros_like(tf)
+        part[:, :-1] = idf * tf[:, :-1] * (BM25_K1 + 1) / (tf[:, :-1] + damp)
+        tf[:, -1] = 1
+        score, every = np.zeros((len(terms), len(block))), np.tile(has_terms, (len(terms), 1))
+        for slot in slots.T:
+            score += part[:, slot]
+            every &= tf[:, slot] > 0
+        return np.where(every, score / (1 + score), 0.0)
+
+    def best(found: list[pd.DataFrame]) -> pd.DataFrame:
+        ranked = pd.concat(found).sort_values(
+            ["q", "score", "document_id", "chunk_index"], ascending=[True, False, True, True]
+        )
+        return ranked.groupby("q").head(k)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        floor = np.full(len(block), -np.inf)
+        found, size = [], 0
         for batch in batches:
-            if batch.empty:
-                continue
-            rows = np.array(batch["embedding"].tolist(), dtype=np.float64)
-            cosine = (rows / np.linalg.norm(rows, axis=1, keepdims=True)) @ vectors.T
-            text = text_scores(batch["terms"])
-            score = np.round(VECTOR_WEIGHT * cosine + TEXT_WEIGHT * text, SCORE_DIGITS)
-            tags = [set(t) if t is not None else set() for t in batch["topic_ids"]]
-            for q, question in enumerate(ids):
-                column = score[:, q]
-                if topics[q] is not None:
-                    keep = np.array([bool(t & topics[q]) for t in tags])
-                    if not keep.any():
-                        continue
-                    column = np.where(keep, column, -np.inf)
-                # Chunks tied with the k-th stay in; the final ranking breaks ties by id.
-                floor = np.partition(column, -k)[-k] if len(column) > k else -np.inf
-                at = np.flatnonzero((column >= floor) & np.isfinite(column))
-                yield pd.DataFrame(
-                    {
-                        "question_id": question,
-                        "document_id": batch["document_id"].to_numpy()[at],
-                        "chunk_index": batch["chunk_index"].to_numpy()[at],
-                        "vector_score": cosine[at, q],
-                        "text_score": text[at, q],
-                        "score": column[at],
-                    }
-                )
+            for start in range(0, len(batch), rows_at_once):
+                rows = batch.iloc[start : start + rows_at_once]
+                points = np.array(rows["embedding"].tolist(), dtype=np.float64)
+                cosine = (points / np.linalg.norm(points, axis=1, keepdims=True)) @ vectors.T
+                text = text_scores(rows["terms"])
+                score = np.round(VECTOR_WEIGHT * cosine + TEXT_WEIGHT * text, SCORE_DIGITS)
+                keep = score >= floor
+                for scope, members in scopes.items():
+                    if scope:
+                        inside = np.array([t is not None and not scope.isdisjoint(t) for t in rows["topic_ids"]])
+                        keep[:, members] &= inside[:, None]
+                at, q = np.nonzero(keep)
+                if not len(at):
+                    continue
+                columns = (
+                    q, rows["document_id"].to_numpy()[at], rows["chunk_index"].to_numpy()[at],
+                    cosine[at, q], text[at, q], score[at, q],
+                )
+                found.append(pd.DataFrame(dict(zip(names, columns, strict=True))))
+                size += len(at)
+                if size > 4 * k * len(block):
+                    found = [best(found)]
+                    size = len(found[0])
+                    full = found[0].groupby("q")["score"].agg(["min", "size"])
+                    full = full[full["size"] >= k]
+                    floor[full.index.to_numpy()] = full["min"].to_numpy()
+        if found:
+            top = best(found)
+            yield top.assign(question_id=ids[top["q"].to_numpy()])[["question_id", *names[1:]]]
 
     return run
 
@@ -241,8 +254,9 @@ def hybrid_search_many(chunks: DataFrame, questions: DataFrame, k: int = TOP_K)
 
     questions: question_id, terms, embedding, topic_ids (NULL or empty: no scope).
     Each block of questions travels with the code and meets every chunk once;
-    only k candidates per question and batch leave a task, so neither the pairs
-    nor a question's chunks are ever gathered. Term figures cover all chunks.
+    only k candidates per question leave a task, so neither the pairs nor a
+    question's chunks are ever gathered. Term figures cover all chunks. `chunks`
+    is read for the figures and once per block: pass a stored table.
     """
     total = chunks.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("terms")).alias("length")).first()
     blocks = max(1, math.ceil(questions.count() / QUESTION_BLOCK))

@@ -155,7 +155,8 @@ def hybrid_search(t):
       WHERE topic IS NULL OR topic = lang) q WHERE rank <= 8""",
 )
 def hybrid_search_many(t):
-    hits = retrieval.hybrid_search_many(chunks(t), questions(t))
+    stored = as_table(chunks(t).repartition("document_id"), "chunks")
+    hits = retrieval.hybrid_search_many(stored, as_table(questions(t), "questions"))
     return hits.select("question_id", "document_id", "chunk_index", "score", F.col("rank").cast("bigint").alias("rank"))
 
 
@@ -167,7 +168,7 @@ def hybrid_search_many(t):
       FROM scored WHERE topic IS NULL OR topic = lang OR (topic = 'nowhere' AND auto)) q WHERE rank <= 8""",
 )
 def relaxed_search(t):
-    return retrieval.relax(as_table(chunks(t), "chunks"), as_table(questions(t), "questions")).select(
+    return retrieval.relax(as_table(chunks(t).repartition("document_id"), "chunks"), as_table(questions(t), "questions")).select(
         "question_id", "document_id", "chunk_index", "score", "scoped"
     )
 
