@@ -20,6 +20,13 @@ MAX_EXTRACT_CHARS = 40_000
 # Rows of one document handled together; a longer document spans slices.
 ROW_SLICE = 10_000
 
+# The headings and markers of a prompt.
+ALL_FIELDS = "Fields:"
+DOCUMENT_FIELDS = "Document-level fields:"
+ROW_FIELDS = "Per-row fields:"
+FEEDBACK_OPEN = "--- REVIEWER FEEDBACK ---"
+FEEDBACK_CLOSE = "--- END REVIEWER FEEDBACK ---"
+
 _PART = "struct<values:map<string,string>,confidence:map<string,string>>"
 REPLY_SCHEMA = (
     f"struct<values:map<string,string>,confidence:map<string,string>,document:{_PART},rows:array<{_PART}>>"
@@ -40,13 +47,13 @@ def render_field_prompt(fields: DataFrame, feedback: DataFrame | None = None) ->
     grouped = fields.groupBy("schema_id").agg(
         lines("document").alias("__document"), lines("row").alias("__rows")
     )
-    body = F.when(F.col("__rows") == "", F.concat(F.lit("Fields:\n"), "__document")).otherwise(
-        F.concat(F.lit("Document-level fields:\n"), "__document", F.lit("\n\nPer-row fields:\n"), "__rows")
+    body = F.when(F.col("__rows") == "", F.concat(F.lit(f"{ALL_FIELDS}\n"), "__document")).otherwise(
+        F.concat(F.lit(f"{DOCUMENT_FIELDS}\n"), "__document", F.lit(f"\n\n{ROW_FIELDS}\n"), "__rows")
     )
     out = grouped.withColumn("prompt", body)
     if feedback is not None:
         block = F.concat(
-            F.lit("\n\n--- REVIEWER FEEDBACK ---\n"), "feedback", F.lit("\n--- END REVIEWER FEEDBACK ---")
+            F.lit(f"\n\n{FEEDBACK_OPEN}\n"), "feedback", F.lit(f"\n{FEEDBACK_CLOSE}")
         )
         out = out.join(feedback, "schema_id", "left").withColumn(
             "prompt", F.concat("prompt", F.coalesce(block, F.lit("")))

@@ -233,7 +233,7 @@ def plain_is_safe(fields: DataFrame, versions: DataFrame) -> DataFrame:
 def malformed_keys(fields: DataFrame) -> DataFrame:
     """Lineages that cannot be projected, with the first field to blame."""
     message = F.concat(
-        F.lit("field '"), "name", F.lit("' has no valid column key - run backfill_keys on the lineage")
+        F.lit("field '"), "name", F.lit("' carries no usable column key; run backfill_keys on its lineage")
     )
     return (
         fields.filter(~valid_key())
