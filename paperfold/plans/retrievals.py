@@ -143,7 +143,8 @@ def text_scores(t):
 def hybrid_search(t):
     question = questions(t).orderBy("question_id").first()
     documents = t.documents.selectExpr("doc_id AS document_id", "'doc_' || doc_id AS filename")
-    best = retrieval.hybrid_search(chunks(t), documents, question["terms"], question["embedding"], ["en"])
+    stored = as_table(chunks(t).repartition("document_id"), "chunks")
+    best = retrieval.hybrid_search(stored, documents, question["terms"], question["embedding"], ["en"])
     return best.select("document_id", "chunk_index", "score", "filename")
 
 
