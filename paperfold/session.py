@@ -6,8 +6,11 @@ import os
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 
+import paperfold
+
 # Settings that change results, so they are set on any session we are handed.
 RESULT_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -15,6 +18,11 @@ RESULT_SETTINGS = {
 }
 
 
+# Functions sent to Python workers carry their code along, so executors need no
+# copy of this package.
+cloudpickle.register_pickle_by_value(paperfold)
+
+
 def prepare(spark: SparkSession) -> SparkSession:
     for key, value in RESULT_SETTINGS.items():
         if spark.conf.get(key, None) != value:
