@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -49,13 +50,15 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A new folder under the cluster's shared checkpoint folder.
 
     Stream state and tables written between steps must be readable by every
-    executor, so they go where `spark.checkpoint.dir` points. Only when that is
-    unset (tests, a laptop) does a temporary folder stand in for it.
+    executor, so they go where `spark.checkpoint.dir` points. When that is unset,
+    a temporary folder stands in for it, but only where driver and executors are
+    one process; on a cluster each machine would write to its own disk.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = os.path.join(tempfile.gettempdir(), f"paperfold-{os.getpid()}")
-        spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/paperfold/{purpose}-{uuid.uuid4().hex}"
 
 
