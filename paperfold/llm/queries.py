@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paperfold.llm import exact_dedup, packing, quality, sql, token_counts, token_files
-from paperfold.session import prepare, shared_folder
+from paperfold.llm import (
+    chat, exact_dedup, licenses, mixing, near_dedup, packing, pii, quality, sql, token_counts, token_files,
+)
+from paperfold.session import as_table, prepare, shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -29,6 +31,23 @@ def _documents(name: str, oracle: str | None = None):
     return lambda fn: query(name, oracle)(fn, "documents")
 
 
+_MIXING = sql.mixing(
+    {
+        "domain": f"list_extract({list(mixing.DOMAINS)}, 1 + (coalesce(try_cast(regexp_extract(source, '([0-9]+)$', 1) AS BIGINT), 0) % {len(mixing.DOMAINS)})::INT)",
+        "lang": "lang",
+        "source": "source",
+    },
+    {"domain": mixing.DOMAINS, "lang": mixing.LANGUAGES},
+    mixing.SEED,
+    mixing.MAX_EPOCHS,
+)
+
+
+@_documents("op1_mixing", _MIXING)
+def _mixing(spark, docs):
+    return mixing.mixed_documents(docs)
+
+
 @_documents("op2_token_counts")
 def _token_counts(spark, docs):
     return token_counts.token_counts(docs)
@@ -46,12 +65,42 @@ def _packing(spark, docs):
     return packing.packed_documents(docs)
 
 
+@_documents("op5_near_dedup", sql.NEAR)
+def _near(spark, docs):
+    return near_dedup.near_duplicates(docs, shingle=2)
+
+
 @_documents("op6_quality_rules", sql.QUALITY)
 def _quality(spark, docs):
     columns = "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words removed_words base_failed depleted kept"
     return quality.quality_rules(docs).select(*columns.split())
 
 
+@_documents("op7_personal_data")
+def _personal(spark, docs):
+    return pii.personal_data(docs)
+
+
+@_documents("op8_licenses")
+def _licenses(spark, docs):
+    return licenses.license_scan(docs)
+
+
 @_documents("op9_exact_dedup", sql.EXACT)
 def _exact(spark, docs):
     return exact_dedup.exact_dedup(docs)
+
+
+_CHATS = sql.chats(chat.CONTROL, chat.ESCAPES, len(chat.TURN + chat.SAYS + chat.END))
+
+
+def _chats(spark, conversations):
+    extra = spark.createDataFrame(
+        [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")],
+        "conv_id bigint, turn bigint, role string, text string",
+    )
+    rows = conversations.select("conv_id", "turn", "role", "text").unionByName(extra)
+    return chat.chat_digests(as_table(chat.format_chats(rows), "chats"))
+
+
+query("op10_chat_formatting", _CHATS)(_chats, "conversations")

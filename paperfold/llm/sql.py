@@ -60,3 +60,107 @@ WITH base AS (
 )
 SELECT *, NOT base_failed AND NOT depleted AS kept FROM judged
 """
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+NEAR = f"""
+WITH RECURSIVE t AS (
+  SELECT doc_id, regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN w
+    ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s FROM t
+), classes AS (
+  SELECT min(doc_id) AS id, len(s) AS n, s FROM (SELECT doc_id, list_sort(s) AS s FROM sets) GROUP BY s
+), members AS (
+  SELECT c.id, x.doc_id, c.n FROM classes c JOIN (SELECT doc_id, list_sort(s) AS s FROM sets) x ON c.s = x.s
+), items AS (
+  SELECT id, n, unnest(s) AS shingle FROM classes
+), pairs AS (
+  SELECT a.id AS a, b.id AS b FROM items a JOIN items b ON a.shingle = b.shingle AND a.id < b.id
+    AND 100 * a.n >= 80 * b.n AND 100 * b.n >= 80 * a.n
+  GROUP BY a.id, b.id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), links AS (
+  SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs
+), reach AS (
+  SELECT id AS a, id AS b FROM classes UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+), groups AS (
+  SELECT a AS id, min(b) AS component FROM reach GROUP BY a
+)
+SELECT m.doc_id, m.n AS n_shingles, CASE WHEN m.n = 0 THEN m.doc_id ELSE g.component END AS component_id,
+       m.doc_id = CASE WHEN m.n = 0 THEN m.doc_id ELSE g.component END AS kept
+FROM members m JOIN groups g ON m.id = g.id
+"""
+
+
+def mixing(levels: dict[str, str], weights: dict[str, dict[str, int]], seed: int, max_epochs: int) -> str:
+    """The mix over `documents`, its budget being all tokens there are."""
+    names = list(levels)
+    labels = ", ".join(f"coalesce({e}, '') AS {n}" for n, e in levels.items())
+    plain = _PLAIN
+
+    def weight(level: str) -> str:
+        if level not in weights:
+            return "1"
+        cases = " ".join(f"WHEN '{v}' THEN {w}" for v, w in weights[level].items())
+        return f"CASE {level} {cases} ELSE 1 END"
+
+    steps = [
+        f"m AS (SELECT doc_id, {labels}, CASE WHEN {plain} = '' THEN 0 ELSE len(string_split({plain}, ' ')) END AS tokens FROM documents)",
+        f"leaves AS (SELECT {', '.join(names)}, sum(tokens)::BIGINT AS available, (sum(tokens) * {max_epochs})::BIGINT AS capacity "
+        f"FROM m GROUP BY ALL HAVING sum(tokens) > 0)",
+        "b0 AS (SELECT least(sum(available), sum(capacity))::HUGEINT AS budget FROM leaves)",
+    ]
+    for depth, level in enumerate(names):
+        path, parent = names[: depth + 1], names[:depth]
+        above = f"b{depth}"
+        on = " AND ".join(f"n.{c} = p.{c}" for c in parent) or "true"
+        part = f"PARTITION BY {', '.join(parent)}" if parent else ""
+        order = f"{part} ORDER BY capacity / weight, {level}"
+        steps += [
+            f"n{depth} AS (SELECT {', '.join(path)}, sum(capacity)::HUGEINT AS capacity, ({weight(level)})::HUGEINT AS weight FROM leaves GROUP BY {', '.join(path)})",
+            f"f{depth} AS (SELECT {', '.join('n.' + c for c in path)}, n.capacity, n.weight, p.budget FROM n{depth} n JOIN {above} p ON {on})",
+            f"g{depth} AS (SELECT *, capacity * sum(weight) OVER ({order} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::HUGEINT"
+            f" <= (budget - coalesce(sum(capacity) OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::HUGEINT) * weight AS fits FROM f{depth})",
+            f"h{depth} AS (SELECT *, min(fits::INT) OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) = 1 AS filled FROM g{depth})",
+            f"b{depth + 1} AS (SELECT {', '.join(path)}, CASE WHEN filled THEN capacity ELSE least(capacity,"
+            f" ((budget - coalesce(sum(CASE WHEN filled THEN capacity END) OVER ({part}), 0)::HUGEINT) * weight)"
+            f" // sum(CASE WHEN NOT filled THEN weight END) OVER ({part})::HUGEINT) END AS budget FROM h{depth})",
+        ]
+    keys = " AND ".join(f"l.{c} = b.{c}" for c in names)
+    same = " AND ".join(f"m.{c} = p.{c}" for c in names)
+    leaf = ", ".join(f"m.{c}" for c in names)
+    steps += [
+        f"plan AS (SELECT {', '.join('l.' + c for c in names)}, (b.budget // l.available)::INT AS whole, (b.budget % l.available)::BIGINT AS rest"
+        f" FROM leaves l JOIN b{len(names)} b ON {keys})",
+        f"j AS (SELECT m.doc_id, {leaf}, m.tokens, p.whole, p.rest FROM m JOIN plan p ON {same})",
+        f"cut AS (SELECT *, coalesce(sum(tokens) OVER (PARTITION BY {', '.join(names)} ORDER BY md5('{seed}|' || whole || '|' || doc_id), doc_id"
+        f" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM j WHERE rest > 0)",
+    ]
+    out = ", ".join(names)
+    return (
+        "WITH " + ",\n".join(steps) + f"\nSELECT doc_id, {out}, tokens, unnest(range(0, whole))::INT AS epoch, tokens AS tokens_taken FROM j WHERE whole > 0"
+        f"\nUNION ALL SELECT doc_id, {out}, tokens, whole, least(tokens, rest - start)::BIGINT FROM cut WHERE start < rest"
+    )
+
+
+def chats(control: tuple[str, ...], escapes: dict[str, str], marks: int) -> str:
+    """Digests of formatted conversations; `marks`: characters of a turn's three marks."""
+
+    def escaped(column: str) -> str:
+        out = f"replace({column}, '\\', '{escapes[chr(92)]}')"
+        for word in control:
+            out = f"replace({out}, '{word}', '{escapes[word[0]]}{word[1:]}')"
+        return out
+
+    return f"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum({marks} + length({escaped('role')}) + length({escaped('text')}))::BIGINT AS formatted_chars
+FROM c GROUP BY conv_id
+"""
