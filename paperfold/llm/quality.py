@@ -196,4 +196,4 @@ def kept_documents(docs: DataFrame) -> DataFrame:
     if "n_chars" in docs.columns:
         chars = F.when(F.col("__gone").isNull(), F.col("n_chars")).otherwise(F.length("text"))
         joined = joined.withColumn("n_chars", chars.cast(docs.schema["n_chars"].dataType))
-    return joined.select(*docs.columns)
+    return joined.select(*[F.col(f"`{c}`") for c in docs.columns])
