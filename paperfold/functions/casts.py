@@ -57,6 +57,12 @@ def safe_date_sql(x: str) -> str:
     return f"CASE {arms} WHEN trim({x}) RLIKE '{_ISO_INSTANT}' THEN try_cast(substr(trim({x}), 1, 10) AS DATE) END"
 
 
+def plain_date_sql(x: str) -> str:
+    """Whether a value is a date in one of the layouts, with no time of day."""
+    layouts = " OR ".join(f"trim({x}) RLIKE '{guard}'" for guard, _ in _DATE_LAYOUTS)
+    return f"(({layouts}) AND ({safe_date_sql(x)}) IS NOT NULL)"
+
+
 def safe_timestamp_sql(x: str) -> str:
     return (
         f"CASE WHEN trim({x}) RLIKE '{_ISO_INSTANT}' THEN try_cast({x} AS TIMESTAMP)"

@@ -35,7 +35,7 @@ def _separators_sql(k: str, strict: bool) -> str:
     )
 
 
-def number_text_sql(x: str, mode: str = "reference") -> str:
+def number_text_sql(x: str, mode: str = "default") -> str:
     """Normal decimal text, or NULL when `x` is not clearly a number.
 
     mode="strict" also refuses readings the default accepts although they are
@@ -61,7 +61,7 @@ def number_text_sql(x: str, mode: str = "reference") -> str:
     return let_sql("t", let_sql("k", kept, _separators_sql("k", strict)), body)
 
 
-def integer_text_sql(x: str, mode: str = "reference") -> str:
+def integer_text_sql(x: str, mode: str = "default") -> str:
     whole = (
         r"CASE WHEN n RLIKE '^-?\\d+([.]0*)?$'"
         " THEN regexp_replace(regexp_replace(n, '[.]0*$', ''), '^-0$', '0') END"
@@ -87,11 +87,11 @@ def _guarded(x: str, coerced: str, plain: str | None = None) -> str:
     return f"CASE {shortcut}WHEN {x} RLIKE '[^{_SPACE[1:]}' THEN coalesce({coerced}, {x}) END"
 
 
-def coerce_number_sql(x: str, mode: str = "reference") -> str:
+def coerce_number_sql(x: str, mode: str = "default") -> str:
     return _guarded(x, number_text_sql(x, mode), _PLAIN_NUMBER)
 
 
-def coerce_integer_sql(x: str, mode: str = "reference") -> str:
+def coerce_integer_sql(x: str, mode: str = "default") -> str:
     return _guarded(x, integer_text_sql(x, mode), _PLAIN_INTEGER)
 
 
@@ -99,7 +99,7 @@ def coerce_boolean_sql(x: str) -> str:
     return _guarded(x, boolean_text_sql(x))
 
 
-def coerce_value_sql(x: str, field_type: str, mode: str = "reference") -> str:
+def coerce_value_sql(x: str, field_type: str, mode: str = "default") -> str:
     """`x` normalised for the type named by the SQL fragment `field_type`.
 
     string, date and datetime pass through on purpose: guessing at
@@ -112,11 +112,11 @@ def coerce_value_sql(x: str, field_type: str, mode: str = "reference") -> str:
     )
 
 
-def coerce_number(x: str, mode: str = "reference") -> Column:
+def coerce_number(x: str, mode: str = "default") -> Column:
     return F.expr(coerce_number_sql(x, mode))
 
 
-def coerce_integer(x: str, mode: str = "reference") -> Column:
+def coerce_integer(x: str, mode: str = "default") -> Column:
     return F.expr(coerce_integer_sql(x, mode))
 
 
@@ -124,5 +124,5 @@ def coerce_boolean(x: str) -> Column:
     return F.expr(coerce_boolean_sql(x))
 
 
-def coerce_value(x: str, field_type: str, mode: str = "reference") -> Column:
+def coerce_value(x: str, field_type: str, mode: str = "default") -> Column:
     return F.expr(coerce_value_sql(x, field_type, mode))

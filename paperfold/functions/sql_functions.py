@@ -23,6 +23,7 @@ def _definitions() -> dict[str, tuple[str, str, str]]:
         "coerce_integer": (text, "STRING", coerce.coerce_integer_sql("x")),
         "coerce_boolean": (text, "STRING", coerce.coerce_boolean_sql("x")),
         "cosine": (pair, "DOUBLE", vectors.cosine_sql("a", "b")),
+        "embed": (text, "ARRAY<FLOAT>", vectors.embed_sql("x")),
     }
 
 

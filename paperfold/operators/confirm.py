@@ -122,7 +122,9 @@ def dedup_apply(records: DataFrame, staged: DataFrame, decisions: DataFrame) ->
     staged: record columns of the new documents, row_index from 0
     decisions: document_id, matched_record_id, decision
     keep_both (default): inserted, every row pointing at the match. skip:
-    nothing. replace: the match keeps its id but takes row 0 of the new
+    nothing. A match that does not exist is an error, and its document inserts
+    nothing; one that another decision strands is a match no longer, so the
+    pointer to it is empty. replace: the match keeps its id but takes row 0 of the new
     document; its document's other rows go; rows 1.. are inserted. Two new
     documents replacing one record: the smaller document_id wins, the other
     reports that its match is gone. Anything else is an error.
@@ -145,6 +147,9 @@ def dedup_apply(records: DataFrame, staged: DataFrame, decisions: DataFrame) ->
             F.first("schema_id").alias("schema_id"),
         )
     )
+    vanished = exists.filter("decision = 'keep_both' AND __old_doc IS NULL").select(
+        "document_id", F.lit("matched record no longer exists").alias("error")
+    )
     lost = (
         exists.filter("decision = 'replace'")
         .join(winners.select("document_id", "matched_record_id"), ["document_id", "matched_record_id"], "left_anti")
@@ -155,7 +160,8 @@ def dedup_apply(records: DataFrame, staged: DataFrame, decisions: DataFrame) ->
     )
 
     keep = staged.join(
-        decided.filter("decision = 'keep_both'").select("document_id", "matched_record_id"), "document_id"
+        exists.filter("decision = 'keep_both' AND __old_doc IS NOT NULL").select("document_id", "matched_record_id"),
+        "document_id",
     ).withColumn("is_duplicate_of", F.col("matched_record_id"))
     placed = staged.join(winners.select("document_id", "matched_record_id"), "document_id")
     swapped = placed.filter("row_index = 0").select(
@@ -171,9 +177,7 @@ def dedup_apply(records: DataFrame, staged: DataFrame, decisions: DataFrame) ->
         ["document_id", "schema_id"],
         "left_semi",
     ).join(matched_ids, "id", "left_anti")
-    kept = detach_duplicates(
-        records.join(stranded.select("id"), "id", "left_anti").select(*records.columns), stranded
-    )
+    kept = records.join(stranded.select("id"), "id", "left_anti").select(*records.columns)
     in_place = (
         kept.join(swapped, F.col("id") == F.col("__id"), "left")
         .withColumns(
@@ -188,7 +192,8 @@ def dedup_apply(records: DataFrame, staged: DataFrame, decisions: DataFrame) ->
     )
     tail = placed.filter("row_index > 0").select(*records.columns)
     state = in_place.unionByName(keep.select(*records.columns)).unionByName(tail)
-    return state, lost.unionByName(unknown)
+    # Old rows and those just inserted may both point at a stranded row.
+    return detach_duplicates(state, stranded), lost.unionByName(vanished).unionByName(unknown)
 
 
 def link_topics(

@@ -33,6 +33,22 @@ def identity_tuple(identities: DataFrame, identity_fields: list[str]) -> DataFra
     return values.filter(complete).select("document_id", F.array(*columns).alias("identity"))
 
 
+def row_identities(rows: DataFrame, identity_fields: list[str]) -> DataFrame:
+    """(document_id, identity array) of flattened records that have ALL identity
+    values: per field the first non-null value by row, read from the map."""
+    values = rows.select(
+        "document_id", "row_index", *[F.try_element_at("data", F.lit(f)).alias(f"__{i}") for i, f in enumerate(identity_fields)]
+    )
+    columns = [F.col(f"__{i}") for i in range(len(identity_fields))]
+    first = [F.min_by(c, F.when(c.isNotNull(), F.col("row_index"))).alias(f"__{i}") for i, c in enumerate(columns)]
+    identity = F.array(*columns)
+    return (
+        values.groupBy("document_id").agg(*first)
+        .select("document_id", identity.alias("identity"))
+        .filter(~F.exists("identity", lambda v: v.isNull()))
+    )
+
+
 def record_identities(records: DataFrame, fields: DataFrame, identity_columns: DataFrame) -> DataFrame:
     """Identity of live records, each read under the names of its own version.
 

@@ -99,7 +99,10 @@ def parse_reply(replies: DataFrame, multirow: Column) -> DataFrame:
 
     A flat schema answers {values, confidence}; one with row fields answers
     {document: {...}, rows: [{...}]}. Scores that are not numbers read as NULL.
+    `error` is set where the reply is missing or no JSON object; such a reply
+    must not be taken for one without values.
     """
+    object_ = F.from_json("reply_json", "map<string,string>").isNotNull()
     reply = replies.withColumn("__reply", F.from_json("reply_json", REPLY_SCHEMA))
     nothing = F.create_map().cast("map<string,string>")
 
@@ -120,6 +123,7 @@ def parse_reply(replies: DataFrame, multirow: Column) -> DataFrame:
             F.when(multirow, F.col("__reply.document.confidence")).otherwise(F.col("__reply.confidence"))
         ).alias("confidence"),
         F.when(multirow, rows).otherwise(empty_rows).alias("rows"),
+        F.when(~F.coalesce(object_, F.lit(False)), "the reply is not a JSON object").alias("error"),
     )
 
 
@@ -296,14 +300,14 @@ def infer_schema(cells: DataFrame) -> DataFrame:
     (field, type, description, required). One pass, aggregated before the
     shuffle, so the field with most cells costs no more than the others.
     """
-    from paperfold.functions.casts import safe_date_sql, safe_timestamp_sql
+    from paperfold.functions.casts import plain_date_sql, safe_timestamp_sql
 
     value = "value"
     fits = {
         "integer": "value RLIKE '^[+-]?[0-9]+$' AND try_cast(value AS INT) IS NOT NULL",
         "number": "try_cast(value AS DECIMAL(38,10)) IS NOT NULL",
         "boolean": "try_cast(value AS BOOLEAN) IS NOT NULL",
-        "date": f"({safe_date_sql(value)}) IS NOT NULL AND length(trim(value)) <= 18",
+        "date": plain_date_sql(value),
         "datetime": f"({safe_timestamp_sql(value)}) IS NOT NULL",
     }
     # NULL cells say nothing about the type, only about `required`.

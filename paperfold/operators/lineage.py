@@ -21,8 +21,9 @@ KEY_PATTERN = "^f_[0-9a-f]{8}$"
 BASE_COLUMNS = (
     "id", "document_id", "row_index", "schema_version_id", "is_duplicate_of", "created_at", "topic_ids",
 )
-# One minting attempt per salt; three clashing 32-bit hashes do not happen.
-_MINT_SALTS = 3
+# Minting attempts per name. A name for which all of them are taken ends the job;
+# it never goes on without a key.
+_MINT_SALTS = 8
 
 
 def valid_key(column: str = "column") -> Column:
@@ -67,7 +68,14 @@ def mint_keys(names: DataFrame, taken: DataFrame) -> DataFrame:
         .agg(F.min(F.struct("salt", "name")).alias("first"))
         .select("schema_id", "column", "first.salt", "first.name")
     )
-    return owned.groupBy("schema_id", "name").agg(F.min_by("column", "salt").alias("minted"))
+    minted = owned.groupBy("schema_id", "name").agg(F.min_by("column", "salt").alias("minted"))
+    none_free = F.raise_error(F.concat(F.lit("no free column key for "), "name"))
+    return (
+        names.select("schema_id", "name")
+        .distinct()
+        .join(minted, ["schema_id", "name"], "left")
+        .withColumn("minted", F.coalesce("minted", none_free))
+    )
 
 
 def backfill_keys(fields: DataFrame) -> DataFrame:

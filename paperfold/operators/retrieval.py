@@ -7,7 +7,7 @@ words, see `with_terms`) and `embedding` where a search needs them.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -20,7 +20,7 @@ from pyspark.sql.window import Window as W
 from paperfold.functions.text import SNIPPET_CHARS, let_sql, tokens_sql
 from paperfold.functions.vectors import cosine_sql
 from paperfold.operators.scope import scope_by_topics
-from paperfold.sources.elements import text_elements_sql
+from paperfold.sources.elements import html_blocks, per_document, text_elements_sql
 
 VECTOR_WEIGHT = 0.6
 TEXT_WEIGHT = 0.4
@@ -77,6 +77,46 @@ def chunk_by_title(docs: DataFrame, text: str = "text", max_chars: int = MAX_CHU
     )
 
 
+def _packed(pieces: Iterable[tuple], max_chars: int) -> Iterator[tuple]:
+    """Chunks (number, section, content, page, element types) of pieces (opens, type, text, page)."""
+    number, section, size, held = 0, 0, 0, []
+
+    def chunk():
+        texts, types = [p[2] for p in held], sorted({p[1] for p in held})
+        return number, section, "\n\n".join(texts), held[0][3], types
+
+    for piece in pieces:
+        opens, _, text, _ = piece
+        if held and (opens or size + 2 + len(text) > max_chars):
+            yield chunk()
+            number, held = number + 1, []
+        section += opens
+        size = size + 2 + len(text) if held else len(text)
+        held.append(piece)
+    if held:
+        yield chunk()
+
+
+def chunk_html(docs: DataFrame, column: str = "html", max_chars: int = MAX_CHUNK_CHARS) -> DataFrame:
+    """`chunk_by_title` for HTML documents, with the page a chunk begins on.
+
+    Blocks are read and packed in one pass over a document: no shuffle. A table
+    is chunked by its words.
+    """
+
+    def pieces(source: str | None) -> Iterator[tuple]:
+        page = 1
+        for kind, text, _ in html_blocks(source):
+            if kind == "PageBreak":
+                page += 1
+            for start in range(0, len(text), max_chars):
+                yield kind == "Title" and start == 0, kind, text[start : start + max_chars], page
+
+    names = ["chunk_index", "section", "content", "page_number", "element_types"]
+    types = ["int", "int", "string", "int", "array<string>"]
+    return per_document(docs, column, lambda source: _packed(pieces(source), max_chars), names, types)
+
+
 def stem_sql(w: str) -> str:
     """Plural endings removed (S-stemmer, Harman 1991)."""
     return (
@@ -141,7 +181,8 @@ def in_topics(chunks: DataFrame, topic_ids: list[str] | None) -> DataFrame:
 
 
 def hybrid_score(vector: str = "vector_score", text: str = "text_score") -> Column:
-    return F.round(VECTOR_WEIGHT * F.col(vector) + TEXT_WEIGHT * F.col(text), SCORE_DIGITS)
+    # A chunk without a vector (no words to embed) is judged by its text alone.
+    return F.round(VECTOR_WEIGHT * F.coalesce(F.col(vector), F.lit(0.0)) + TEXT_WEIGHT * F.col(text), SCORE_DIGITS)
 
 
 def hybrid_search(
@@ -171,8 +212,18 @@ def _block_scorer(block: list, df_of: dict[str, int], total: int, mean_length: f
     A chunk stays a candidate while it reaches its question's k-th score so far,
     ties included; candidates shrink to the k best by score and id.
     """
-    vectors = np.array([q["embedding"] for q in block], dtype=np.float64)
-    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    size = max((len(q["embedding"]) for q in block if q["embedding"] is not None), default=0)
+
+    def unit(rows) -> np.ndarray:
+        """Vectors at length 1; one that is missing, empty or of length 0 stays all zeros."""
+        out = np.zeros((len(rows), size))
+        for at, row in enumerate(rows):
+            if row is not None and len(row) == size:
+                out[at] = row
+        lengths = np.linalg.norm(out, axis=1, keepdims=True)
+        return np.divide(out, lengths, out=np.zeros_like(out), where=lengths > 0)
+
+    vectors = unit([q["embedding"] for q in block])
     ids = np.array([q["question_id"] for q in block], dtype=object)
     scopes: dict[frozenset, list[int]] = {}
     for at, question in enumerate(block):
@@ -218,8 +269,7 @@ def _block_scorer(block: list, df_of: dict[str, int], total: int, mean_length: f
         for batch in batches:
             for start in range(0, len(batch), rows_at_once):
                 rows = batch.iloc[start : start + rows_at_once]
-                points = np.array(rows["embedding"].tolist(), dtype=np.float64)
-                cosine = (points / np.linalg.norm(points, axis=1, keepdims=True)) @ vectors.T
+                cosine = unit(rows["embedding"].tolist()) @ vectors.T
                 text = text_scores(rows["terms"])
                 score = np.round(VECTOR_WEIGHT * cosine + TEXT_WEIGHT * text, SCORE_DIGITS)
                 keep = score >= floor
@@ -312,11 +362,11 @@ def relax(chunks: DataFrame, questions: DataFrame, k: int = TOP_K) -> DataFrame:
     return first.unionByName(again)
 
 
-def source_cards(hits: DataFrame) -> DataFrame:
-    """snippet: first 280 characters; page_number: an int only if it is digits."""
+def source_cards(hits: DataFrame, snippet_chars: int = SNIPPET_CHARS) -> DataFrame:
+    """snippet: the first characters; page_number: an int only if it is digits."""
     return hits.withColumns(
         {
-            "snippet": F.substring("content", 1, SNIPPET_CHARS),
+            "snippet": F.substring("content", 1, snippet_chars),
             "page_number": F.when(F.col("page_number").rlike("^[0-9]+$"), F.col("page_number").try_cast("int")),
         }
     )

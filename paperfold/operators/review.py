@@ -29,6 +29,12 @@ def is_clean(cells: DataFrame, threshold: float = CLEAN_THRESHOLD) -> DataFrame:
     return cells.groupBy("document_id").agg((~F.bool_or(low)).alias("clean"))
 
 
+def is_clean_rows(rows: DataFrame, threshold: float = CLEAN_THRESHOLD) -> DataFrame:
+    """`is_clean` on flattened records: scores are tested inside the row, not exploded."""
+    low = F.exists(F.map_values("data_confidence"), lambda score: F.coalesce(score < threshold, F.lit(False)))
+    return rows.groupBy("document_id").agg((~F.bool_or(F.coalesce(low, F.lit(False)))).alias("clean"))
+
+
 def confirm_all_clean(jobs: DataFrame, clean: DataFrame, failures: DataFrame | None = None) -> DataFrame:
     """(batch_id, document_id, outcome) for jobs awaiting review: confirmed or skipped.
 

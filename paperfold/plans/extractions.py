@@ -80,12 +80,13 @@ def order_replies(t: Tables):
     "parsed_replies",
     f"""WITH {fx.R1} SELECT document_id, count(amount) AS line_count,
     any_value(status) AS status, CAST(any_value(customer % 100) AS DOUBLE) / 100 AS confidence,
-    COALESCE(sum(CAST(round(quantity) AS BIGINT)), 0) AS quantity FROM r1 GROUP BY document_id""",
+    COALESCE(sum(CAST(round(quantity) AS BIGINT)), 0) AS quantity, NULL::VARCHAR AS error FROM r1 GROUP BY document_id""",
 )
 def parsed_replies(t):
     parsed = extraction.parse_reply(order_replies(t), F.lit(True))
     return parsed.select(
         "document_id",
+        "error",
         F.size("rows").cast("bigint").alias("line_count"),
         F.col("values")["Status"].alias("status"),
         F.col("confidence")["Status"].alias("confidence"),
@@ -237,10 +238,23 @@ def backfill_jobs(t):
     return extraction.backfill_payload(documents, fx.part_versions(t))
 
 
+@query(
+    "failed_replies",
+    """SELECT conv_id * 1000 + turn AS reply_id, true AS failed FROM conversations
+    UNION ALL SELECT item_id, false FROM benchmark""",
+)
+def failed_replies(t):
+    """Prose is no reply; an object around the same kind of text is one."""
+    prose = t.conversations.selectExpr("conv_id * 1000 + turn AS reply_id", "text AS reply_json")
+    sound = t.benchmark.selectExpr("item_id AS reply_id", "to_json(named_struct('values', map('text', text))) AS reply_json")
+    parsed = extraction.parse_reply(prose.unionByName(sound), F.lit(False))
+    return parsed.select("reply_id", F.col("error").isNotNull().alias("failed"))
+
+
 @query(
     "inferred_schema",
     """SELECT * FROM (VALUES ('Order Total', 'string', true), ('Amount', 'number', true), ('Order Date', 'date', true),
-    ('Customer', 'integer', true), ('Status', 'string', false), ('Open', 'boolean', true), ('Seen', 'datetime', false))
+    ('Customer', 'integer', true), ('Status', 'string', false), ('Open', 'boolean', true), ('Seen', 'datetime', false), ('Minute', 'datetime', true))
     q(name, type, required)""",
 )
 def inferred_schema(t):
@@ -252,7 +266,8 @@ def inferred_schema(t):
              named_struct('field', 'Customer', 'value', CAST(o_custkey AS STRING)),
              named_struct('field', 'Status', 'value', CASE WHEN o_orderstatus <> 'P' THEN o_orderstatus END),
              named_struct('field', 'Open', 'value', CAST(o_orderstatus = 'O' AS STRING)),
-             named_struct('field', 'Seen', 'value', if(o_orderstatus = 'P', NULL, date_format(o_orderdate, 'yyyy-MM-dd') || ' 10:20:30'))))"""
+             named_struct('field', 'Seen', 'value', if(o_orderstatus = 'P', NULL, date_format(o_orderdate, 'yyyy-MM-dd') || ' 10:20:30')),
+             named_struct('field', 'Minute', 'value', date_format(o_orderdate, 'yyyy-MM-dd') || ' 10:20')))"""
     )
     return extraction.infer_schema(cells).drop("description")
 

@@ -79,9 +79,9 @@ def order_specs(t: Tables) -> list[lineage.FieldSpec]:
     return _SPECS[app]
 
 
-def order_headers(t: Tables) -> DataFrame:
+def order_headers(t: Tables, where: str = "true") -> DataFrame:
     """document_id, schema_version_id, created_at, values, confidence; amounts as printed."""
-    return t.orders.selectExpr(
+    return t.orders.filter(where).selectExpr(
         "o_orderkey AS document_id",
         "CAST(o_orderkey % 3 + 1 AS INT) AS schema_version_id",
         "CAST(o_orderdate AS TIMESTAMP) AS created_at",
@@ -124,15 +124,15 @@ def order_lines(t: Tables) -> DataFrame:
     )
 
 
-def order_staged(t: Tables) -> DataFrame:
+def order_staged(t: Tables, where: str = "true") -> DataFrame:
     """Flattened payloads: document_id, schema_version_id, created_at, row_index, data, data_confidence."""
-    return extraction.flatten(order_headers(t), order_lines(t), hot_orders(t))
+    return extraction.flatten(order_headers(t, where), order_lines(t), hot_orders(t))
 
 
-def order_records(t: Tables) -> DataFrame:
+def order_records(t: Tables, where: str = "true") -> DataFrame:
     """Live records of the orders lineage, coerced as at confirm."""
     typed = extraction.coerce_record(
-        order_staged(t).withColumn("version", F.col("schema_version_id")),
+        order_staged(t, where).withColumn("version", F.col("schema_version_id")),
         order_fields(t).select("version", "name", "type"),
         ["version"],
     )

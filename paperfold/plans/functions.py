@@ -55,3 +55,16 @@ def sql_cosine(t):
            FROM {embeddings} a JOIN {embeddings} b ON b.vec_id = a.vec_id + 1""",
         embeddings=t.embeddings,
     )
+
+
+@query(
+    "sql_embed",
+    "SELECT doc_id, 384 AS size, 1.0::DOUBLE AS norm FROM documents WHERE regexp_matches(text, '[\\p{L}\\p{N}]')",
+)
+def sql_embed(t):
+    register_sql_functions(t.spark)
+    return t.sql(
+        """SELECT doc_id, size(v) AS size, round(sqrt(aggregate(v, 0D, (a, x) -> a + CAST(x AS DOUBLE) * x)), 5) AS norm
+           FROM (SELECT doc_id, embed(text) AS v FROM {documents}) WHERE size(v) > 0""",
+        documents=t.documents,
+    )

@@ -105,34 +105,29 @@ def retry_states(t):
 _LATEST = f"""WITH {_U}, j AS (SELECT job_id, job_id % 10 AS batch_id, arg_max(status, (ts, event_id)) AS status FROM u GROUP BY 1)"""
 
 
-@query(
-    "batch_completion",
-    f"""{_LATEST} SELECT batch_id, count(*) AS jobs, count(*) FILTER (WHERE status IN ('pending', 'extracting')) AS open_jobs,
-    count(*) FILTER (WHERE status IN ('pending', 'extracting')) = 0 AS done FROM j GROUP BY 1""",
-)
+_COMPLETION = f"""{_LATEST} SELECT batch_id, count(*) AS jobs, count(*) FILTER (WHERE status IN ('pending', 'extracting')) AS open_jobs,
+    count(*) FILTER (WHERE status IN ('pending', 'extracting')) = 0 AS done FROM j GROUP BY 1"""
+
+
+@query("batch_completion", _COMPLETION)
 def batch_completion(t):
     latest = fx.updates(t).groupBy("job_id").agg(F.max_by("status", F.struct("ts", "event_id")).alias("status"))
     return jobs.batch_completion(latest.withColumn("batch_id", F.col("job_id") % 10))
 
 
-@query(
-    "batch_completion_stream",
-    f"""WITH {_U} SELECT job_id % 10 AS batch_id, sum(CASE WHEN status IN ('pending', 'extracting') THEN 1 ELSE -1 END)::BIGINT AS open_jobs,
-    sum(CASE WHEN status IN ('pending', 'extracting') THEN 1 ELSE -1 END) <= 0 AS done FROM u GROUP BY 1""",
-)
+@query("batch_completion_stream", _COMPLETION)
 def batch_completion_stream(t):
     out = shared_folder(t.spark, "completion")
     marked = _update_stream(t).withColumn("batch_id", F.col("job_id") % 10)
-    counted = streams.batch_completion_stream(marked, F.col("status").isin("pending", "extracting"))
     running = (
-        counted.writeStream.outputMode("complete")
+        streams.latest_status_stream(marked).writeStream.outputMode("update")
         .option("checkpointLocation", shared_folder(t.spark, "completion-state"))
-        .foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(out))
+        .foreachBatch(streams.keep_changes(out))
         .trigger(availableNow=True)
         .start()
     )
     running.awaitTermination()
-    return t.spark.read.parquet(out)
+    return streams.completion(t.spark.read.parquet(out).drop("trigger"))
 
 
 @query(

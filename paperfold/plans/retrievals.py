@@ -11,7 +11,7 @@ from paperfold.plans import fixtures as fx
 from paperfold.plans.registry import Tables, query
 from paperfold.plans.sources import _ELEMENTS
 from paperfold.session import as_table
-from paperfold.sources.elements import partition_text
+from paperfold.sources.elements import text_elements_sql
 
 MAX_CHARS = retrieval.MAX_CHUNK_CHARS
 
@@ -37,6 +37,17 @@ def title_chunks(t):
     return retrieval.chunk_by_title(docs).drop("page_number").withColumn("element_types", F.array_join("element_types", ","))
 
 
+@query(
+    "html_chunks",
+    "SELECT doc_id AS document_id, CAST(n AS INT) AS chunk_index, CAST(n AS INT) + 1 AS page_number, 'part ' || n || ' of ' || doc_id || chr(10) || chr(10) || 'row ' || n AS content"
+    " FROM documents, (SELECT unnest(range(0, 3)) AS n) q",
+)
+def html_chunks(t):
+    page = "concat('<h2>part ', n, ' of ', doc_id, '</h2><table><tr><td>row<td>', n, '</table><hr>')"
+    docs = t.documents.selectExpr("doc_id AS document_id", f"array_join(transform(sequence(0, 2), n -> {page}), '') AS html")
+    return retrieval.chunk_html(docs).select("document_id", "chunk_index", "page_number", "content")
+
+
 @query("embedded_documents", "SELECT doc_id, 384 AS size, 1.0::DOUBLE AS norm FROM documents WHERE regexp_matches(text, '[\\p{L}\\p{N}]')")
 def embedded_documents(t):
     embedded = vectors.embed(t.documents.select("doc_id", "text"), "text").filter(F.size("embedding") > 0)
@@ -58,21 +69,20 @@ def cosine_scores(t):
 
 # Each block of a document is a chunk; vectors are dealt out over the chunks.
 def chunks(t: Tables):
-    blocks = partition_text(t.documents.selectExpr("doc_id AS document_id", "text")).selectExpr(
-        "document_id", "seq AS chunk_index", "text AS content"
+    blocks = t.documents.selectExpr("doc_id AS document_id", "array(lang) AS topic_ids", f"inline({text_elements_sql('text')})").selectExpr(
+        "document_id", "seq AS chunk_index", "text AS content", "topic_ids"
     )
-    langs = t.documents.selectExpr("doc_id AS document_id", "array(lang) AS topic_ids")
     keyed = t.sql(
         "SELECT *, (document_id * 31 + chunk_index) % (SELECT max(vec_id) + 1 FROM {embeddings}) AS vec_id FROM {blocks}",
         embeddings=t.embeddings,
         blocks=blocks,
     )
-    full = keyed.join(t.embeddings.select("vec_id", "embedding"), "vec_id").join(langs, "document_id").drop("vec_id")
+    full = keyed.join(t.embeddings.select("vec_id", "embedding"), "vec_id").drop("vec_id")
     return retrieval.with_terms(full)
 
 
 def questions(t: Tables):
-    """User turns; their first two content words and a vector are the question.
+    """User turns; their content words and a vector are the question.
 
     A third of the conversations ask within English, a third within a topic no
     chunk has, detected or explicit, and a third without a scope.
@@ -86,7 +96,7 @@ def questions(t: Tables):
     ready = retrieval.with_terms(asked.join(t.embeddings.select("vec_id", "embedding"), "vec_id"))
     return ready.selectExpr(
         "question_id",
-        "slice(terms, 1, 2) AS terms",
+        "terms",
         "embedding",
         "CASE conv_id % 3 WHEN 0 THEN array('en') WHEN 1 THEN array('nowhere') END AS topic_ids",
         "conv_id % 2 = 0 AS auto_detected",
@@ -105,7 +115,7 @@ CHUNKS = f"""{_ELEMENTS}, chunks AS (SELECT e.document_id, e.seq AS chunk_index,
   tf AS (SELECT document_id, chunk_index, term, count(*) AS tf, any_value(n) AS n FROM
     (SELECT document_id, chunk_index, len(terms) AS n, unnest(terms) AS term FROM chunks) q GROUP BY 1, 2, 3),
   df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1)"""
-_QUESTIONS = f"""questions AS (SELECT conv_id, conv_id * 1000 + turn AS question_id, list_distinct(({_TERMS.format(x='text')})[1:2]) AS terms,
+_QUESTIONS = f"""questions AS (SELECT conv_id, conv_id * 1000 + turn AS question_id, list_distinct({_TERMS.format(x='text')}) AS terms,
     v.embedding AS qv, CASE conv_id % 3 WHEN 0 THEN 'en' WHEN 1 THEN 'nowhere' END AS topic, conv_id % 2 = 0 AS auto
     FROM conversations c JOIN embeddings v ON v.vec_id = (conv_id * 17 + turn) % (SELECT max(vec_id) + 1 FROM embeddings) WHERE role = 'user')"""
 _BM25 = """(ln(1 + (corpus.n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * tf.n / length)))"""
@@ -121,14 +131,14 @@ _SCORED = f"""scored AS (SELECT q.question_id, q.topic, q.auto, c.document_id, c
 
 @query(
     "text_scores",
-    f"""WITH {CHUNKS}, questions AS (SELECT 0 AS question_id, list_distinct(({_TERMS.format(x='text')})[1:2]) AS terms FROM conversations
+    f"""WITH {CHUNKS}, questions AS (SELECT 0 AS question_id, list_distinct({_TERMS.format(x='text')}) AS terms FROM conversations
       WHERE role = 'user' ORDER BY conv_id, turn LIMIT 1), {_TEXT}
     SELECT c.document_id, c.chunk_index, round(COALESCE(text_score, 0), 9) AS text_score FROM chunks c
     LEFT JOIN ts ON ts.document_id = c.document_id AND ts.chunk_index = c.chunk_index""",
 )
 def text_scores(t):
     first = t.conversations.filter("role = 'user'").orderBy("conv_id", "turn").limit(1)
-    terms = retrieval.with_terms(first, "text").first()["terms"][:2]
+    terms = retrieval.with_terms(first, "text").first()["terms"]
     return retrieval.text_score(chunks(t), terms).select(
         "document_id", "chunk_index", F.round("text_score", 9).alias("text_score")
     )
@@ -143,7 +153,7 @@ def text_scores(t):
 def hybrid_search(t):
     question = questions(t).orderBy("question_id").first()
     documents = t.documents.selectExpr("doc_id AS document_id", "'doc_' || doc_id AS filename")
-    stored = as_table(chunks(t).repartition("document_id"), "chunks")
+    stored = as_table(chunks(t), "chunks")
     best = retrieval.hybrid_search(stored, documents, question["terms"], question["embedding"], ["en"])
     return best.select("document_id", "chunk_index", "score", "filename")
 
@@ -156,7 +166,7 @@ def hybrid_search(t):
       WHERE topic IS NULL OR topic = lang) q WHERE rank <= 8""",
 )
 def hybrid_search_many(t):
-    stored = as_table(chunks(t).repartition("document_id"), "chunks")
+    stored = as_table(chunks(t), "chunks")
     hits = retrieval.hybrid_search_many(stored, as_table(questions(t), "questions"))
     return hits.select("question_id", "document_id", "chunk_index", "score", F.col("rank").cast("bigint").alias("rank"))
 
@@ -169,7 +179,7 @@ def hybrid_search_many(t):
       FROM scored WHERE topic IS NULL OR topic = lang OR (topic = 'nowhere' AND auto)) q WHERE rank <= 8""",
 )
 def relaxed_search(t):
-    return retrieval.relax(as_table(chunks(t).repartition("document_id"), "chunks"), as_table(questions(t), "questions")).select(
+    return retrieval.relax(as_table(chunks(t), "chunks"), as_table(questions(t), "questions")).select(
         "question_id", "document_id", "chunk_index", "score", "scoped"
     )
 

@@ -52,14 +52,12 @@ _STAGED = "status = 'O'"
 
 
 def _staged_identities(t: Tables):
-    staged = extraction.staged_cells(fx.order_staged(t).filter(F.col("data")["Status"] == "O"))
-    names = ["Customer", "Priority"]
-    found = dedup.identity_tuple(dedup.identity_values(staged, names), names)
+    found = dedup.row_identities(fx.order_staged(t, "o_orderstatus = 'O'"), ["Customer", "Priority"])
     return found.withColumn("schema_id", F.lit(fx.ORDER_SCHEMA))
 
 
 def _live(t: Tables):
-    return fx.order_records(t).filter(F.col("data")["Status"] != "O")
+    return fx.order_records(t, "o_orderstatus <> 'O'")
 
 
 def _identity_columns(t: Tables, *columns: str):
@@ -113,7 +111,7 @@ def batch_twins(t):
 
 def _edited(t: Tables):
     """The second line of every order gets a typed amount; every first line is copied as an added row."""
-    old = cells(t)
+    old = as_table(cells(t), "cells")
     typed = old.withColumn(
         "value",
         F.when((F.col("row_index") == 1) & (F.col("field") == "Line Amount"), "1,250.00").otherwise(F.col("value")),
@@ -138,7 +136,7 @@ _CLEAN = f"""{CELLS}, clean AS (SELECT document_id, NOT bool_or(COALESCE(confide
 
 @query("clean_documents", f"WITH {_CLEAN} SELECT * FROM clean")
 def clean_documents(t):
-    return review.is_clean(cells(t))
+    return review.is_clean_rows(fx.order_staged(t))
 
 
 @query(
@@ -153,7 +151,7 @@ def bulk_confirm(t):
         "if(o_orderstatus = 'O', 'awaiting_review', 'confirmed') AS status",
     )
     refused = t.orders.filter("o_custkey % 2 = 1").selectExpr("o_orderkey AS document_id")
-    return review.confirm_all_clean(jobs, review.is_clean(cells(t)), refused)
+    return review.confirm_all_clean(jobs, review.is_clean_rows(fx.order_staged(t)), refused)
 
 
 @query(
@@ -223,10 +221,10 @@ def live_suggestions(t):
 
 @query(
     "chunks_without_vectors",
-    "SELECT doc_id AS document_id, text AS content FROM documents JOIN embeddings ON vec_id = doc_id",
+    "SELECT doc_id AS document_id, text AS content FROM documents",
 )
 def chunks_without_vectors(t):
-    chunks = t.documents.join(t.embeddings, F.col("vec_id") == F.col("doc_id")).selectExpr(
+    chunks = t.documents.join(t.embeddings, F.col("vec_id") == F.col("doc_id"), "left").selectExpr(
         "doc_id AS document_id", "text AS content", "embedding"
     )
     return review.strip_embeddings(chunks)

@@ -77,7 +77,7 @@ _CSV = """c_custkey || ',"' || c_name || ', of ' || c_mktsegment || '"' || chr(1
 )
 def delimited_previews(t):
     texts = t.customer.selectExpr("c_custkey AS document_id", f"{_CSV} AS content")
-    return files.read_delimited(texts, ",").withColumn("cells", F.array_join("cells", "~"))
+    return files.read_delimited(texts, ",").withColumn("cells", F.array_join("cells", "~")).drop("error")
 
 
 @query(
@@ -133,11 +133,12 @@ def text_blocks(t):
 @query(
     "preview_blocks",
     f"""WITH {_ELEMENTS} SELECT document_id, seq, CASE WHEN type = 'Title' THEN 'heading' ELSE 'text' END AS kind,
-    substr(text, 1, 4000) AS text FROM els WHERE seq < 400""",
+    text, NULL::VARCHAR AS rows, false AS truncated FROM els""",
 )
 def preview_blocks(t):
     docs = t.documents.selectExpr("doc_id AS document_id", "text")
-    return elements.preview_elements(elements.partition_text(docs)).drop("page_number")
+    shown = elements.preview_elements(elements.partition_text(docs)).drop("page_number")
+    return shown.withColumn("rows", F.to_json("rows"))
 
 
 @query(
@@ -162,6 +163,32 @@ def html_table_rows(t):
     return elements.html_table_rows(docs)
 
 
+@query(
+    "preview_tables",
+    """SELECT c_custkey AS document_id, 0 AS seq, 'table' AS kind, 'Name Segment ' || c_name || ' & co ' || c_mktsegment AS text,
+      '[["Name","Segment"],["' || c_name || ' & co","' || c_mktsegment || '"]]' AS rows, false AS truncated FROM customer
+    UNION ALL SELECT c_custkey, 1, CASE WHEN c_nationkey = 1 THEN 'table' ELSE 'text' END,
+      CASE WHEN c_nationkey = 1 THEN 'open' || c_custkey ELSE 'no rows ' || c_custkey END,
+      CASE WHEN c_nationkey = 1 THEN '[["open' || c_custkey || '"]]' END, false FROM customer WHERE c_nationkey <= 1""",
+)
+def preview_tables(t):
+    rowless = "CASE WHEN c_nationkey = 0 THEN '<table><caption>no rows ' || c_custkey || '</caption></table>' ELSE '' END"
+    docs = t.customer.selectExpr("c_custkey AS document_id", f"{_TABLE_HTML} || {rowless} AS html")
+    shown = elements.preview_elements(elements.partition_html(docs)).drop("page_number")
+    return shown.withColumn("rows", F.to_json("rows"))
+
+
+@query(
+    "nested_table_rows",
+    """SELECT c_custkey AS document_id, unnest([0, 0, 1, 1]) AS table_no, unnest([0, 1, 0, 0]) AS row_no, unnest([0, 2, 0, 1]) AS col_no,
+      unnest(['wide', 'after', c_name, c_mktsegment]) AS cell FROM customer
+    UNION ALL SELECT c_custkey, 0, 1, 0, 'outer' FROM customer UNION ALL SELECT c_custkey, 0, 1, 1, '' FROM customer""",
+)
+def nested_table_rows(t):
+    html = """concat('<table><tr><td colspan=3>wide<tr><td>outer<td><table><tr><td>', c_name, '<td>', c_mktsegment, '</table><td>after</table>')"""
+    return elements.html_table_rows(t.customer.selectExpr("c_custkey AS document_id", f"{html} AS html"))
+
+
 @query("html_table_rows_sql", _TABLE_ROWS)
 def html_table_rows_sql(t):
     register_sql_functions(t.spark)
@@ -193,6 +220,19 @@ def written_records(t):
     )
 
 
+@query(
+    "replaced_table",
+    f"""WITH {fx.R1} SELECT document_id, count(*) AS records FROM r1 WHERE CAST(document_id AS BIGINT) % 3 <> 0 GROUP BY 1""",
+)
+def replaced_table(t):
+    # The new state is computed from the table it replaces.
+    path = shared_folder(t.spark, "replaced")
+    fx.order_records(t).write.parquet(path)
+    state = t.spark.read.parquet(path).filter("CAST(document_id AS BIGINT) % 3 <> 0")
+    sinks.replace_table(t.spark, state, path)
+    return t.spark.read.parquet(path).groupBy("document_id").agg(F.count(F.lit(1)).alias("records"))
+
+
 @query(
     "ingest_stream",
     """SELECT source AS batch_id, count(*) AS documents, sum(strlen(text))::BIGINT AS bytes, count(DISTINCT sha256(text)) AS contents

@@ -115,46 +115,66 @@ def preview_kind(filename: str = "filename", mime: str = "mime_type") -> Column:
     return F.coalesce(_lookup(formats.PREVIEW_KINDS, extension(filename)), by_mime)
 
 
-def scan_delimited(spark: SparkSession, path: str, sep: str = ",", header: bool = True) -> DataFrame:
-    """A whole delimited file or folder as a table; every column is text."""
+def scan_delimited(
+    spark: SparkSession, path: str, sep: str = ",", header: bool = True, line_breaks: bool = False
+) -> DataFrame:
+    """A whole delimited file or folder as a table; every column is text.
+
+    With `line_breaks`, cells may hold them, but then a file is one task's work;
+    without, large files are split.
+    """
     return spark.read.csv(
-        path, sep=sep, header=header, quote='"', escape='"', multiLine=True, encoding="UTF-8"
+        path, sep=sep, header=header, quote='"', escape='"', multiLine=line_breaks, encoding="UTF-8"
     )
 
 
-def read_delimited(files: DataFrame, sep: str = ",") -> DataFrame:
-    """Preview rows of files (document_id, content text): document_id, row_no, cells, truncated.
+def read_delimited(
+    files: DataFrame, sep: str = ",", max_rows: int | None = None, max_columns: int | None = None
+) -> DataFrame:
+    """Rows of files (document_id, content text): document_id, row_no, cells, truncated, error.
 
     A quoted cell may hold the separator or a line break, so a file is parsed
-    as one text. Blank rows go; the preview keeps 300 rows of 40 cells and says
-    whether it cut anything.
+    as one text. Blank rows go. Nothing is cut unless a limit is given, and
+    `truncated` says whether it cut anything. A file that can't be parsed gives
+    one row with its error and no cells; the others are not affected.
     """
-    max_rows, max_cols = formats.MAX_TABLE_ROWS, formats.MAX_TABLE_COLS
+
+    def rows_of(text: str):
+        csv.field_size_limit(max(len(text), 1))  # a cell may be as long as its file
+        rows, cut = [], False
+        for row in csv.reader(io.StringIO(text), delimiter=sep):
+            if not any(cell.strip() for cell in row):
+                continue
+            if max_rows is not None and len(rows) == max_rows:
+                return rows, True
+            cut = cut or (max_columns is not None and len(row) > max_columns)
+            rows.append(row[:max_columns])
+        return rows, cut
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for doc, text in zip(batch["document_id"], batch["content"], strict=True):
-                reader = csv.reader(io.StringIO((text or "").removeprefix("﻿")), delimiter=sep)
-                rows, cut = [], False
-                for row in reader:
-                    if not any(cell.strip() for cell in row):
-                        continue
-                    cut = cut or len(rows) == max_rows or len(row) > max_cols
-                    if len(rows) < max_rows:
-                        rows.append(row[:max_cols])
-                out += [(doc, i, cells, cut) for i, cells in enumerate(rows)]
-            yield pd.DataFrame(out, columns=["document_id", "row_no", "cells", "truncated"])
+                try:
+                    rows, cut = rows_of((text or "").removeprefix("\ufeff"))
+                except csv.Error as problem:
+                    out.append((doc, None, None, False, str(problem)))
+                else:
+                    out += [(doc, i, cells, cut, None) for i, cells in enumerate(rows)]
+            frame = pd.DataFrame(out, columns=["document_id", "row_no", "cells", "truncated", "error"])
+            yield frame.astype({"row_no": "Int32"})
 
     kind = files.schema["document_id"].dataType.simpleString()
-    schema = f"document_id {kind}, row_no int, cells array<string>, truncated boolean"
+    schema = f"document_id {kind}, row_no int, cells array<string>, truncated boolean, error string"
     return files.select("document_id", "content").mapInPandas(parse, schema)
 
 
-def clip_text(docs: DataFrame, text: str = "text", max_chars: int = formats.MAX_TEXT_CHARS) -> DataFrame:
-    """Display text of a document and whether it was cut. Bad bytes become U+FFFD."""
+def clip_text(docs: DataFrame, text: str = "text", max_chars: int | None = None) -> DataFrame:
+    """Display text of a document, and whether a given limit cut it. Bad bytes become U+FFFD."""
     if docs.schema[text].dataType.simpleString() == "binary":
         docs = docs.withColumn(text, F.expr(f"make_valid_utf8(CAST({text} AS STRING))"))
+    if max_chars is None:
+        return docs.withColumn("truncated", F.lit(False))
     return docs.withColumn("truncated", F.length(text) > max_chars).withColumn(
         text, F.substring(F.col(text), 1, max_chars)
     )

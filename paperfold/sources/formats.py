@@ -71,9 +71,3 @@ MEDIA_TYPES = {
     ".yaml": "application/yaml",
     ".yml": "application/yaml",
 }
-
-MAX_TEXT_CHARS = 200_000
-MAX_TABLE_ROWS = 300
-MAX_TABLE_COLS = 40
-MAX_ELEMENTS = 400
-MAX_ELEMENT_CHARS = 4_000

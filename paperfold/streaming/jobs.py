@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from paperfold.operators.browse import TERMINAL
+from paperfold.operators.jobs import batch_completion
 
 
 def status_change_stream(updates: DataFrame) -> DataFrame:
@@ -53,14 +54,27 @@ def request_rate_stream(requests: DataFrame, width: str, slide: str, delay: str
     )
 
 
-def batch_completion_stream(jobs: DataFrame, now_open: Column) -> DataFrame:
-    """Open jobs per batch from status updates: +1 when a job opens, -1 when it ends.
+def latest_status_stream(updates: DataFrame) -> DataFrame:
+    """The latest status of each job so far: batch_id, job_id, at (ts, event_id), status.
 
-    Complete mode: one row of state per batch. jobs: batch_id and rows marked by
-    `now_open` (true on opening, false on ending).
+    Update mode: a trigger gives the jobs it moved. A job's status is the one of
+    its latest update, however many came before and in whatever order they arrive.
     """
-    return (
-        jobs.groupBy("batch_id")
-        .agg(F.sum(F.when(now_open, 1).otherwise(-1)).alias("open_jobs"))
-        .withColumn("done", F.col("open_jobs") <= 0)
+    at = F.struct("ts", "event_id")
+    return updates.groupBy("batch_id", "job_id").agg(F.max(at).alias("at"), F.max_by("status", at).alias("status"))
+
+
+def keep_changes(folder: str):
+    """Writes each trigger's rows to a folder of its own, so a repeated trigger repeats itself."""
+
+    def keep(rows: DataFrame, trigger: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{folder}/trigger={trigger}")
+
+    return keep
+
+
+def completion(changes: DataFrame) -> DataFrame:
+    """Open jobs per batch from the kept changes of `latest_status_stream`."""
+    return batch_completion(
+        changes.groupBy("batch_id", "job_id").agg(F.max_by("status", "at").alias("status"))
     )

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from paperfold.functions.ordering import hot_keys
 from paperfold.operators import confirm, extraction, lineage, matching, retrieval, scope, topics, views
-from paperfold.sources import elements
-from paperfold.sources.files import extension, preview_kind
+from paperfold.sources import elements, sinks
+from paperfold.sources.files import extension, preview_kind, read_delimited
 
 
 def _fold(cells):
@@ -193,9 +193,102 @@ def test_chunks_respect_size_sections_and_text(spark):
 def test_html_rows_and_blocks():
     html = "<table><tr><td> a </td><th>b</th></tr><tr></tr><td>loose</td></tr><tr><td>open</td>"
     assert elements._html_rows(html) == [(0, 0, 0, "a"), (0, 0, 1, "b"), (0, 1, 0, "loose"), (0, 2, 0, "open")]
-    blocks = elements._html_blocks("<h1>T</h1><script>no()</script><p>one<br>two</p><ul><li>x</li></ul><table><tr><td>1</td></tr></table>")
+    blocks = elements.html_blocks("<h1>T</h1><script>no()</script><p>one<br>two</p><ul><li>x</li></ul><table><tr><td>1</td></tr></table>")
     assert [(k, t) for k, t, _ in blocks] == [("Title", "T"), ("NarrativeText", "one two"), ("ListItem", "x"), ("Table", "1")]
-    assert blocks[-1][2] == "<table><tr><td>1</td></tr></table>"
+    assert blocks[-1][2].markup() == "<table><tr><td>1</td></tr></table>"
+
+
+def test_html_chunks_carry_pages(spark):
+    html = "<h1>One</h1><p>" + "a" * 30 + "</p><hr><p>" + "b" * 250 + "</p><h2>Two</h2><table><tr><td>c<td>d</table>"
+    docs = spark.createDataFrame([(1, html), (2, None)], "document_id int, html string")
+    rows = sorted(retrieval.chunk_html(docs, max_chars=100).collect(), key=lambda r: r["chunk_index"])
+    assert [(r["section"], r["page_number"], len(r["content"])) for r in rows] == [(1, 1, 35), (1, 2, 100), (1, 2, 100), (1, 2, 50), (2, 2, 8)]
+    assert rows[0]["element_types"] == ["NarrativeText", "Title"] and rows[-1]["content"] == "Two\n\nc d"
+
+
+def test_html_tables_inside_tables():
+    html = "<table>cap<tr><td colspan=2>a &lt;b<td colspan=x>c<tr><td>d<table><tr><th>e</table>f<td><p>g</p>h</table>tail"
+    assert elements._html_rows(html) == [
+        (0, 0, 0, "a <b"), (0, 0, 2, "c"), (0, 1, 0, "d f"), (0, 1, 1, "g h"), (1, 0, 0, "e")
+    ]
+    (table, text), (_, tail) = [(b[2], b[1]) for b in elements.html_blocks(html)]
+    assert (text, tail) == ("cap a <b c d e f g h", "tail")
+    assert table.markup().startswith('<table><tr><td colspan="2">a &lt;b</td>')
+    assert elements._html_rows("<table><caption>no rows</caption></table><td>loose") == []
+    assert elements._html_rows(None) == []
+
+
+def test_preview_limits_are_told(spark):
+    rows = [["a", "b", "c"], ["d"], ["e"]]
+    blocks = [(1, 0, "Table", "abcdef", None, None, rows), (1, 1, "Table", "none", None, None, []), (1, 2, "Title", "T", None, None, None)]
+    frame = spark.createDataFrame(
+        blocks, "document_id int, seq int, type string, text string, page_number int, html string, rows array<array<string>>"
+    )
+    whole = {r["seq"]: r for r in elements.preview_elements(frame).collect()}
+    assert [whole[k]["kind"] for k in range(3)] == ["table", "text", "heading"]
+    assert whole[0]["rows"] == rows and not any(r["truncated"] for r in whole.values())
+    cut = {r["seq"]: r for r in elements.preview_elements(frame, 2, 3, 2, 2).collect()}
+    assert set(cut) == {0, 1} and cut[0]["rows"] == [["a", "b"], ["d"]] and cut[0]["text"] == "abc"
+    assert cut[0]["truncated"] and cut[1]["truncated"]
+
+
+def test_delimited_files_fail_alone(spark):
+    long = "x" * 300_000
+    files = spark.createDataFrame([(1, f"a,{long}\n\nb,c,d"), (2, None)], "document_id int, content string")
+    got = sorted(read_delimited(files).collect(), key=lambda r: r["row_no"])
+    assert [r["cells"] for r in got] == [["a", long], ["b", "c", "d"]]
+    cut = read_delimited(files, max_rows=1, max_columns=2).collect()
+    assert [(r["cells"], r["truncated"], r["error"]) for r in cut] == [(["a", long], True, None)]
+
+
+def test_replaced_table_keeps_the_old_one_until_the_swap(spark, tmp_path):
+    path = str(tmp_path / "table")
+    for state in ([1, 2], [3], []):
+        sinks.replace_table(spark, spark.createDataFrame([(x,) for x in state], "x int"), path)
+        assert sorted(r["x"] for r in spark.read.parquet(path).collect()) == state
+    (tmp_path / "table").rename(tmp_path / "table.old")  # a run that ended inside its swap
+    sinks.replace_table(spark, spark.createDataFrame([(9,)], "x int"), path)
+    assert [r["x"] for r in spark.read.parquet(path).collect()] == [9]
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["table"]
+
+
+def test_more_than_a_hundred_tasks(spark):
+    tasks = spark.createDataFrame([(f"t{k}", 1, ["a"]) for k in range(150)], "task string, option_id int, words array<string>")
+    docs = spark.createDataFrame([(1, ["a"]), (2, ["b"])], "doc_id int, words array<string>")
+    rows = matching.multi_task_classify(docs, tasks).collect()
+    assert len(rows) == 300 and all(r["selected"] == ([1] if r["doc_id"] == 1 else []) for r in rows)
+
+
+def test_empty_vectors_are_judged_by_text(spark):
+    chunk = "document_id int, chunk_index int, content string, terms array<string>, embedding array<float>, topic_ids array<string>"
+    chunks = spark.createDataFrame([(1, 0, "a", ["a"], [1.0, 0.0], []), (2, 0, "b", ["b"], [], []), (3, 0, "", [], None, [])], chunk)
+    asked = spark.createDataFrame(
+        [(1, ["b"], [1.0, 0.0], None), (2, ["b"], [], None)],
+        "question_id int, terms array<string>, embedding array<float>, topic_ids array<string>",
+    )
+    many = {(r["question_id"], r["document_id"]): r["score"] for r in retrieval.hybrid_search_many(chunks, asked).collect()}
+    assert many[1, 1] == 0.6 and many[1, 2] > 0 and many[1, 3] == 0 and many[2, 1] == 0 and many[2, 2] == many[1, 2]
+    names = spark.createDataFrame([(k, f"f{k}") for k in (1, 2, 3)], "document_id int, filename string")
+    one = {r["document_id"]: r["score"] for r in retrieval.hybrid_search(chunks, names, ["b"], [1.0, 0.0]).collect()}
+    assert one == {d: many[1, d] for d in (1, 2, 3)}
+
+
+def test_minutes_make_a_datetime(spark):
+    cells = spark.createDataFrame([("a", "2024-01-01 10:20"), ("b", "2024-01-01"), ("c", "24 September 2026")], "field string, value string")
+    assert {r["name"]: r["type"] for r in extraction.infer_schema(cells).collect()} == {"a": "datetime", "b": "date", "c": "date"}
+
+
+def test_no_decision_leaves_a_dangling_pointer(spark):
+    live = spark.createDataFrame([("r0", 1, "s", 1, 0, {}, None), ("r1", 1, "s", 1, 1, {}, None)], RECORD)
+    staged = spark.createDataFrame([(f"{n}0", d, "s", 1, 0, {}, None) for n, d in (("a", 2), ("b", 3), ("c", 4))], RECORD)
+    decisions = spark.createDataFrame(
+        [(2, "r0", "replace"), (3, "r1", "keep_both"), (4, "gone", None)],
+        "document_id int, matched_record_id string, decision string",
+    )
+    state, errors = confirm.dedup_apply(live, staged, decisions)
+    rows = {r["id"]: r["is_duplicate_of"] for r in state.collect()}
+    assert rows == {"r0": None, "b0": None}
+    assert [r["document_id"] for r in errors.collect()] == [4]
 
 
 def test_extensions_and_kinds(spark):
@@ -230,6 +323,34 @@ def test_scope_cannot_be_left(spark, tmp_path):
     assert child.sql("WITH c AS (SELECT * FROM view_a) SELECT sum(amount) FROM c").first()[0] == 10
     with pytest.raises(Exception):
         child.sql(f"SELECT * FROM parquet.`{path}`").collect()
+    spark.sql(f"CREATE TABLE kept_elsewhere USING parquet LOCATION '{path}'")
+    try:
+        for statement in (
+            "SET spark.sql.runSQLOnFiles=true",
+            f"CREATE TEMPORARY VIEW raw USING parquet OPTIONS (path '{path}')",
+            "SELECT sum(amount) FROM kept_elsewhere",
+            "SELECT (SELECT sum(amount) FROM default.kept_elsewhere)",
+            "WITH c AS (SELECT * FROM kept_elsewhere) SELECT * FROM c",
+            "SELECT 1 WHERE EXISTS (SELECT * FROM kept_elsewhere)",
+            "SELECT * FROM IDENTIFIER('kept_' || 'elsewhere')",
+            "INSERT INTO kept_elsewhere SELECT * FROM view_a",
+            "WITH c AS (SELECT * FROM view_a) INSERT INTO kept_elsewhere SELECT * FROM c",
+            "EXECUTE IMMEDIATE 'SELECT * FROM kept_elsewhere'",
+            "BEGIN SELECT * FROM kept_elsewhere; END",
+            "SELECT java_method('java.lang.System', 'setProperty', 'a', 'b')",
+            "DROP VIEW view_a",
+            "SHOW TABLES",
+        ):
+            with pytest.raises(PermissionError):
+                child.sql(statement)
+    finally:
+        spark.sql("DROP TABLE kept_elsewhere")
+    for statement in (
+        "SELECT sum(amount) FROM VIEW_A v WHERE v.amount > (SELECT avg(amount) - 1 FROM view_a)",
+        "WITH a AS (SELECT * FROM view_a), b AS (SELECT * FROM a) SELECT sum(b.amount) FROM b JOIN view_a USING (document_id)",
+        "SELECT max(s) FROM (SELECT sum(amount) OVER (ORDER BY document_id) AS s FROM view_a) ORDER BY 1 LIMIT 3",
+    ):
+        assert child.sql(statement).first()[0] == 10
     assert not spark.catalog.tableExists("view_a")
 
 
