@@ -31,19 +31,18 @@ def _documents(name: str, oracle: str | None = None):
     return lambda fn: query(name, oracle)(fn, "documents")
 
 
-_MIXING = sql.mixing(
-    {
-        "domain": f"list_extract({list(mixing.DOMAINS)}, 1 + (coalesce(try_cast(regexp_extract(source, '([0-9]+)$', 1) AS BIGINT), 0) % {len(mixing.DOMAINS)})::INT)",
+def mixing_sql(max_epochs: int = mixing.MAX_EPOCHS) -> str:
+    """The SQL twin of the mix over `documents`."""
+    number = "coalesce(try_cast(regexp_extract(source, '([0-9]+)$', 1) AS BIGINT), 0)"
+    levels = {
+        "domain": f"list_extract({list(mixing.DOMAINS)}, 1 + ({number} % {len(mixing.DOMAINS)})::INT)",
         "lang": "lang",
         "source": "source",
-    },
-    {"domain": mixing.DOMAINS, "lang": mixing.LANGUAGES},
-    mixing.SEED,
-    mixing.MAX_EPOCHS,
-)
+    }
+    return sql.mixing(levels, {"domain": mixing.DOMAINS, "lang": mixing.LANGUAGES}, mixing.SEED, max_epochs)
 
 
-@_documents("op1_mixing", _MIXING)
+@_documents("op1_mixing", mixing_sql())
 def _mixing(spark, docs):
     return mixing.mixed_documents(docs)
 
