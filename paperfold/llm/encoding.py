@@ -24,10 +24,8 @@ REMEMBERED = 400_000
 
 # The characters with the Unicode property White_Space.
 _SPACE = r"\t-\r \x85\xa0  -     　"
-# White space other than one blank or one newline between two words.
-_UNEVEN = re.compile(rf"[{_SPACE}]{{2}}|[\t\x0b-\r\x85\xa0  -     　]")
 _PIECES = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
-_SPACES = frozenset(map(chr, [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+_SPACES = frozenset(["", *map(chr, [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])])
 _BLANKS = re.compile(r" +[^ ]*")
 
 
@@ -78,11 +76,6 @@ def byte_tokenizer(path: str = BYTE_BPE):
     return kept(f"tokenizer {path}", load)
 
 
-# A word the tokenizer's own pattern takes whole: letters of Latin-1 alone, with
-# at most one newline before and one mark behind.
-_PLAIN_WORD = re.compile("(\n?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
-
-
 class ByteEncoder:
     """Ids of whole texts as little-endian unsigned 32-bit bytes, equal to the
     tokenizer's own `encode(text, add_special_tokens=False)`."""
@@ -95,28 +88,48 @@ class ByteEncoder:
         self._tokenizer = byte_tokenizer(path)
         self._merge = self._tokenizer.model.tokenize
         self._pack = [struct.Struct(f"<{n}I").pack for n in range(64)]
+        # Keys of pieces come without the blank in front, except those that begin a line.
         self._known = _Remembering(self._piece)
+        self._firsts = _Remembering(self._encode, 50_000)
+        self._words = _Remembering(self._word)
         show = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
-        letters = "".join(map(chr, range(0xC0, 0x100)))
-        self._shown = {ord(c): show(c)[0][0] for c in letters}
+        self._letters = {c: show(c)[0][0] for c in map(chr, range(0xC0, 0x100)) if c.isalpha()}
+        self._shown = {ord(c): shown for c, shown in self._letters.items()}
         self._blank = show(" ")[0][0]
-        self._marks = {c: self._encode(c) for c in ("\n", ".", ",", "")}
+        self._marks = {c: self._encode(c) for c in "\n.,"}
 
     def _encode(self, text: str) -> bytes:
         import numpy as np
 
         return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _word(self, word: str) -> bytes | None:
+        """Ids of a blank and a word of Latin-1 letters, which the tokenizer's own
+        pattern takes whole; None for anything else."""
+        if not word.isalpha():
+            return None
+        if word.isascii():
+            return self._merged(self._blank + word)
+        if any(c > "\x7f" and c not in self._letters for c in word):
+            return None
+        return self._merged(self._blank + word.translate(self._shown))
+
+    def _merged(self, shown: str) -> bytes:
+        ids = [token.id for token in self._merge(shown)]
+        return self._pack[len(ids)](*ids) if len(ids) < 64 else b"".join(self._pack[1](i) for i in ids)
+
     def _piece(self, piece: str) -> bytes:
-        # Keys come without the blank in front, except those that begin a line.
-        plain = _PLAIN_WORD.fullmatch(piece)
-        if plain is None:
-            return self._encode(piece if piece[:1] == "\n" else " " + piece)
-        newline, word, mark = plain.groups()
-        shown = word if word.isascii() else word.translate(self._shown)
-        ids = [t.id for t in self._merge(shown if newline else self._blank + shown)]
-        packed = self._pack[len(ids)](*ids) if len(ids) < 64 else b"".join(self._pack[1](i) for i in ids)
-        return self._marks[newline] + packed + self._marks[mark]
+        newline = piece[:1] == "\n"
+        mark = self._marks.get(piece[-1:])
+        word = piece[newline : -1 if mark else None]
+        if newline:
+            ids = None if not (word.isascii() and word.isalpha()) else self._marks["\n"] + self._merged(word)
+        else:
+            # Only a word with a mark meets the same word again.
+            ids = self._words[word] if mark else self._word(word)
+        if ids is None:
+            return self._encode(piece if newline else " " + piece)
+        return ids + mark if mark else ids
 
     def encode(self, text: str | None) -> bytes:
         if not text:
@@ -124,15 +137,16 @@ class ByteEncoder:
         if "\u180e" in text:  # white space to some libraries only
             return self._encode(text)
         known = self._known
-        if _UNEVEN.search(text) or text[0] in " \n" or text[-1] in " \n":
-            # A piece behind one blank is a key; any other run of white space is encoded as it is.
-            return b"".join(
-                known[p[1:]] if p[0] == " " and p[1:2] not in ("", "\n") and p[1] not in _SPACES
-                else self._encode(p)
-                for p in _PIECES.findall(text)
-            )
-        first, *rest = text.replace("\n", " \n").split(" ")
-        return self._encode(first) + b"".join(map(known.__getitem__, rest))
+        lines = text.replace("\n", " \n")
+        even = "  " not in lines and "\n " not in lines and text[0] not in " \n" and text[-1] not in " \n"
+        # Printable text has no white space but blanks.
+        if even and (lines.isprintable() or lines.replace("\n", "").isprintable()):
+            first, *rest = lines.split(" ")
+            return self._firsts[first] + b"".join(map(known.__getitem__, rest))
+        # A piece behind one blank is a key; any other run of white space is encoded as it is.
+        return b"".join(
+            known[p[1:]] if p[0] == " " and p[1:2] not in _SPACES else self._encode(p) for p in _PIECES.findall(text)
+        )
 
 
 def byte_encoder(path: str = BYTE_BPE) -> ByteEncoder:
