@@ -1,7 +1,7 @@
 """Times the headline queries; prints one JSON line.
 
 BENCH_SF_DIR (default sf0.1), BENCH_CPUS (default 8). Each query runs once to
-warm up, then BENCH_RUNS times (default 1); the median counts. Results go to the
+warm up, then BENCH_RUNS times (default 3); the median counts. Results go to the
 noop sink: every row is computed, nothing is collected.
 """
 
@@ -54,7 +54,7 @@ HEADLINE = (
 
 def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
-    runs = int(os.environ.get("BENCH_RUNS", "1"))
+    runs = int(os.environ.get("BENCH_RUNS", "3"))
     spark = local_session(os.environ.get("BENCH_CPUS", "8"), "paperfold-bench")
     times = {}
     for name in HEADLINE:
