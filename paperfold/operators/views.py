@@ -6,6 +6,7 @@ records: id, document_id, schema_id, schema_version_id, row_index,
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -79,6 +80,57 @@ def rebuild_views(
     return outcome
 
 
+def header_view(view: DataFrame, columns: list[str]) -> DataFrame:
+    """One row per document with its document-level columns (they repeat on its rows)."""
+    return view.groupBy("document_id").agg(*[F.max(c).alias(c) for c in columns])
+
+
+class StoredViews:
+    """Typed views kept as tables, so that browsing reads columns instead of maps.
+
+    A view is stored under the digest of its field specs and of whatever `stamp`
+    says about its records; while both stay the same it is read as it is. Rows
+    and document-level columns are apart, so a header total never reads rows.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder.rstrip("/")
+
+    def _path(self, name: str, specs: list[FieldSpec], stamp: str) -> str:
+        digest = hashlib.sha256(f"{stamp}|{specs!r}".encode()).hexdigest()[:32]
+        return f"{self.folder}/{name}/{digest}"
+
+    def _complete(self, path: str) -> bool:
+        place = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+        return place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+    def refresh(self, name: str, records: DataFrame, specs: list[FieldSpec], header: list[str], stamp: str = "") -> str:
+        """Stores a view unless it is there; "kept" or "built"."""
+        path = self._path(name, specs, stamp)
+        if self._complete(f"{path}/header"):
+            return "kept"
+        typed_view(records, specs).write.mode("overwrite").parquet(f"{path}/rows")
+        rows = self.spark.read.parquet(f"{path}/rows")
+        header_view(rows, header).write.mode("overwrite").parquet(f"{path}/header")
+        return "built"
+
+    def refresh_all(self, lineages: dict[str, tuple[DataFrame, list[FieldSpec], list[str]]], stamp: str = "") -> dict[str, str]:
+        """`refresh` for many lineages; one that fails is reported and stops no other."""
+        outcome = {}
+        for name, (records, specs, header) in lineages.items():
+            try:
+                outcome[name] = self.refresh(name, records, specs, header, stamp)
+            except Exception as exc:  # reported per lineage
+                outcome[name] = f"failed: {exc}"
+        return outcome
+
+    def rows(self, name: str, specs: list[FieldSpec], stamp: str = "") -> DataFrame:
+        return self.spark.read.parquet(f"{self._path(name, specs, stamp)}/rows")
+
+    def header(self, name: str, specs: list[FieldSpec], stamp: str = "") -> DataFrame:
+        return self.spark.read.parquet(f"{self._path(name, specs, stamp)}/header")
+
+
 def typed_cells(records: DataFrame, fields: DataFrame) -> DataFrame:
     """The long form of the typed view over ALL lineages at once.
 

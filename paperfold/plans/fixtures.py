@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paperfold.functions.ordering import hot_keys, ordered_index
-from paperfold.operators import extraction, lineage
+from paperfold.operators import extraction, lineage, views
 from paperfold.plans.registry import Tables
+from paperfold.session import shared_folder
 
 
 def plain(text: str) -> str:
@@ -148,6 +149,20 @@ def order_records(t: Tables, where: str = "true") -> DataFrame:
     )
 
 
+_STORES: dict[tuple[str, str], views.StoredViews] = {}
+
+
+def order_views(t: Tables) -> views.StoredViews:
+    """The stored view of the orders lineage, refreshed. One store per application and table folder."""
+    key = (t.spark.sparkContext.applicationId, t.folder)
+    if key not in _STORES:
+        _STORES[key] = views.StoredViews(t.spark, shared_folder(t.spark, "views"))
+    specs = order_specs(t)
+    header = [s.column for s in specs if s.scope != "row"]
+    _STORES[key].refresh("view_orders", order_records(t), specs, header)
+    return _STORES[key]
+
+
 # The same records in the SQL twins, straight from the tables.
 R1 = """r1 AS (
   SELECT o_orderkey AS document_id, CAST(o_orderkey % 3 + 1 AS INT) AS version,

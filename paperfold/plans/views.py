@@ -10,8 +10,13 @@ from paperfold.plans.registry import Tables, query
 
 
 def order_view(t: Tables, topics: bool = False):
-    links = fx.run(t, fx.DOCUMENT_TOPICS_SQL) if topics else None
-    return views.typed_view(fx.order_records(t), fx.order_specs(t), links)
+    """The stored view; browsing it reads typed columns."""
+    rows = fx.order_views(t).rows("view_orders", fx.order_specs(t))
+    return views.with_topics(rows, fx.run(t, fx.DOCUMENT_TOPICS_SQL)) if topics else rows
+
+
+def order_header(t: Tables):
+    return fx.order_views(t).header("view_orders", fx.order_specs(t))
 
 
 _LINKS = f"links AS ({fx.plain(fx.DOCUMENT_TOPICS_SQL)})"
@@ -23,7 +28,7 @@ _LINKS = f"links AS ({fx.plain(fx.DOCUMENT_TOPICS_SQL)})"
     SELECT CAST(sum(v) AS DOUBLE) AS total, count(*) AS documents FROM d""",
 )
 def header_field_total(t):
-    return browse.total_over_header(order_view(t), fx.TOTAL).select(F.col("total").cast("double").alias("total"), "documents")
+    return browse.total_over_header(order_header(t), fx.TOTAL).select(F.col("total").cast("double").alias("total"), "documents")
 
 
 @query(
@@ -75,7 +80,7 @@ def null_honest_total(t):
     order_date, status, CAST(amount AS DOUBLE) AS amount, ship_date FROM r1""",
 )
 def typed_view_rows(t):
-    return order_view(t).select(
+    return views.typed_view(fx.order_records(t), fx.order_specs(t)).select(
         "document_id",
         "row_index",
         F.col("schema_version_id").alias("version"),

@@ -369,3 +369,20 @@ def test_incomplete_reply_is_an_error(spark):
     df = spark.createDataFrame([("ok",), ("cut",)], "prompt string")
     got = {r["prompt"]: (r["reply_json"], r["error"]) for r in extraction.model_map(df, client).collect()}
     assert got["ok"] == ("{}", None) and got["cut"][0] is None and "length" in got["cut"][1]
+
+
+def test_stored_views_are_rebuilt_only_where_stale(spark, tmp_path):
+    record = "id string, document_id int, schema_id string, schema_version_id int, row_index int, is_duplicate_of string, created_at timestamp, data map<string,string>"
+    rows = [("a", 1, "s", 1, 0, None, None, {"Total": "5", "Line": "1"}), ("b", 1, "s", 1, 1, None, None, {"Total": "5", "Line": "2"})]
+    records = spark.createDataFrame(rows, record)
+    total = lineage.FieldSpec("f_00000001", "Total", "number", True, branches=(("Total", (1,)),))
+    line = lineage.FieldSpec("f_00000002", "Line", "integer", True, "row", branches=(("Line", (1,)),))
+    bad = lineage.FieldSpec("no key", "Line", "integer", True, branches=(("Line", (1,)),))
+    store = views.StoredViews(spark, str(tmp_path))
+    first = store.refresh_all({"one": (records, [total], ["f_00000001"]), "bad": (records, [bad], []), "two": (records, [total, line], ["f_00000001"])})
+    assert first["one"] == first["two"] == "built" and first["bad"].startswith("failed")
+    again = store.refresh_all({"one": (records, [total], ["f_00000001"]), "two": (records, [line, total], ["f_00000001"])})
+    assert again == {"one": "kept", "two": "built"}
+    assert [r["f_00000001"] for r in store.header("one", [total]).collect()] == [5]
+    assert sorted(r["f_00000002"] for r in store.rows("two", [total, line]).collect()) == [1, 2]
+    assert store.refresh("one", records, [total], ["f_00000001"], stamp="day 2") == "built"
