@@ -32,8 +32,11 @@ SHINGLE = 5
 PERCENT = 80
 BANDS, ROWS = 30, 5
 HASHES = BANDS * ROWS
-# Part of the signature read between two looks at the posterior.
-STEP = 30
+# Hashes read at each look at the posterior. The longer signature is made only for
+# members of a bucket that a first round of links leaves in different components.
+LOOKS = (30, 60, 90, 120, 150)
+LONG = 750
+LONG_LOOKS = (*LOOKS, 300, 450, 600, 750)
 # A pair is given up when its posterior chance of reaching the threshold is lower.
 MISS = 1e-6
 # Members of a bucket that meet in one task.
@@ -95,9 +98,7 @@ def sketches(docs: DataFrame, shingle: int) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
-        random = np.random.RandomState(1)
-        multipliers = random.randint(0, 1 << 32, HASHES, np.uint64).astype(np.uint32) | np.uint32(1)
-        addends = random.randint(0, 1 << 32, HASHES, np.uint64).astype(np.uint32)
+        multipliers, addends = hash_functions(HASHES)
         numbers = np.arange(BANDS, dtype=np.uint64)
         texts_at = None
         for batch in batches:
@@ -131,7 +132,16 @@ def sketches(docs: DataFrame, shingle: int) -> DataFrame:
     return rows.mapInArrow(sketch, "doc_id bigint, digest binary, n_shingles bigint, sig binary, bands array<bigint>")
 
 
-def least_matches(percent: int = PERCENT, miss: float = MISS) -> list[tuple[int, int]]:
+def hash_functions(count: int):
+    """Multipliers and addends of the first `count` hash functions."""
+    import numpy as np
+
+    random = np.random.RandomState(1)
+    drawn = random.randint(0, 1 << 32, (LONG, 2), np.uint64).astype(np.uint32)
+    return drawn[:count, 0] | np.uint32(1), drawn[:count, 1]
+
+
+def least_matches(percent: int = PERCENT, miss: float = MISS, ends: tuple = LOOKS) -> list[tuple[int, int]]:
     """(hashes read, matches needed to go on) at each look.
 
     One byte of two different minhashes agrees once in 256, so a pair of
@@ -142,14 +152,15 @@ def least_matches(percent: int = PERCENT, miss: float = MISS) -> list[tuple[int,
 
     s = (np.arange(20_000) + 0.5) / 20_000
     p = s + (1 - s) / 256
-    looks = []
-    for n in range(STEP, HASHES + 1, STEP):
-        for m in range(n + 1):
+    looks, m = [], 0
+    for n in ends:
+        while True:  # the number needed grows with the number read
             like = m * np.log(p) + (n - m) * np.log1p(-p)
             like = np.exp(like - like.max())
             if like[s >= percent / 100].sum() / like.sum() >= miss:
-                looks.append((n, m))
                 break
+            m += 1
+        looks.append((n, m))
     return looks
 
 
@@ -219,12 +230,9 @@ def _apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
     return named.filter("of_a <> of_b").select(*pairs.columns)
 
 
-def _residual(members: DataFrame, groups: DataFrame, uniques: DataFrame, looks) -> DataFrame:
-    """Surviving pairs of bucket members that are in different components.
-
-    Members of a bucket are dealt to tiles; every two tiles of a bucket meet in
-    one task, which holds at most about 2 * TILE signatures at a time.
-    """
+def _undecided(members: DataFrame, groups: DataFrame) -> DataFrame:
+    """Members of buckets that hold several components: key, id, component, leader, tiles.
+    A bucket of two has nothing more to meet: its leader met the other."""
     own = groups.select(F.col("node").alias("id"), "component")
     named = members.join(own, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = (
@@ -233,10 +241,38 @@ def _residual(members: DataFrame, groups: DataFrame, uniques: DataFrame, looks)
         .filter("low <> high AND n > 2")
         .select("key", F.ceil(F.col("n") / TILE).cast("int").alias("tiles"))
     )
+    return named.join(mixed, "key")
+
+
+def _long_signatures(texts: DataFrame, shingle: int) -> DataFrame:
+    """id and the longer signature (a byte per hash) of some texts."""
+
+    def sketch(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        functions = hash_functions(LONG)
+        for batch in batches:
+            sigs = [
+                signature(shingle_hashes(word_hashes(text), shingle), *functions).astype(np.uint8).tobytes()
+                for text in batch.column(1).to_pylist()
+            ]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sigs, pa.binary())], names=["id", "sig"])
+
+    return texts.select("id", "text").mapInArrow(sketch, "id bigint, sig binary")
+
+
+def _met_pairs(undecided: DataFrame, sigs: DataFrame, looks, best: bool) -> DataFrame:
+    """Surviving pairs of bucket members that are in different components.
+
+    Members of a bucket are dealt to tiles; every two tiles of a bucket meet in
+    one task, which holds at most about 2 * TILE signatures at a time. With
+    `best`, a member gives only the pair in which most hashes match.
+    """
+    width = looks[-1][0]
     tile = F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int")
     rows = (
-        named.join(mixed, "key")
-        .join(uniques.select("id", "sig"), "id")
+        undecided.join(sigs, "id")
         .withColumn("tile", tile)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
         .select(
@@ -260,7 +296,7 @@ def _residual(members: DataFrame, groups: DataFrame, uniques: DataFrame, looks)
         for batch in batches:
             now = [batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in names]
             sig = np.frombuffer(b"".join(batch.column(batch.schema.get_field_index("sig")).to_pylist()), np.uint8)
-            now.append(sig.reshape(-1, HASHES))
+            now.append(sig.reshape(-1, width))
             if rest is not None:
                 now = [np.concatenate(x) for x in zip(rest, now, strict=True)]
             cut = _last_start(now)
@@ -285,6 +321,7 @@ def _residual(members: DataFrame, groups: DataFrame, uniques: DataFrame, looks)
         begins = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (t1[1:] != t1[:-1]) | (t2[1:] != t2[:-1])])
         found = []
         for start, end in zip(begins, [*begins[1:], len(key)], strict=True):
+            most, partner = np.zeros(end - start, np.int64), np.full(end - start, -1)
             for i in range(start, end):
                 j = np.arange(i + 1, end)
                 # The leader has met everybody; tiles of a pair meet each other, not themselves.
@@ -292,9 +329,21 @@ def _residual(members: DataFrame, groups: DataFrame, uniques: DataFrame, looks)
                 if t1[i] != t2[i]:
                     fit &= tile[j] != tile[i]
                 j = j[fit]
-                if len(j):
-                    alive, _ = surviving(np.broadcast_to(sig[i], (len(j), HASHES)), sig[j], looks)
-                    found += [(max(ids[i], ids[x]), min(ids[i], ids[x])) for x in j[alive]]
+                if not len(j):
+                    continue
+                alive, matches = surviving(np.broadcast_to(sig[i], (len(j), width)), sig[j], looks)
+                j = j[alive]
+                if not best:
+                    found += [(max(ids[i], ids[x]), min(ids[i], ids[x])) for x in j]
+                elif len(j):
+                    better = matches > most[j - start]
+                    most[j[better] - start], partner[j[better] - start] = matches[better], i
+                    top = int(np.argmax(matches))
+                    if matches[top] > most[i - start]:
+                        most[i - start], partner[i - start] = matches[top], j[top]
+            for i in np.flatnonzero(partner >= 0):
+                a, b = ids[start + i], ids[partner[i]]
+                found.append((max(a, b), min(a, b)))
         pairs = sorted(set(found))
         yield pa.RecordBatch.from_arrays(
             [pa.array([int(p[k]) for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"]
@@ -334,18 +383,30 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     ids = hopeful.select(F.col("a").alias("id")).unionByName(hopeful.select(F.col("b").alias("id"))).distinct()
     texts = _texts_of(docs, as_table(ids, "candidate-ids"))
 
-    # One verification ties most members; the others are needed only across components.
-    best = hopeful.groupBy("a").agg(F.max_by("b", F.struct("matches", -F.col("b"))).alias("b"))
-    links = as_table(_verified(best, texts, shingle, percent), "links")
-    groups = components(links)
-    rest = hopeful.select("a", "b").join(best, ["a", "b"], "left_anti")
-    links = as_table(links.unionByName(_verified(_apart(rest, groups), texts, shingle, percent)), "links")
+    # One verification ties most members. A likely partner with a small id keeps the
+    # graph of links shallow.
+    likely = F.col("matches") >= percent * HASHES / 100
+    first = hopeful.groupBy("a").agg(F.max_by("b", F.struct(likely.alias("likely"), -F.col("b"))).alias("b"))
+    first = as_table(first, "first-pairs")
+    links = as_table(_verified(first, texts, shingle, percent), "links")
     groups = components(links)
-
-    late = as_table(_residual(members, groups, uniques, looks), "late-survivors")
-    late_ids = late.select(F.col("a").alias("id")).unionByName(late.select(F.col("b").alias("id"))).distinct()
-    late_texts = _texts_of(docs, as_table(late_ids, "late-ids"))
-    groups = components(links.unionByName(_verified(late, late_texts, shingle, percent)))
+    rest = as_table(hopeful.select("a", "b").join(first, ["a", "b"], "left_anti"), "other-pairs")
+    # Then each member of a bucket meets its best partner in another component, which
+    # ties the copies of one text to it; then all that are still apart meet.
+    undecided = as_table(_undecided(members, groups), "undecided")
+    apart = as_table(_apart(rest, groups), "apart-pairs")
+    ids = undecided.select("id").unionByName(apart.select(F.col("a").alias("id"))).unionByName(apart.select(F.col("b").alias("id")))
+    texts = _texts_of(docs, as_table(ids.distinct(), "late-ids"))
+    sigs = as_table(_long_signatures(texts, shingle), "long-signatures")
+    looks = least_matches(percent, ends=LONG_LOOKS)
+    late = as_table(_met_pairs(undecided, sigs, looks, True).unionByName(apart).distinct(), "late-pairs")
+    if not late.isEmpty():
+        links = as_table(links.unionByName(_verified(late, texts, shingle, percent)), "links")
+        groups = components(links)
+        last = _met_pairs(_undecided(undecided.drop("component", "tiles"), groups), sigs, looks, False)
+        last = as_table(last.join(late, ["a", "b"], "left_anti"), "last-pairs")
+        if not last.isEmpty():
+            groups = components(links.unionByName(_verified(last, texts, shingle, percent)))
 
     classes = uniques.select("digest", "id", "n_shingles").join(groups, F.col("id") == F.col("node"), "left")
     classes = as_table(classes.select("digest", "n_shingles", F.coalesce("component", "id").alias("group")), "classes")

@@ -327,6 +327,12 @@ def test_looks_never_give_up_similar_pairs():
     assert len(alive) >= 19_990
     far, _ = near_dedup.surviving(a, np.where(rng.random(same.shape) < 0.4, 0, 1).astype(np.uint8), looks)
     assert len(far) <= 5
+    long = near_dedup.least_matches(ends=near_dedup.LONG_LOOKS)
+    assert long[: len(looks)] == looks and [n for n, _ in long] == list(near_dedup.LONG_LOOKS)
+    for s, share in ((0.8, 0.9995), (0.66, -0.01)):
+        same = rng.random((5_000, near_dedup.LONG)) < s
+        kept, _ = near_dedup.surviving(np.zeros(same.shape, np.uint8), np.where(same, 0, 1).astype(np.uint8), long)
+        assert len(kept) >= share * 5_000 if share > 0 else len(kept) <= -share * 5_000
 
 
 def test_components_of_chains_stars_and_rings(spark):
