@@ -32,6 +32,19 @@ def page_records(view: DataFrame, limit: int = 50, offset: int = 0) -> DataFrame
     )
 
 
+def page_after(view: DataFrame, last: tuple, limit: int = 50) -> DataFrame:
+    """The page after the row with (created_at, document_id, row_index) `last`.
+
+    Unlike a deep offset it never sorts the pages before it.
+    """
+    at, document, row = (F.lit(value) for value in last)
+    older = (F.col("created_at") < at) | (
+        (F.col("created_at") == at)
+        & ((F.col("document_id") > document) | ((F.col("document_id") == document) & (F.col("row_index") > row)))
+    )
+    return page_records(view.filter(older), limit)
+
+
 def total_records(view: DataFrame) -> DataFrame:
     return view.agg(F.count(F.lit(1)).alias("total"))
 

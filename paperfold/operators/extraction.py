@@ -192,8 +192,10 @@ def concat_chunk_rows(rows: DataFrame) -> DataFrame:
     A row whose every value is NULL says "no line items here" and is dropped.
     """
     informative = F.exists(F.map_values("values"), lambda v: v.isNotNull())
+    # One chunk of a hot document may itself be large, so slices follow the position too.
+    coarse = F.struct("chunk_no", F.floor(F.col("pos") / ROW_SLICE).alias("part"))
     return ordered_index(
-        rows.filter(informative), ["document_id"], ["chunk_no", "pos"], F.col("chunk_no"), "row_index"
+        rows.filter(informative), ["document_id"], ["chunk_no", "pos"], coarse, "row_index"
     ).drop("chunk_no", "pos")
 
 

@@ -18,21 +18,21 @@ RETRY_DELAY_SECONDS = 30
 QUOTA_MARGIN = 0.9
 
 
-def day_slice(ts: str = "ts") -> Column:
-    return F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / F.lit(86_400_000_000))
+def minute_slice(ts: str = "ts") -> Column:
+    return F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / F.lit(60_000_000))
 
 
 def status_changes(updates: DataFrame, watched: list[str], order: list[str]) -> DataFrame:
     """Updates that differ from the job's previous one in a watched column.
 
     The feed of a job ends with its first terminal status. A job with very many
-    updates is cut by day.
+    updates is cut by minute.
     """
     keys = ["job_id"]
     before = along(
         updates,
         keys,
-        day_slice(),
+        minute_slice(),
         lambda rows, cut: previous_within(rows, keys, order, watched, "__before", cut),
     )
     changed = F.col("__before").isNull()
@@ -95,7 +95,7 @@ def retry_state(updates: DataFrame, limited: Column, order: list[str]) -> DataFr
         counted = running_within(rows, keys, order, sums={"__total": F.col("__limited")}, coarse=cut)
         return running_within(counted, keys, order, maxima={"__base": reset}, coarse=cut)
 
-    based = along(flagged, keys, day_slice(), count)
+    based = along(flagged, keys, minute_slice(), count)
     attempts = F.when(F.col("__limited") == 1, F.col("__total") - F.coalesce("__base", F.lit(0))).otherwise(0)
     hit = F.col("attempts") > 0
     return (

@@ -39,6 +39,21 @@ def repeated_content(t):
     return files.repeated_content(hashed)
 
 
+@query(
+    "upload_batches",
+    """SELECT source AS batch_id, 'schema of ' || source AS default_schema_id, source || ',all' AS topics, count(*) AS documents,
+    count(*) AS jobs FROM documents GROUP BY source""",
+)
+def upload_batches(t):
+    given = t.documents.selectExpr("doc_id AS path", "text AS content", "concat('f', doc_id) AS filename", "source")
+    found = files.document_inventory(
+        given, F.col("source"), F.concat(F.lit("schema of "), "source"), F.array(F.col("source"), F.lit("all"))
+    )
+    jobs = found.groupBy("batch_id").agg(F.countDistinct("job_id").alias("jobs"))
+    topics = F.array_join("default_topic_ids", ",").alias("topics")
+    return files.batch_table(found).join(jobs, "batch_id").select("batch_id", "default_schema_id", topics, "documents", "jobs")
+
+
 @query(
     "media_types",
     f"""WITH {_FILES} SELECT document_id, CASE document_id % 20 WHEN 0 THEN 'application/pdf' WHEN 1 THEN 'image/png'

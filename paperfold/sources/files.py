@@ -52,6 +52,15 @@ def document_inventory(
     )
 
 
+def batch_table(inventory: DataFrame) -> DataFrame:
+    """One row per upload batch: its hints and how many documents it has."""
+    return inventory.groupBy("batch_id").agg(
+        F.max("default_schema_id").alias("default_schema_id"),
+        F.max("default_topic_ids").alias("default_topic_ids"),
+        F.count(F.lit(1)).alias("documents"),
+    )
+
+
 def repeated_content(docs: DataFrame, doc_id: str = "document_id", file_hash: str = "file_hash") -> DataFrame:
     """Content seen more than once: copies and the first document holding it.
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from paperfold.functions.ordering import hot_keys
-from paperfold.operators import confirm, extraction, lineage, matching, retrieval, scope, topics, views
+from paperfold.operators import browse, confirm, extraction, lineage, matching, retrieval, scope, topics, views
 from paperfold.sources import elements, sinks
 from paperfold.sources.files import extension, preview_kind, read_delimited
 
@@ -386,3 +386,26 @@ def test_stored_views_are_rebuilt_only_where_stale(spark, tmp_path):
     assert [r["f_00000001"] for r in store.header("one", [total]).collect()] == [5]
     assert sorted(r["f_00000002"] for r in store.rows("two", [total, line]).collect()) == [1, 2]
     assert store.refresh("one", records, [total], ["f_00000001"], stamp="day 2") == "built"
+
+
+def test_a_page_after_a_row_is_the_next_page(spark):
+    rows = [(d, r, f"2024-01-0{1 + d % 3}") for d in range(9) for r in range(4)]
+    view = spark.createDataFrame(rows, "document_id int, row_index int, day string").selectExpr(
+        "document_id", "row_index", "CAST(day AS TIMESTAMP) AS created_at"
+    )
+    whole = browse.page_records(view, 100).collect()
+    last = whole[9]
+    after = browse.page_after(view, (last["created_at"], last["document_id"], last["row_index"]), 10).collect()
+    assert after == whole[10:20]
+
+
+def test_one_chunk_spread_over_slices(spark, monkeypatch):
+    from paperfold.functions import ordering
+
+    monkeypatch.setattr(extraction, "ROW_SLICE", 7)
+    rows = [(1, c, p, {"v": None if p % 5 == 0 else "x"}) for c in (0, 1) for p in range(60)]
+    frame = spark.createDataFrame(rows, "document_id int, chunk_no int, pos int, values map<string,string>")
+    for hot in (10, 95, 96, 97):  # 96 rows hold a value
+        monkeypatch.setattr(ordering.hot_keys, "__defaults__", (hot,))
+        got = sorted(r["row_index"] for r in extraction.concat_chunk_rows(frame).collect())
+        assert got == list(range(96))
