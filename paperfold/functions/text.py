@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+# How much of a text a list shows, unless the caller says otherwise.
 TITLE_CHARS = 80
 PREVIEW_CHARS = 120
 SNIPPET_CHARS = 280
@@ -17,12 +18,12 @@ def collapse_sql(x: str) -> str:
     return rf"trim(regexp_replace({x}, '[\\s\\x1c-\\x1f\\x85\\xa0\\u2000-\\u200a\\u2028\\u2029\\u202f\\u3000]+', ' '))"
 
 
-def title_sql(x: str) -> str:
+def title_sql(x: str, chars: int = TITLE_CHARS) -> str:
     flat = collapse_sql(x)
     return (
         f"CASE WHEN coalesce({flat}, '') = '' THEN 'New chat'"
-        f" WHEN length({flat}) <= {TITLE_CHARS} THEN {flat}"
-        f" ELSE concat(rtrim(substring({flat}, 1, {TITLE_CHARS - 1})), '…') END"
+        f" WHEN length({flat}) <= {chars} THEN {flat}"
+        f" ELSE concat(rtrim(substring({flat}, 1, {chars - 1})), '…') END"
     )
 
 

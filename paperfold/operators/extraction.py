@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from paperfold.functions.coerce import coerce_value_sql
 from paperfold.functions.ordering import along, hot_keys, ordered_index, previous_within, running_within
 from paperfold.operators.lineage import field_scope
+from paperfold.session import as_table
+from paperfold.sources.elements import per_document
 
 MAX_EXTRACT_CHARS = 40_000
 # Rows of one document handled together; a longer document spans slices.
@@ -236,6 +238,61 @@ def flatten(header: DataFrame, rows: DataFrame, hot: DataFrame | None = None, sl
     )
 
 
+def split_long(docs: DataFrame, text: str = "text", limit: int = MAX_EXTRACT_CHARS) -> DataFrame:
+    """(document_id, chunk_no, part): a text up to the limit whole, a longer one in
+    parts cut at white space; only a word longer than the limit is cut itself."""
+
+    def parts(whole: str | None) -> Iterator[tuple[int, str]]:
+        rest, number = whole or "", 0
+        at = 0
+        while len(rest) - at > limit:
+            end = max(rest.rfind(mark, at + 1, at + limit) for mark in (" ", "\n", "\t"))
+            end = end if end > at else at + limit
+            yield number, rest[at:end]
+            at, number = end, number + 1
+        yield number, rest[at:]
+
+    return per_document(docs, text, parts, ["chunk_no", "part"], ["int", "string"])
+
+
+def extract_documents(
+    docs: DataFrame,
+    make_client: Callable[[], Callable[[str], tuple[str, bool]]],
+    text: str = "text",
+    limit: int = MAX_EXTRACT_CHARS,
+) -> tuple[DataFrame, DataFrame]:
+    """(flattened records, errors) of documents of any length.
+
+    A document goes to the model in parts; header values of its parts are
+    merged, rows follow each other. A document of which any part failed is an
+    error as a whole: it never becomes a record with something missing. Replies
+    are stored, so no part is sent twice. docs: document_id and the text.
+    """
+    asked = split_long(docs, text, limit).withColumnRenamed("part", "prompt")
+    replies = as_table(model_map(asked, make_client).drop("prompt").withColumnRenamed("error", "call_error"), "replies")
+    parsed = parse_reply(replies, F.lit(True))
+    problem = F.coalesce("call_error", "error")
+    errors = parsed.filter(problem.isNotNull()).groupBy("document_id").agg(F.min_by(problem, "chunk_no").alias("error"))
+    good = parsed.join(errors.select("document_id"), "document_id", "left_anti")
+    cells = good.select(
+        "document_id", "chunk_no", "confidence", F.explode_outer("values").alias("field", "value")
+    ).withColumn("confidence", F.try_element_at("confidence", F.col("field")))
+    merged = merge_header_chunks(cells.filter("field IS NOT NULL"))
+    entries = F.collect_list(F.struct("field", "value", "confidence"))
+    maps = merged.groupBy("document_id").agg(entries.alias("__cells")).select(
+        "document_id",
+        F.map_from_entries(F.transform("__cells", lambda c: F.struct(c["field"], c["value"]))).alias("__values"),
+        F.map_from_entries(F.transform("__cells", lambda c: F.struct(c["field"], c["confidence"]))).alias("__scores"),
+    )
+    header = good.select("document_id").distinct().join(maps, "document_id", "left").select(
+        "document_id",
+        F.coalesce("__values", F.create_map().cast("map<string,string>")).alias("values"),
+        F.coalesce("__scores", F.create_map().cast("map<string,double>")).alias("confidence"),
+    )
+    rows = concat_chunk_rows(reply_rows(good, ["document_id", "chunk_no"]))
+    return flatten(header, rows), errors
+
+
 def staged_cells(records: DataFrame) -> DataFrame:
     """Long form of flattened records: document_id, row_index, field, value, confidence."""
     return records.select(

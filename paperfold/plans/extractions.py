@@ -62,6 +62,39 @@ def extraction_routes(t):
     return extraction.route_by_length(t.documents, "text", 1500).groupBy("route").agg(F.count(F.lit(1)).alias("documents"))
 
 
+def _word_client():
+    """A stand-in that reads every word of its part as a row; a part with junk is cut off."""
+    import json
+    import re
+
+    def ask(prompt: str) -> tuple[str, bool]:
+        rows = [{"values": {"word": w}, "confidence": {"word": 0.9}} for w in re.findall(r"[^\x20\x09-\x0D]+", prompt)]
+        head = {"values": {"seen": "yes"}, "confidence": {"seen": 0.8}}
+        return json.dumps({"document": head, "rows": rows}), "***" not in prompt
+
+    return ask
+
+
+@query(
+    "long_documents",
+    """WITH w AS (SELECT doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words FROM documents)
+    SELECT doc_id AS document_id, greatest(len(words), 1) AS rows, md5(array_to_string(words, ' ')) AS said, 'yes' AS seen, NULL::VARCHAR AS error
+    FROM w WHERE NOT contains(text, '***')
+    UNION ALL SELECT doc_id, NULL, NULL, NULL, 'reply was cut off at the length limit' FROM w WHERE contains(text, '***')""",
+)
+def long_documents(t):
+    """Texts far beyond one prompt, extracted in full or not at all."""
+    docs = t.documents.selectExpr("doc_id AS document_id", "text")
+    records, errors = extraction.extract_documents(docs, _word_client, limit=1500)
+    words = F.array_sort(F.collect_list(F.struct("row_index", F.try_element_at("data", F.lit("word")).alias("w"))))
+    done = records.groupBy("document_id").agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.md5(F.array_join(F.transform(words, lambda x: x["w"]), " ")).alias("said"),
+        F.max(F.try_element_at("data", F.lit("seen"))).alias("seen"),
+    )
+    return done.withColumn("error", F.lit(None).cast("string")).unionByName(errors, allowMissingColumns=True)
+
+
 def order_replies(t: Tables):
     """One reply per order: a header, and its lines as rows."""
     part = F.struct("values", "confidence")
