@@ -95,10 +95,10 @@ def shared(nodes: DataFrame, parent: list[str], name: str) -> DataFrame:
     return marked.withColumn("target", target.cast("bigint"))
 
 
-def leaf_budgets(leaves: DataFrame, levels: tuple[str, ...], total: int | None) -> DataFrame:
-    """Leaves with `target`. Without a total, the budget is all tokens there are."""
+def leaf_budgets(leaves: DataFrame, levels: tuple[str, ...], total: int | None, percent: int = 100) -> DataFrame:
+    """Leaves with `target`. Without a total, the budget is a percentage of all tokens there are."""
     whole = leaves.agg(F.sum("tokens").alias("tokens"), F.sum("capacity").alias("capacity"))
-    asked = F.col("tokens") if total is None else F.lit(total).cast("bigint")
+    asked = F.expr(f"(tokens * {percent}) div 100") if total is None else F.lit(total).cast("bigint")
     above = whole.select(F.lit(0).alias("root"), F.least(asked, "capacity").alias("budget"))
     rooted = leaves.withColumn("root", F.lit(0))
     for depth, level in enumerate(levels):
@@ -146,12 +146,13 @@ def mix(
     total: int | None = None,
     max_epochs: int = MAX_EPOCHS,
     seed: int = SEED,
+    percent: int = 100,
 ) -> DataFrame:
     """doc_id, labels, tokens, epoch, tokens_taken of everything that is read."""
     names = tuple(levels)
     rows = measured(docs, levels)
     leaves = leaf_capacities(rows, names, weights, max_epochs)
-    budgets = as_table(leaf_budgets(leaves, names, total), "budgets")
+    budgets = as_table(leaf_budgets(leaves, names, total, percent), "budgets")
     return selected(rows, budgets, names, seed)
 
 
@@ -173,13 +174,20 @@ def document_weights(spark) -> dict[str, DataFrame]:
     }
 
 
-def mixed_documents(docs: DataFrame, total: int | None = None, max_epochs: int = MAX_EPOCHS) -> DataFrame:
-    return mix(docs, document_levels(), document_weights(docs.sparkSession), total, max_epochs)
+def mixed_documents(
+    docs: DataFrame, total: int | None = None, max_epochs: int = MAX_EPOCHS, percent: int = 100
+) -> DataFrame:
+    weights = document_weights(docs.sparkSession)
+    return mix(docs, document_levels(), weights, total, max_epochs, percent=percent)
+
+
+# Share of a corpus that is kept to come nearer to the weights.
+KEPT_PERCENT = 90
 
 
-def kept_documents(docs: DataFrame) -> DataFrame:
+def kept_documents(docs: DataFrame, percent: int = KEPT_PERCENT) -> DataFrame:
     """The documents a single-epoch mix reads, with all their columns. Nothing can
     be read twice, so sources that fall short pass their budget on. The document
     at a leaf's cut is kept whole."""
-    stay = mixed_documents(docs, max_epochs=1).select(F.col("doc_id").alias("__stay")).distinct()
+    stay = mixed_documents(docs, max_epochs=1, percent=percent).select(F.col("doc_id").alias("__stay")).distinct()
     return docs.join(stay, docs["doc_id"].eqNullSafe(F.col("__stay")), "left_semi")

@@ -31,7 +31,7 @@ def _documents(name: str, oracle: str | None = None):
     return lambda fn: query(name, oracle)(fn, "documents")
 
 
-def mixing_sql(max_epochs: int = mixing.MAX_EPOCHS) -> str:
+def mixing_sql(max_epochs: int = mixing.MAX_EPOCHS, percent: int = 100) -> str:
     """The SQL twin of the mix over `documents`."""
     number = "coalesce(try_cast(regexp_extract(source, '([0-9]+)$', 1) AS BIGINT), 0)"
     levels = {
@@ -39,7 +39,7 @@ def mixing_sql(max_epochs: int = mixing.MAX_EPOCHS) -> str:
         "lang": "lang",
         "source": "source",
     }
-    return sql.mixing(levels, {"domain": mixing.DOMAINS, "lang": mixing.LANGUAGES}, mixing.SEED, max_epochs)
+    return sql.mixing(levels, {"domain": mixing.DOMAINS, "lang": mixing.LANGUAGES}, mixing.SEED, max_epochs, percent)
 
 
 @_documents("op1_mixing", mixing_sql())

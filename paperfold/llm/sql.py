@@ -92,8 +92,8 @@ FROM members m JOIN groups g ON m.id = g.id
 """
 
 
-def mixing(levels: dict[str, str], weights: dict[str, dict[str, int]], seed: int, max_epochs: int) -> str:
-    """The mix over `documents`, its budget being all tokens there are."""
+def mixing(levels: dict[str, str], weights: dict[str, dict[str, int]], seed: int, max_epochs: int, percent: int = 100) -> str:
+    """The mix over `documents`, its budget being a percentage of all tokens there are."""
     names = list(levels)
     labels = ", ".join(f"coalesce({e}, '') AS {n}" for n, e in levels.items())
     plain = _PLAIN
@@ -108,7 +108,7 @@ def mixing(levels: dict[str, str], weights: dict[str, dict[str, int]], seed: int
         f"m AS (SELECT doc_id, {labels}, CASE WHEN {plain} = '' THEN 0 ELSE len(string_split({plain}, ' ')) END AS tokens FROM documents)",
         f"leaves AS (SELECT {', '.join(names)}, sum(tokens)::BIGINT AS available, (sum(tokens) * {max_epochs})::BIGINT AS capacity "
         f"FROM m GROUP BY ALL HAVING sum(tokens) > 0)",
-        "b0 AS (SELECT least(sum(available), sum(capacity))::HUGEINT AS budget FROM leaves)",
+        f"b0 AS (SELECT least(sum(available)::HUGEINT * {percent} // 100, sum(capacity)::HUGEINT)::HUGEINT AS budget FROM leaves)",
     ]
     for depth, level in enumerate(names):
         path, parent = names[: depth + 1], names[:depth]

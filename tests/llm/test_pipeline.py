@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 import corpus_pipeline
-from paperfold.llm import encoding, queries
+from paperfold.llm import encoding, mixing, queries
 from paperfold.session import as_table
 from tests.llm.test_operators import assert_gapless, groups_by_trying
 
@@ -66,8 +66,9 @@ def test_near_stage(steps):
 def test_mixing_stage(steps):
     con = duckdb.connect()
     con.register("documents", steps["mixed"].toArrow())
-    want = {r[0] for r in con.execute(queries.mixing_sql(max_epochs=1)).fetchall()}
+    want = {r[0] for r in con.execute(queries.mixing_sql(max_epochs=1, percent=mixing.KEPT_PERCENT)).fetchall()}
     got = rows(after(steps, "mixed"))
+    assert 0 < len(got) < steps["mixed"].count()
     assert {d for d, _ in got} == want and set(got) <= set(rows(steps["mixed"]))
 
 
