@@ -164,7 +164,9 @@ def quality_rules(
         .groupBy("doc_id")
         .agg(F.sum("words").alias("removed_words"), F.collect_set("line").alias("removed_lines"))
     )
-    counts = text_counts(docs)
+    # Stored, since a filter on these counts would otherwise be pushed below the steps
+    # that compute them, where each would be worked out again for every window.
+    counts = as_table(text_counts(docs), "text-counts")
     left = F.col("n_words") - F.col("removed_words")
     return (
         counts.join(removed, "doc_id", "left")
