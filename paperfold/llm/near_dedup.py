@@ -100,11 +100,9 @@ def sketches(docs: DataFrame, shingle: int) -> DataFrame:
 
         multipliers, addends = hash_functions(HASHES)
         numbers = np.arange(BANDS, dtype=np.uint64)
-        texts_at = None
         for batch in batches:
-            texts_at = batch.schema.get_field_index("text")
             digests, sizes, sigs, bands = [], [], [], []
-            for text in batch.column(texts_at).to_pylist():
+            for text in batch.column(1).to_pylist():
                 words = word_hashes(text)
                 shingles = shingle_hashes(words, shingle)
                 digests.append(hashlib.blake2b(words.tobytes(), digest_size=16).digest())
