@@ -265,7 +265,9 @@ def _met_pairs(undecided: DataFrame, sigs: DataFrame, looks, best: bool) -> Data
 
     Members of a bucket are dealt to tiles; every two tiles of a bucket meet in
     one task, which holds at most about 2 * TILE signatures at a time. With
-    `best`, a member gives only the pair in which most hashes match.
+    `best`, a member gives only the pair in which most hashes match; otherwise a
+    pair is given in the first band its members share, and in no other.
+    sigs: id, sig, bands.
     """
     width = looks[-1][0]
     tile = F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int")
@@ -282,6 +284,7 @@ def _met_pairs(undecided: DataFrame, sigs: DataFrame, looks, best: bool) -> Data
             "component",
             "leader",
             "sig",
+            "bands",
         )
     )
 
@@ -295,6 +298,8 @@ def _met_pairs(undecided: DataFrame, sigs: DataFrame, looks, best: bool) -> Data
             now = [batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in names]
             sig = np.frombuffer(b"".join(batch.column(batch.schema.get_field_index("sig")).to_pylist()), np.uint8)
             now.append(sig.reshape(-1, width))
+            bands = batch.column(batch.schema.get_field_index("bands"))
+            now.append(bands.flatten().to_numpy(zero_copy_only=False).reshape(-1, BANDS))
             if rest is not None:
                 now = [np.concatenate(x) for x in zip(rest, now, strict=True)]
             cut = _last_start(now)
@@ -313,7 +318,7 @@ def _met_pairs(undecided: DataFrame, sigs: DataFrame, looks, best: bool) -> Data
         import numpy as np
         import pyarrow as pa
 
-        key, t1, t2, tile, ids, component, leader, sig = c
+        key, t1, t2, tile, ids, component, leader, sig, bands = c
         if not len(key):
             return
         begins = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (t1[1:] != t1[:-1]) | (t2[1:] != t2[:-1])])
@@ -332,6 +337,8 @@ def _met_pairs(undecided: DataFrame, sigs: DataFrame, looks, best: bool) -> Data
                 alive, matches = surviving(np.broadcast_to(sig[i], (len(j), width)), sig[j], looks)
                 j = j[alive]
                 if not best:
+                    shared = np.argmax(bands[j] == bands[i], axis=1)
+                    j = j[bands[i][shared] == key[i]]
                     found += [(max(ids[i], ids[x]), min(ids[i], ids[x])) for x in j]
                 elif len(j):
                     better = matches > most[j - start]
@@ -395,7 +402,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     apart = as_table(_apart(rest, groups), "apart-pairs")
     ids = undecided.select("id").unionByName(apart.select(F.col("a").alias("id"))).unionByName(apart.select(F.col("b").alias("id")))
     texts = _texts_of(docs, as_table(ids.distinct(), "late-ids"))
-    sigs = as_table(_long_signatures(texts, shingle), "long-signatures")
+    sigs = as_table(_long_signatures(texts, shingle).join(uniques.select("id", "bands"), "id"), "long-signatures")
     looks = least_matches(percent, ends=LONG_LOOKS)
     late = as_table(_met_pairs(undecided, sigs, looks, True).unionByName(apart).distinct(), "late-pairs")
     if not late.isEmpty():
