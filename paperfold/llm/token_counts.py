@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from paperfold.llm import encoding
 
 TOKEN_LIMIT = 4096
-# The table of frequent pieces: at most so many entries, from so many documents.
+# The table of frequent pieces: at most so many entries, from so many documents a task.
 FREQUENT = 20_000
 SAMPLED = 2_000
 
@@ -28,23 +28,28 @@ SAMPLED = 2_000
 def frequent_lengths(
     docs: DataFrame, path: str = encoding.PIECE_BPE, most: int = FREQUENT, sampled: int = SAMPLED
 ) -> dict[str, int]:
-    """Lengths of the `most` commonest pieces of `sampled` documents, found in one task."""
+    """Lengths of at most `most` common pieces.
+
+    Each task counts the pieces of its first `sampled` documents. Rows are taken
+    until there are enough, so the first task or the first few run, not all.
+    """
 
     def count(batches):
         import pyarrow as pa
 
         counter = encoding.PieceCounter({}, path)
-        seen = Counter()
+        seen, left = Counter(), sampled
         for batch in batches:
-            for text in encoding.texts_of(batch):
+            for text in encoding.texts_of(batch)[:left]:
                 if text:
                     seen.update(encoding.pieces_of(text))
+            left = max(0, left - batch.num_rows)
         top = [piece for piece, n in seen.most_common(most) if n > 1]
         yield pa.RecordBatch.from_pydict(
             {"piece": pa.array(top, pa.string()), "n": pa.array([counter.length(p) for p in top], pa.int32())}
         )
 
-    rows = docs.select("text").limit(sampled).coalesce(1).mapInArrow(count, "piece string, n int")
+    rows = docs.select("text").mapInArrow(count, "piece string, n int").limit(most)
     return {row.piece: row.n for row in rows.collect()}
 
 
