@@ -2,8 +2,9 @@
 
 Two questions are asked of a document. Inside it: too few words, or too many
 words in repeated five-word windows. Across documents: lines that more than
-`line_limit` different documents of one host carry are furniture of that host
-and are removed; a document of which too little remains is depleted.
+`line_limit` different documents of one host carry, and more than `line_percent`
+of them, are furniture of that host and are removed; a document of which too
+little remains is depleted.
 
 Lines are compared lower-cased, trimmed, with single blanks and digits read as
 0, by 64-bit hash. Copies of one text count as one document, and the document
@@ -30,8 +31,14 @@ _WINDOW = 5
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 
-# Different documents of one host that may carry a line.
+# Different documents of one host that may carry a line, whatever the host's size.
 LINE_LIMIT = 200
+# The same by size of the host. A template line stays on its share of the pages
+# however many a host has, so a share separates it from a line many authors hit
+# upon; below 1,000 documents one percent would be a handful that chance explains,
+# so the floor holds there.
+HOST_FLOOR = 10
+HOST_PERCENT = 1
 # A document is depleted when less than this share of its words remains.
 MIN_LEFT_PERCENT = 30
 
@@ -136,19 +143,35 @@ def document_lines(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "host", "content", F.xxhash64("line").alias("line"), words.alias("words"))
 
 
-def frequent_lines(lines: DataFrame, line_limit: int = LINE_LIMIT) -> DataFrame:
+def host_sizes(docs: DataFrame) -> DataFrame:
+    """Different documents with a word of each host."""
+    worded = docs.filter(_text().rlike(_WORD))
+    texts = worded.select(F.coalesce(F.col("source"), F.lit("")).alias("host"), F.xxhash64(_text()).alias("content"))
+    return texts.distinct().groupBy("host").agg(F.count(F.lit(1)).alias("size"))
+
+
+def frequent_lines(
+    lines: DataFrame, line_limit: int = LINE_LIMIT, line_percent: int = 0, sizes: DataFrame | None = None
+) -> DataFrame:
     """host, line and first carrier of lines in more than `line_limit` different
-    documents of the host. Both steps combine before they shuffle."""
+    documents of the host and, given its size, more than `line_percent` of them.
+    The steps combine before they shuffle."""
     carriers = lines.groupBy("host", "line", "content").agg(F.min("doc_id").alias("first_id"))
-    return (
+    frequent = (
         carriers.groupBy("host", "line")
         .agg(F.count(F.lit(1)).alias("carriers"), F.min("first_id").alias("first_id"))
         .filter(F.col("carriers") > line_limit)
     )
+    if sizes is None:
+        return frequent
+    return frequent.join(sizes, "host").filter(100 * F.col("carriers") > line_percent * F.col("size")).drop("size")
 
 
 def quality_rules(
-    docs: DataFrame, line_limit: int = LINE_LIMIT, min_left_percent: int = MIN_LEFT_PERCENT
+    docs: DataFrame,
+    line_limit: int = LINE_LIMIT,
+    min_left_percent: int = MIN_LEFT_PERCENT,
+    line_percent: int = 0,
 ) -> DataFrame:
     """Counts, removed words and verdict of each document.
 
@@ -157,7 +180,8 @@ def quality_rules(
     adaptive execution splits a line that many documents carry.
     """
     lines = document_lines(docs)
-    frequent = as_table(frequent_lines(lines, line_limit), "frequent-lines")
+    sizes = host_sizes(docs) if line_percent > 0 else None
+    frequent = as_table(frequent_lines(lines, line_limit, line_percent, sizes), "frequent-lines")
     removed = (
         lines.join(frequent, ["host", "line"])
         .filter(~F.col("doc_id").eqNullSafe(F.col("first_id")))
@@ -181,11 +205,16 @@ def quality_rules(
     )
 
 
+def host_rules(docs: DataFrame) -> DataFrame:
+    """The rules with the limit that follows the size of the host."""
+    return quality_rules(docs, HOST_FLOOR, line_percent=HOST_PERCENT)
+
+
 def kept_documents(docs: DataFrame) -> DataFrame:
     """The documents that pass, with the columns they came with; removed lines are
     gone from `text`, and `n_chars`, where there is one, counts what remains."""
     passed = (
-        quality_rules(docs)
+        host_rules(docs)
         .filter("kept")
         .select(F.col("doc_id").alias("__id"), F.col("removed_lines").alias("__gone"))
         .dropDuplicates(["__id"])

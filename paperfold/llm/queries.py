@@ -69,10 +69,17 @@ def _near(spark, docs):
     return near_dedup.near_duplicates(docs, shingle=2)
 
 
+_VERDICT = "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words removed_words base_failed depleted kept".split()
+
+
 @_documents("op6_quality_rules", sql.QUALITY)
 def _quality(spark, docs):
-    columns = "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words removed_words base_failed depleted kept"
-    return quality.quality_rules(docs).select(*columns.split())
+    return quality.quality_rules(docs).select(*_VERDICT)
+
+
+@_documents("op6_quality_by_host")
+def _quality_by_host(spark, docs):
+    return quality.host_rules(docs).select(*_VERDICT)
 
 
 @_documents("op7_personal_data")
