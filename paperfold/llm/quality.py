@@ -211,15 +211,23 @@ def host_rules(docs: DataFrame) -> DataFrame:
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
-    """The documents that pass, with the columns they came with; removed lines are
-    gone from `text`, and `n_chars`, where there is one, counts what remains."""
-    passed = (
+    """The documents that pass, unchanged, so that exact copies stay exact copies
+    for the steps after this one; `without_furniture` takes the lines out."""
+    passed = host_rules(docs).filter("kept").select(F.col("doc_id").alias("__id")).distinct()
+    return docs.join(passed, docs["doc_id"].eqNullSafe(F.col("__id")), "left_semi")
+
+
+def without_furniture(docs: DataFrame) -> DataFrame:
+    """All documents without the removed lines of their host; `n_chars`, where there
+    is one, counts what remains. It makes copies in different hosts, and copies of a
+    line's first carrier, different: it belongs after deduplication."""
+    gone = (
         host_rules(docs)
-        .filter("kept")
+        .filter("removed_words > 0")
         .select(F.col("doc_id").alias("__id"), F.col("removed_lines").alias("__gone"))
         .dropDuplicates(["__id"])
     )
-    joined = docs.join(passed, docs["doc_id"].eqNullSafe(F.col("__id")))
+    joined = docs.join(gone, docs["doc_id"].eqNullSafe(F.col("__id")), "left")
     rest = F.filter(F.split("text", "\n"), lambda x: ~F.array_contains(F.col("__gone"), line_hash(x)))
     joined = joined.withColumn(
         "text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(rest, "\n"))

@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 
+import corpus_pipeline
 from paperfold.llm import queries, quality, sql
 
 LINE = "Home News Contact us imprint and privacy 2024 all pages"
@@ -84,3 +85,24 @@ def test_twin_where_lines_are_removed(spark, tmp_path):
     found = sorted(tuple(r) for r in got.collect())
     assert found == sorted(want.fetchall())
     assert sum(r[6] > 0 for r in found) == len(rows) - 1 and sum(r[8] for r in found) == 2
+
+
+def test_copies_across_hosts_fall_to_one(spark):
+    stages = dict(corpus_pipeline.STAGES)
+    rows = [(k, "hot", f"{LINE}\n{OWN.format(word(k))}") for k in range(20)]
+    # Copies of a later carrier and of the first one, in a small host and in the hot one.
+    rows += [(100, "small", rows[5][2]), (101, "small", rows[0][2]), (102, "hot", rows[0][2])]
+    docs = documents(spark, rows)
+    passed = stages["quality_rules"](spark, docs, "")
+    assert sorted(map(tuple, passed.collect())) == sorted(map(tuple, docs.collect()))
+    kept = stages["exact_duplicates"](spark, passed, "")
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(20))
+
+
+def test_lines_are_removed_on_request(spark):
+    rows = [(k, "hot", f"{LINE}\n{OWN.format(word(k))}") for k in range(20)] + [(100, "small", LINE), (101, "hot", None)]
+    got = {r.doc_id: r for r in quality.without_furniture(documents(spark, rows)).collect()}
+    assert {d: got[d].text for d, _, _ in rows} == {
+        d: OWN.format(word(d)) if 0 < d < 20 else t for d, _, t in rows
+    }
+    assert got[3].n_chars == len(got[3].text) and len(got) == len(rows)
