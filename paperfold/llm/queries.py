@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from paperfold.llm import (
-    chat, exact_dedup, licenses, mixing, near_dedup, packing, pii, quality, sql, token_counts, token_files,
+    chat, divergence, exact_dedup, licenses, mixing, near_dedup, packing, pii, quality, sql, token_counts, token_files, turns, warc,
 )
 from paperfold.session import as_table, prepare, shared_folder
 
@@ -110,3 +110,22 @@ def _chats(spark, conversations):
 
 
 query("op10_chat_formatting", _CHATS)(_chats, "conversations")
+
+
+def _archives(spark, pages):
+    folder = shared_folder(spark, "archives")
+    warc.write_archives(pages, folder)
+    return warc.read_archives(spark, folder, payloads=False).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
+query("op11_warc", sql.WARC)(_archives, "pages")
+
+
+@_documents("op12_source_divergence", sql.DIVERGENCE)
+def _divergence(spark, docs):
+    return divergence.source_divergence(docs)
+
+
+query("op13_conversation_repair", sql.CONVERSATIONS)(lambda spark, rows: turns.repair_damaged(rows), "conversations")

@@ -164,3 +164,143 @@ SELECT conv_id, count(*) AS n_turns,
        sum({marks} + length({escaped('role')}) + length({escaped('text')}))::BIGINT AS formatted_chars
 FROM c GROUP BY conv_id
 """
+
+
+def _transitions() -> str:
+    """The (cost, audit) pairs of the four states behind a row, from those ahead of it (`st`)."""
+    # Insertions lead from nothing, system and assistant to user, and from user to assistant.
+    user = "list_min([st[3], {'c': st[1].c + 2, 'a': st[1].a || 'I'}, {'c': st[2].c + 2, 'a': st[2].a || 'I'}, {'c': st[4].c + 2, 'a': st[4].a || 'I'}])"
+    assistant = "list_min([st[4], {'c': st[3].c + 2, 'a': st[3].a || 'I'}, {'c': st[1].c + 4, 'a': st[1].a || 'II'}, {'c': st[2].c + 4, 'a': st[2].a || 'II'}])"
+    return f"[st[1], st[2], {user}, {assistant}]"
+
+
+def _taken(state: int, role: str) -> str:
+    """Behind a row that is kept as `role`, or given that role, in a state."""
+    cost, letter = (f"CASE kind WHEN '{role}' THEN {a} ELSE {b} END" for a, b in ((0, 2), ("'K'", "'R'")))
+    return f"{{'c': st[{state}].c + more + {cost}, 'a': st[{state}].a || {letter}}}"
+
+
+CONVERSATIONS = f"""
+WITH RECURSIVE crc_steps AS (
+  SELECT i, 0 AS k, i::BIGINT AS c FROM range(256) t(i)
+  UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM crc_steps WHERE k < 8
+), crc_table AS (
+  SELECT list(c ORDER BY i) AS tbl FROM crc_steps WHERE k = 8
+), said AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations
+), coded AS (
+  SELECT conv_id, turn, role, text,
+         xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(key, ''), lambda x: ascii(x)::BIGINT)),
+             lambda c, b: xor(c >> 8, tbl[1 + (xor(c, b) & 255)])), 4294967295) % 20 AS code
+  FROM said, crc_table
+), damaged AS (
+  SELECT conv_id, turn, CASE code WHEN 4 THEN 'user' ELSE role END AS role,
+         CASE code WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(CASE code WHEN 3 THEN [1, 2] ELSE [1] END) AS copy
+  FROM coded WHERE code <> 0
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS place FROM damaged
+), faults AS (
+  SELECT conv_id, turn, role, text, place,
+         CASE WHEN NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') THEN 'b'
+              WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY place) > 1 THEN 'd'
+              WHEN NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*\\z') THEN 't' ELSE '' END AS fault,
+         CASE WHEN role[1:1] IN ('s', 'u', 'a') THEN role[1:1] ELSE 'o' END AS kind
+  FROM placed
+), paired AS (
+  SELECT *, lag(kind) OVER (PARTITION BY conv_id ORDER BY place) || kind AS pair FROM faults
+), counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+         count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate,
+         count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, max(place) AS n
+  FROM paired GROUP BY conv_id
+), solved AS (
+  SELECT conv_id, 0::BIGINT AS place, [{{'c': 0, 'a': ''}}, {{'c': 1000000, 'a': ''}}, {{'c': 1000000, 'a': ''}}, {{'c': 1000000, 'a': ''}}] AS st FROM counts
+  UNION ALL
+  SELECT conv_id, place, CASE WHEN fault IN ('b', 'd') THEN list_transform(st, lambda x: {{'c': x.c + 3, 'a': x.a || 'D'}}) ELSE [
+    {{'c': st[1].c + 3, 'a': st[1].a || 'D'}},
+    list_min([{{'c': st[2].c + 3, 'a': st[2].a || 'D'}}, CASE kind WHEN 's' THEN {{'c': st[1].c + more, 'a': st[1].a || 'K'}} ELSE {{'c': 1000000, 'a': ''}} END]),
+    list_min([{{'c': st[3].c + 3, 'a': st[3].a || 'D'}},
+      {_taken(1, 'u')},
+      {_taken(2, 'u')},
+      {_taken(4, 'u')}]),
+    list_min([{{'c': st[4].c + 3, 'a': st[4].a || 'D'}}, {_taken(3, 'a')}])] END
+  FROM (SELECT s.conv_id, f.place, f.fault, f.kind, CASE f.fault WHEN 't' THEN 1 ELSE 0 END AS more, {_transitions()} AS st
+        FROM solved s JOIN faults f ON f.conv_id IS NOT DISTINCT FROM s.conv_id AND f.place = s.place + 1)
+), chosen AS (
+  SELECT s.conv_id, list_min([st[1], st[4], {{'c': st[3].c + 2, 'a': st[3].a || 'I'}}, {{'c': st[2].c + 4, 'a': st[2].a || 'II'}}]) AS best
+  FROM solved s JOIN counts c ON c.conv_id IS NOT DISTINCT FROM s.conv_id AND c.n = s.place
+), letters AS (
+  SELECT conv_id, unnest(string_split(best.a, '')) AS letter, unnest(range(1, len(best.a) + 1)) AS nth FROM chosen WHERE best.a <> ''
+), edits AS (
+  SELECT conv_id, nth, letter,
+         sum(CASE WHEN letter <> 'I' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY nth) AS place,
+         sum(CASE WHEN letter <> 'D' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY nth) AS position
+  FROM letters
+), left_rows AS (
+  SELECT e.conv_id, e.nth, e.letter, e.position, CASE e.letter WHEN 'I' THEN '' ELSE f.text END AS text, f.role,
+         max(CASE WHEN e.position = 1 AND e.letter = 'K' AND f.kind = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY e.conv_id) AS has_system
+  FROM edits e LEFT JOIN faults f ON f.conv_id IS NOT DISTINCT FROM e.conv_id AND f.place = e.place WHERE e.letter <> 'D'
+), hashed AS (
+  SELECT conv_id, sha256(string_agg(CASE WHEN letter = 'K' THEN role WHEN (position - has_system) % 2 = 1 THEN 'user' ELSE 'assistant' END
+         || ':' || text, chr(10) ORDER BY nth)) AS digest FROM left_rows GROUP BY conv_id
+)
+SELECT o.conv_id, coalesce(c.gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+       coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(h.best.c, 0)::BIGINT AS cost,
+       coalesce(h.best.a, '') AS audit, coalesce(x.digest, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o
+LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN chosen h ON h.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN hashed x ON x.conv_id IS NOT DISTINCT FROM o.conv_id
+"""
+
+DIVERGENCE = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, {_LOWER} AS text FROM documents
+), words AS (
+  SELECT id, lang, source, unnest(regexp_extract_all(text, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM d
+), kept AS (
+  SELECT lang, term, count(*) AS total FROM words GROUP BY ALL HAVING count(DISTINCT id) >= 10
+), langs AS (
+  SELECT lang, count(*) AS v, sum(total) AS n FROM kept GROUP BY lang
+), groups AS (
+  SELECT DISTINCT lang, source FROM d
+), counts AS (
+  SELECT w.lang, w.source, w.term, count(*) AS c FROM words w JOIN kept k ON w.lang = k.lang AND w.term = k.term GROUP BY ALL
+), sizes AS (
+  SELECT lang, source, sum(c) AS n FROM counts GROUP BY ALL
+), cells AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.c, 0) AS c,
+         1 + 1000000000::HUGEINT * (coalesce(c.c, 0) + 2) // (coalesce(s.n, 0) + 2 * l.v) AS p,
+         1 + 1000000000::HUGEINT * (k.total + 2) // (l.n + 2 * l.v) AS q
+  FROM groups g JOIN kept k ON g.lang = k.lang JOIN langs l ON l.lang = g.lang
+  LEFT JOIN sizes s ON s.lang = g.lang AND s.source = g.source
+  LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+), far AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+  FROM cells a JOIN cells b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0)::BIGINT AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN far f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+), terms AS (
+  SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q) // (p + q))::BIGINT AS value FROM cells WHERE c > 0 AND p > q
+)
+SELECT *, (row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item))::INT AS rank FROM pairs
+UNION ALL
+SELECT * FROM (SELECT *, (row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item))::INT AS rank FROM terms) WHERE rank <= 10
+"""
+
+# Base32 takes five bits a letter: eight letters from each ten hexadecimal digits.
+WARC = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS response
+  FROM pages
+)
+SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         (1 + ((('0x' || substr(hex, (1 + 10 * (k // 8))::INT, 10))::BIGINT >> (35 - 5 * (k % 8))::INT) & 31))::INT, 1)), '') AS payload_digest,
+       CASE WHEN page_id = response THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> response THEN response END AS refers_to
+FROM p
+"""
