@@ -11,8 +11,8 @@ are a path; equal rows go in once, with their number. Rows with a common beginni
 share nodes, so a correction is made once for each node and each of its ancestors,
 times the rows that pass through, and never once per term.
 
-Equal rows are counted before they are dealt out by range, so rows that share a
-beginning meet in one task. A tree that grows past `NODES` is summed up and begun
+Rows are dealt out by their first items, so those that share a beginning meet in
+one task, where equal ones are counted first. A tree that grows past `NODES` is summed up and begun
 anew: sums of corrections do not care how rows are divided. A path is as long as
 the language has sources; the result has a row for each two sources anyway.
 
@@ -39,6 +39,8 @@ LEAST_DOCS = 10
 TOP_TERMS = 10
 # Nodes of a tree before it is summed up; about 200 bytes each.
 NODES = 200_000
+# Items of a path that decide which task it goes to.
+FIRST_ITEMS = 2
 # Fixed value: what stands between terms.
 BETWEEN = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 
@@ -129,7 +131,7 @@ def _distance(p, q):
 
 
 def pair_corrections(paths: DataFrame) -> DataFrame:
-    """lang, low, high (sources' ranks), both (the sum of corrections) from paths (lang, path, times)."""
+    """lang, low, high (sources' ranks), both (the sum of corrections) from the paths (lang, path) of all terms."""
 
     def grow(batches):
         import pyarrow as pa
@@ -155,8 +157,10 @@ def pair_corrections(paths: DataFrame) -> DataFrame:
                     trees = {}
         yield from (sent(*pair) for pair in trees.items())
 
-    near = paths.repartitionByRange("lang", "path").select("lang", "path", "times")
-    parts = near.mapInArrow(grow, "lang string, low bigint, high bigint, both bigint")
+    # By hash: sorting by range would send samples of whole paths to the driver.
+    dealt = paths.withColumn("first", F.slice("path", 1, FIRST_ITEMS)).repartition("lang", "first")
+    counted = dealt.groupBy("lang", "first", "path").agg(F.count(F.lit(1)).alias("times"))
+    parts = counted.select("lang", "path", "times").mapInArrow(grow, "lang string, low bigint, high bigint, both bigint")
     return parts.groupBy("lang", "low", "high").agg(F.sum("both").alias("both"))
 
 
@@ -194,8 +198,7 @@ def source_divergence(docs: DataFrame, least_docs: int = LEAST_DOCS, top_terms:
 
 def _pairs(shares: DataFrame, groups: DataFrame) -> DataFrame:
     path = F.sort_array(F.collect_list(F.struct("rank", "count", "p", "p0"))).cast(_PATH).alias("path")
-    paths = shares.groupBy("lang", "term").agg(path).groupBy("lang", "path").agg(F.count(F.lit(1)).alias("times"))
-    both = pair_corrections(paths)
+    both = pair_corrections(shares.groupBy("lang", "term").agg(path))
 
     one = groups.select("lang", "source", "rank", "p0", "v")
     other = groups.select("lang", F.col("source").alias("item"), F.col("rank").alias("item_rank"), F.col("p0").alias("item_p0"))
