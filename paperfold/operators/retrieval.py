@@ -6,29 +6,26 @@ words, see `with_terms`) and `embedding` where a search needs them.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterable, Iterator
 
-import numpy as np
-import pandas as pd
-from pyspark.ml.feature import BucketedRandomProjectionLSH
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from paperfold.functions.text import SNIPPET_CHARS, let_sql, tokens_sql
 from paperfold.functions.vectors import cosine_sql
 from paperfold.operators.scope import scope_by_topics
+from paperfold.operators.text_index import KEY, TextIndex, inverse_frequency, scaled, term_part
+from paperfold.operators.vector_index import VectorIndex, kth
+from paperfold.session import as_table, shared_folder
 from paperfold.sources.elements import html_blocks, per_document, text_elements_sql
 
 VECTOR_WEIGHT = 0.6
 TEXT_WEIGHT = 0.4
 TOP_K = 8
 MAX_CHUNK_CHARS = 500
-# Questions scored together against one pass over the chunks.
+# Questions that meet a part of the vector index together.
 QUESTION_BLOCK = 2_048
-BM25_K1, BM25_B = 1.2, 0.75
 # Scores are compared at this precision, so equal chunks tie on any hardware.
 SCORE_DIGITS = 9
 
@@ -149,7 +146,7 @@ def text_score(chunks: DataFrame, terms: list[str], output: str = "text_score")
 
     All terms must occur, as in a plain full-text query; a chunk without them
     scores 0 and stays in the result. Corpus figures come from one aggregated
-    row, used as a scalar.
+    row, used as a scalar. This reads every chunk; `TextIndex` reads postings.
     """
     terms = list(dict.fromkeys(terms))
     if not terms:
@@ -166,13 +163,12 @@ def text_score(chunks: DataFrame, terms: list[str], output: str = "text_score")
     parts = []
     for i, term in enumerate(terms):
         tf = F.size("terms").cast("double") - F.size(F.array_remove("terms", term))
-        idf = F.log(1 + (F.col("__f.n") - F.col(f"__f.df{i}") + 0.5) / (F.col(f"__f.df{i}") + 0.5))
-        damp = BM25_K1 * (1 - BM25_B + BM25_B * F.size("terms") / F.col("__f.length"))
-        parts.append(idf * tf * (BM25_K1 + 1) / (tf + damp))
+        idf = inverse_frequency(F.col("__f.n"), F.col(f"__f.df{i}"))
+        parts.append(idf * term_part(tf, F.size("terms"), F.col("__f.length")))
     total, every = parts[0], holds[0]
     for part, held in zip(parts[1:], holds[1:], strict=True):
         total, every = total + part, every & held
-    return scored.withColumn(output, F.when(every, total / (1 + total)).otherwise(0.0)).drop("__f")
+    return scored.withColumn(output, F.when(every, scaled(total)).otherwise(0.0)).drop("__f")
 
 
 def in_topics(chunks: DataFrame, topic_ids: list[str] | None) -> DataFrame:
@@ -185,6 +181,64 @@ def hybrid_score(vector: str = "vector_score", text: str = "text_score") -> Colu
     return F.round(VECTOR_WEIGHT * F.coalesce(F.col(vector), F.lit(0.0)) + TEXT_WEIGHT * F.col(text), SCORE_DIGITS)
 
 
+class PassageIndex:
+    """Passages ready to be searched by words and by vectors, in one folder.
+
+    `build` reads the passages once; searches read the index alone.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.text = TextIndex(spark, f"{folder}/text")
+        self.vectors = VectorIndex(spark, f"{folder}/vectors")
+
+    @classmethod
+    def build(cls, chunks: DataFrame, folder: str) -> PassageIndex:
+        """chunks: document_id, chunk_index, terms, embedding, topic_ids."""
+        stored = as_table(chunks.select(*KEY, "terms", "embedding", "topic_ids"), "passages")
+        TextIndex.build(stored, f"{folder}/text")
+        VectorIndex.build(stored, f"{folder}/vectors")
+        return cls(chunks.sparkSession, folder)
+
+    def search(self, questions: DataFrame, k: int = TOP_K) -> DataFrame:
+        """The k best passages of every question, exactly.
+
+        Two ranked lists are merged by bounds. Passages that hold all terms of a
+        question come out of the postings and are scored in full. Any other passage
+        has a text score of 0, so it is among the k best only if its cosine is among
+        the k highest and reaches the k-th score of the first list: the vector index
+        gives those, and no other pair is scored.
+        """
+        worded, others, asked = self._pairs(questions, k)
+        plain = self.vectors.scored(others, asked).withColumn("text_score", F.lit(0.0)).withColumn("score", hybrid_score())
+        columns = ["question_id", *KEY, "vector_score", "text_score", "score"]
+        order = W.partitionBy("question_id").orderBy(F.col("score").desc(), *KEY)
+        every = worded.select(*columns).unionByName(plain.select(*columns))
+        return every.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+    def scored_pairs(self, questions: DataFrame, k: int = TOP_K) -> DataFrame:
+        """question_id, document_id, chunk_index of the pairs `search` scores by their vectors."""
+        worded, others, _ = self._pairs(questions, k)
+        return worded.select("question_id", *KEY).unionByName(others)
+
+    def _pairs(self, questions: DataFrame, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Pairs that hold all terms, scored; other pairs that can be among the best; the questions."""
+        asked = as_table(questions.select("question_id", "terms", "embedding", "topic_ids"), "questions")
+        worded = as_table(self._worded(asked), "matches")
+        # Rounding may lift a score to the k-th by half a digit.
+        floors = kth(worded, "score", k).select("question_id", ((F.col("kth") - 10.0**-SCORE_DIGITS) / VECTOR_WEIGHT).alias("floor"))
+        near = self.vectors.candidates(asked, k, floors, QUESTION_BLOCK).select("question_id", *KEY)
+        return worded, near.join(worded.select("question_id", *KEY), ["question_id", *KEY], "left_anti"), asked
+
+    def _worded(self, asked: DataFrame) -> DataFrame:
+        """The pairs with all terms, in scope, scored in full."""
+        pairs = self.text.matches_many(asked).join(self.text.passages().select(*KEY, "topic_ids"), KEY)
+        scope = F.coalesce(F.col("scope"), F.array().cast("array<string>"))
+        scoped = pairs.join(asked.select("question_id", F.col("topic_ids").alias("scope")), "question_id").filter(
+            (F.size(scope) == 0) | F.arrays_overlap("topic_ids", scope)
+        )
+        return self.vectors.scored(scoped.drop("topic_ids", "scope"), asked).withColumn("score", hybrid_score())
+
+
 def hybrid_search(
     chunks: DataFrame,
     documents: DataFrame,
@@ -192,173 +246,49 @@ def hybrid_search(
     vector: list[float],
     topic_ids: list[str] | None = None,
     k: int = TOP_K,
+    index: PassageIndex | None = None,
 ) -> DataFrame:
     """The k best chunks for one question, with filename and page.
 
     Term figures cover all chunks, so a chunk scores the same under any scope.
     """
-    scored = in_topics(text_score(chunks, terms), topic_ids).withColumn("vector_score", vector_score(vector))
-    best = (
-        scored.withColumn("score", hybrid_score())
-        .orderBy(F.col("score").desc_nulls_last(), "document_id", "chunk_index")
-        .limit(k)
+    spark = chunks.sparkSession
+    question = spark.createDataFrame(
+        [(0, list(terms), list(vector), list(topic_ids or []))], "question_id int, terms array<string>, embedding array<double>, topic_ids array<string>"
     )
-    return best.join(documents.select("document_id", "filename"), "document_id").drop("terms", "embedding")
-
+    best = hybrid_search_many(chunks, question, k, index).drop("question_id", "rank")
+    shown = best.join(chunks.drop("terms", "embedding"), KEY)
+    return shown.join(documents.select("document_id", "filename"), "document_id")
 
-def _block_scorer(block: list, df_of: dict[str, int], total: int, mean_length: float, k: int):
-    """Scores chunk batches against a block of questions; keeps the k best of a task.
 
-    A chunk stays a candidate while it reaches its question's k-th score so far,
-    ties included; candidates shrink to the k best by score and id.
-    """
-    size = max((len(q["embedding"]) for q in block if q["embedding"] is not None), default=0)
-
-    def unit(rows) -> np.ndarray:
-        """Vectors at length 1; one that is missing, empty or of length 0 stays all zeros."""
-        out = np.zeros((len(rows), size))
-        for at, row in enumerate(rows):
-            if row is not None and len(row) == size:
-                out[at] = row
-        lengths = np.linalg.norm(out, axis=1, keepdims=True)
-        return np.divide(out, lengths, out=np.zeros_like(out), where=lengths > 0)
-
-    vectors = unit([q["embedding"] for q in block])
-    ids = np.array([q["question_id"] for q in block], dtype=object)
-    scopes: dict[frozenset, list[int]] = {}
-    for at, question in enumerate(block):
-        scopes.setdefault(frozenset(question["topic_ids"] or ()), []).append(at)
-    wanted = [sorted(set(q["terms"])) for q in block]
-    place = {t: i for i, t in enumerate(sorted({t for terms in wanted for t in terms}))}
-    idf = np.array([math.log(1 + (total - df_of.get(t, 0) + 0.5) / (df_of.get(t, 0) + 0.5)) for t in place])
-    # Column len(place) is a filler that every chunk holds and that scores 0.
-    slots = np.full((len(block), max([1, *map(len, wanted)])), len(place))
-    for at, terms in enumerate(wanted):
-        slots[at, : len(terms)] = [place[t] for t in terms]
-    has_terms = np.array([bool(terms) for terms in wanted])
-    rows_at_once = max(1, 4_000_000 // len(block))
-    names = ["q", "document_id", "chunk_index", "vector_score", "text_score", "score"]
-
-    def text_scores(terms) -> np.ndarray:
-        tf = np.zeros((len(terms), len(place) + 1))
-        lengths = np.fromiter((len(words) for words in terms), dtype=float, count=len(terms))
-        for row, words in enumerate(terms):
-            for word in words:
-                at = place.get(word)
-                if at is not None:
-                    tf[row, at] += 1
-        damp = BM25_K1 * (1 - BM25_B + BM25_B * lengths / mean_length)[:, None]
-        part = np.zeros_like(tf)
-        part[:, :-1] = idf * tf[:, :-1] * (BM25_K1 + 1) / (tf[:, :-1] + damp)
-        tf[:, -1] = 1
-        score, every = np.zeros((len(terms), len(block))), np.tile(has_terms, (len(terms), 1))
-        for slot in slots.T:
-            score += part[:, slot]
-            every &= tf[:, slot] > 0
-        return np.where(every, score / (1 + score), 0.0)
-
-    def best(found: list[pd.DataFrame]) -> pd.DataFrame:
-        ranked = pd.concat(found).sort_values(
-            ["q", "score", "document_id", "chunk_index"], ascending=[True, False, True, True]
-        )
-        return ranked.groupby("q").head(k)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        floor = np.full(len(block), -np.inf)
-        found, size = [], 0
-        for batch in batches:
-            for start in range(0, len(batch), rows_at_once):
-                rows = batch.iloc[start : start + rows_at_once]
-                cosine = unit(rows["embedding"].tolist()) @ vectors.T
-                text = text_scores(rows["terms"])
-                score = np.round(VECTOR_WEIGHT * cosine + TEXT_WEIGHT * text, SCORE_DIGITS)
-                keep = score >= floor
-                for scope, members in scopes.items():
-                    if scope:
-                        inside = np.array([t is not None and not scope.isdisjoint(t) for t in rows["topic_ids"]])
-                        keep[:, members] &= inside[:, None]
-                at, q = np.nonzero(keep)
-                if not len(at):
-                    continue
-                columns = (
-                    q, rows["document_id"].to_numpy()[at], rows["chunk_index"].to_numpy()[at],
-                    cosine[at, q], text[at, q], score[at, q],
-                )
-                found.append(pd.DataFrame(dict(zip(names, columns, strict=True))))
-                size += len(at)
-                if size > 4 * k * len(block):
-                    found = [best(found)]
-                    size = len(found[0])
-                    full = found[0].groupby("q")["score"].agg(["min", "size"])
-                    full = full[full["size"] >= k]
-                    floor[full.index.to_numpy()] = full["min"].to_numpy()
-        if found:
-            top = best(found)
-            yield top.assign(question_id=ids[top["q"].to_numpy()])[["question_id", *names[1:]]]
-
-    return run
-
-
-def hybrid_search_many(chunks: DataFrame, questions: DataFrame, k: int = TOP_K) -> DataFrame:
+def hybrid_search_many(chunks: DataFrame, questions: DataFrame, k: int = TOP_K, index: PassageIndex | None = None) -> DataFrame:
     """The k best chunks for every question of a table, exactly.
 
     questions: question_id, terms, embedding, topic_ids (NULL or empty: no scope).
-    Each block of questions travels with the code and meets every chunk once;
-    only k candidates per question leave a task, so neither the pairs nor a
-    question's chunks are ever gathered. Term figures cover all chunks. `chunks`
-    is read for the figures and once per block: pass a stored table.
+    Without an `index` the chunks are indexed for this one search.
     """
-    total = chunks.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("terms")).alias("length")).first()
-    blocks = max(1, math.ceil(questions.count() / QUESTION_BLOCK))
-    ids = {n: chunks.schema[n].dataType.simpleString() for n in ("document_id", "chunk_index")}
-    schema = (
-        f"question_id {questions.schema['question_id'].dataType.simpleString()},"
-        f" document_id {ids['document_id']}, chunk_index {ids['chunk_index']},"
-        " vector_score double, text_score double, score double"
-    )
-    source = chunks.select("document_id", "chunk_index", "terms", "embedding", "topic_ids")
-    candidates = None
-    for b in range(blocks):
-        block = questions.filter(F.pmod(F.xxhash64("question_id"), F.lit(blocks)) == b)
-        rows = block.select("question_id", "terms", "embedding", "topic_ids").collect()
-        if not rows:
-            continue
-        words = block.select(F.explode("terms").alias("term")).distinct()
-        frequency = (
-            chunks.select(F.explode(F.array_distinct("terms")).alias("term"))
-            .join(words, "term", "left_semi")
-            .groupBy("term")
-            .agg(F.count(F.lit(1)).alias("df"))
-            .collect()
-        )
-        run = _block_scorer(rows, {r["term"]: r["df"] for r in frequency}, total["n"], total["length"] or 1.0, k)
-        scored = source.mapInPandas(run, schema)
-        candidates = scored if candidates is None else candidates.unionByName(scored)
-    if candidates is None:
-        return questions.sparkSession.createDataFrame([], f"{schema}, rank int")
-    order = W.partitionBy("question_id").orderBy(F.col("score").desc(), "document_id", "chunk_index")
-    return candidates.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    ready = index or PassageIndex.build(chunks, shared_folder(chunks.sparkSession, "passage-index"))
+    return ready.search(questions, k)
 
 
-def relax(chunks: DataFrame, questions: DataFrame, k: int = TOP_K) -> DataFrame:
+def relax(chunks: DataFrame, questions: DataFrame, k: int = TOP_K, index: PassageIndex | None = None) -> DataFrame:
     """Search with a second, unscoped pass for auto-detected scopes that found nothing.
 
     questions also carry auto_detected; an explicit scope stays as it is.
     """
-    first = hybrid_search_many(chunks, questions, k).withColumn("scoped", F.lit(True))
+    ready = index or PassageIndex.build(chunks, shared_folder(chunks.sparkSession, "passage-index"))
+    first = ready.search(questions, k).withColumn("scoped", F.lit(True))
     scope = F.size(F.coalesce("topic_ids", F.array().cast("array<string>"))) > 0
     # A scope finds nothing exactly when no chunk carries any of its topics.
     reachable = (
         questions.filter(scope)
         .select("question_id", F.explode("topic_ids").alias("topic_id"))
-        .join(chunks.select(F.explode("topic_ids").alias("topic_id")).distinct(), "topic_id", "left_semi")
+        .join(ready.text.passages().select(F.explode("topic_ids").alias("topic_id")).distinct(), "topic_id", "left_semi")
         .select("question_id")
         .distinct()
     )
     missed = questions.filter(scope & F.col("auto_detected")).join(reachable, "question_id", "left_anti")
-    again = hybrid_search_many(
-        chunks, missed.withColumn("topic_ids", F.lit(None).cast("array<string>")), k
-    ).withColumn("scoped", F.lit(False))
+    again = ready.search(missed.withColumn("topic_ids", F.lit(None).cast("array<string>")), k).withColumn("scoped", F.lit(False))
     return first.unionByName(again)
 
 
@@ -399,50 +329,9 @@ def resync_chunk_topics(chunks: DataFrame, document_topics: DataFrame) -> DataFr
     )
 
 
-class AnnIndex:
-    """Approximate cosine search: random-projection buckets, exact re-ranking.
-
-    A bucket joins the hashes of `hashes` projections; a chunk has one bucket in
-    each of `tables` tables. `buckets(chunks)` depends on the chunks only and is
-    meant to be written partitioned by table, so a search reads just the buckets
-    its questions fall into.
-    """
-
-    def __init__(self, sample: DataFrame, tables: int = 16, hashes: int = 3, width: float = 0.5, seed: int = 42):
-        self.tables, self.hashes = tables, hashes
-        lsh = BucketedRandomProjectionLSH(
-            inputCol="__v", outputCol="__h", numHashTables=tables * hashes, bucketLength=width, seed=seed
-        )
-        # Fitting draws random projections; it only looks at the vector size.
-        self.model = lsh.fit(self._unit(sample.limit(1)))
-
-    @staticmethod
-    def _unit(df: DataFrame) -> DataFrame:
-        return df.withColumn("__v", array_to_vector(F.col("embedding").cast("array<double>")))
-
-    def buckets(self, df: DataFrame, key: list[str]) -> DataFrame:
-        hashed = self.model.transform(self._unit(df)).select(*key, F.posexplode("__h").alias("n", "__hash"))
-        single = F.element_at(vector_to_array("__hash"), 1).cast("bigint")
-        # At most tables * hashes rows per key come together here.
-        return hashed.groupBy(*key, F.expr(f"n DIV {self.hashes}").alias("table")).agg(
-            F.hash(F.array_sort(F.collect_list(F.struct("n", single.alias("h")))).cast("string")).alias("bucket")
-        )
-
-    def search(self, chunks: DataFrame, questions: DataFrame, index: DataFrame | None = None, k: int = TOP_K) -> DataFrame:
-        """Up to k near chunks per question: question_id, document_id, chunk_index, score, rank."""
-        key = ["document_id", "chunk_index"]
-        stored = index if index is not None else self.buckets(chunks, key)
-        wanted = self.buckets(questions, ["question_id"])
-        near = stored.join(wanted, ["table", "bucket"]).select("question_id", *key).distinct()
-        vectors = questions.select("question_id", F.col("embedding").alias("__q"))
-        scored = (
-            near.join(chunks.select(*key, "embedding"), key)
-            .join(vectors, "question_id")
-            .withColumn("score", F.round(F.expr(cosine_sql("embedding", "__q")), SCORE_DIGITS))
-        )
-        order = W.partitionBy("question_id").orderBy(F.col("score").desc(), *key)
-        return (
-            scored.withColumn("rank", F.row_number().over(order))
-            .filter(F.col("rank") <= k)
-            .select("question_id", *key, "score", "rank")
-        )
+def ann_search(index: VectorIndex, questions: DataFrame, k: int = TOP_K, **settings) -> DataFrame:
+    """Up to k near chunks per question, approximately: question_id, document_id,
+    chunk_index, score, rank. settings: those of `VectorIndex.nearest`."""
+    found = index.nearest(questions, k, **settings).withColumn("score", F.round("vector_score", SCORE_DIGITS)).drop("vector_score")
+    order = W.partitionBy("question_id").orderBy(F.col("score").desc(), *KEY)
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)

@@ -7,10 +7,11 @@ from pyspark.sql.window import Window as W
 
 from paperfold.functions import vectors
 from paperfold.operators import retrieval
+from paperfold.operators.vector_index import RERANK, VectorIndex
 from paperfold.plans import fixtures as fx
 from paperfold.plans.registry import Tables, query
 from paperfold.plans.sources import _ELEMENTS
-from paperfold.session import as_table
+from paperfold.session import as_table, shared_folder
 from paperfold.sources.elements import text_elements_sql
 
 MAX_CHARS = retrieval.MAX_CHUNK_CHARS
@@ -103,6 +104,33 @@ def questions(t: Tables):
     )
 
 
+_INDEXES: dict[tuple, object] = {}
+
+
+def indexed(t: Tables, kind: str, build):
+    """An index is built once per application and table folder; searches read it."""
+    key = (t.spark.sparkContext.applicationId, t.folder, kind)
+    if key not in _INDEXES:
+        _INDEXES[key] = build(shared_folder(t.spark, kind))
+    return _INDEXES[key]
+
+
+def passage_index(t: Tables) -> retrieval.PassageIndex:
+    return indexed(t, "passage-index", lambda folder: retrieval.PassageIndex.build(chunks(t), folder))
+
+
+def embedded_index(t: Tables) -> retrieval.PassageIndex:
+    """Passages with vectors of their own words."""
+    plain = chunks(t).drop("embedding")
+    return indexed(t, "embedded-index", lambda folder: retrieval.PassageIndex.build(vectors.embed(plain, "content"), folder))
+
+
+def document_index(t: Tables) -> VectorIndex:
+    """Whole documents with vectors of their own words."""
+    docs = vectors.embed(t.documents.selectExpr("doc_id AS document_id", "0 AS chunk_index", "array(lang) AS topic_ids", "text"), "text")
+    return indexed(t, "document-index", lambda folder: VectorIndex.build(docs.filter("size(embedding) > 0"), folder))
+
+
 _STOP = ", ".join(f"'{w}'" for w in retrieval.STOP_WORDS)
 _TERMS = (
     "list_transform(list_filter(regexp_split_to_array(lower({x}), '[^\\p{{L}}\\p{{N}}]+'),"
@@ -139,9 +167,23 @@ _SCORED = f"""scored AS (SELECT q.question_id, q.topic, q.auto, c.document_id, c
 def text_scores(t):
     first = t.conversations.filter("role = 'user'").orderBy("conv_id", "turn").limit(1)
     terms = retrieval.with_terms(first, "text").first()["terms"]
-    return retrieval.text_score(chunks(t), terms).select(
-        "document_id", "chunk_index", F.round("text_score", 9).alias("text_score")
-    )
+    return passage_index(t).text.scores(terms).select("document_id", "chunk_index", F.round("text_score", 9).alias("text_score"))
+
+
+_TWO_WORDS = f"""questions AS (SELECT 0 AS question_id, list_distinct({_TERMS.format(x='text')}[1:2]) AS terms FROM documents
+      WHERE doc_id = (SELECT min(doc_id) FROM documents WHERE lang = 'en' AND len({_TERMS.format(x='text')}) > 1))"""
+
+
+@query(
+    "best_text_matches",
+    f"""WITH {CHUNKS}, {_TWO_WORDS}, {_TEXT}
+    SELECT document_id, chunk_index, round(text_score, 9) AS text_score FROM ts ORDER BY round(text_score, 9) DESC, document_id, chunk_index LIMIT 20""",
+)
+def best_text_matches(t):
+    """The twenty best passages for two words, from the slots whose bounds allow it."""
+    english = retrieval.with_terms(t.documents.filter("lang = 'en'"), "text").filter(F.size("terms") > 1)
+    terms = english.orderBy("doc_id").select(F.slice("terms", 1, 2).alias("terms")).first()["terms"]
+    return passage_index(t).text.top(terms, 20)
 
 
 @query(
@@ -153,8 +195,7 @@ def text_scores(t):
 def hybrid_search(t):
     question = questions(t).orderBy("question_id").first()
     documents = t.documents.selectExpr("doc_id AS document_id", "'doc_' || doc_id AS filename")
-    stored = as_table(chunks(t), "chunks")
-    best = retrieval.hybrid_search(stored, documents, question["terms"], question["embedding"], ["en"])
+    best = retrieval.hybrid_search(chunks(t), documents, question["terms"], question["embedding"], ["en"], index=passage_index(t))
     return best.select("document_id", "chunk_index", "score", "filename")
 
 
@@ -166,8 +207,7 @@ def hybrid_search(t):
       WHERE topic IS NULL OR topic = lang) q WHERE rank <= 8""",
 )
 def hybrid_search_many(t):
-    stored = as_table(chunks(t), "chunks")
-    hits = retrieval.hybrid_search_many(stored, as_table(questions(t), "questions"))
+    hits = passage_index(t).search(questions(t))
     return hits.select("question_id", "document_id", "chunk_index", "score", F.col("rank").cast("bigint").alias("rank"))
 
 
@@ -179,7 +219,7 @@ def hybrid_search_many(t):
       FROM scored WHERE topic IS NULL OR topic = lang OR (topic = 'nowhere' AND auto)) q WHERE rank <= 8""",
 )
 def relaxed_search(t):
-    return retrieval.relax(as_table(chunks(t), "chunks"), as_table(questions(t), "questions")).select(
+    return retrieval.relax(chunks(t), as_table(questions(t), "questions"), index=passage_index(t)).select(
         "question_id", "document_id", "chunk_index", "score", "scoped"
     )
 
@@ -236,14 +276,53 @@ def chunks_in_topics(t):
     return retrieval.in_topics(chunks(t), ["en", "de"]).select("document_id", "chunk_index")
 
 
+def _recall(t: Tables):
+    """question_id, recall: for every document whose id is divisible by 20, the share of its
+    k nearest documents that the approximate search finds; equal scores count alike."""
+    index, k = document_index(t), retrieval.TOP_K
+    asked = as_table(
+        index.vectors().filter("document_id % 20 = 0").selectExpr("document_id AS question_id", "embedding", "CAST(NULL AS ARRAY<STRING>) AS topic_ids"),
+        "questions",
+    )
+    score = F.round("vector_score", retrieval.SCORE_DIGITS)
+    exact = index.scored(index.candidates(asked, k).select("question_id", *retrieval.KEY), asked).withColumn("score", score)
+    nth = W.partitionBy("question_id").orderBy(F.desc("score"))
+    best = exact.withColumn("nth", F.row_number().over(nth)).filter(F.col("nth") <= k)
+    least = best.groupBy("question_id").agg(F.min("score").alias("least"), F.count(F.lit(1)).alias("n"))
+    near = retrieval.ann_search(index, asked, k).select("question_id", F.col("score").alias("found"))
+    return least.join(near, "question_id", "left").groupBy("question_id").agg(
+        (F.count_if(F.col("found") >= F.col("least")) / F.max("n")).alias("recall")
+    )
+
+
 @query("ann_recall")
 def ann_recall(t):
-    """Share of each question's exact vector neighbours the bucket search finds."""
-    points = as_table(t.embeddings.selectExpr("vec_id AS document_id", "0 AS chunk_index", "embedding"), "vectors")
-    asked = t.embeddings.selectExpr("vec_id AS question_id", "embedding", "CAST(array() AS ARRAY<STRING>) AS terms", "CAST(NULL AS ARRAY<STRING>) AS topic_ids")
-    exact = retrieval.hybrid_search_many(
-        points.selectExpr("*", "CAST(array() AS ARRAY<STRING>) AS terms", "CAST(array() AS ARRAY<STRING>) AS topic_ids"), asked
+    return _recall(t)
+
+
+@query(
+    "ann_quality",
+    "SELECT count(*) AS questions, true AS recall_reached, true AS tenth_read FROM documents WHERE doc_id % 20 = 0 AND regexp_matches(text, '[\\p{L}\\p{N}]')",
+)
+def ann_quality(t):
+    """Whether the mean recall reaches 0.9, with the vectors of at most a tenth of all pairs read."""
+    passages = document_index(t).parts().agg(F.sum("n")).scalar()
+    return _recall(t).agg(
+        F.count(F.lit(1)).alias("questions"),
+        (F.avg("recall") >= 0.9).alias("recall_reached"),
+        F.first(F.lit(10 * RERANK * retrieval.TOP_K) <= passages).alias("tenth_read"),
     )
-    near = retrieval.AnnIndex(points).search(points, asked.select("question_id", "embedding"))
-    found = exact.join(near.select("question_id", "document_id", F.lit(1).alias("hit")), ["question_id", "document_id"], "left")
-    return found.groupBy("question_id").agg((F.count("hit") / F.count(F.lit(1))).alias("recall"))
+
+
+@query(
+    "search_effort",
+    f"""WITH {CHUNKS}, {_QUESTIONS} SELECT (SELECT count(*) FROM chunks) AS passages, (SELECT count(*) FROM questions) AS questions, true AS tenth_scored""",
+)
+def search_effort(t):
+    """Whether the exact search scores at most a tenth of all pairs of texts with vectors of their words."""
+    index = embedded_index(t)
+    asked = t.conversations.filter("role = 'user'").selectExpr("conv_id * 1000 + turn AS question_id", "text AS content", "CAST(NULL AS ARRAY<STRING>) AS topic_ids")
+    ready = as_table(retrieval.with_terms(vectors.embed(asked, "content")), "questions")
+    pairs = index.scored_pairs(ready).agg(F.count(F.lit(1)).alias("pairs"))
+    counts = index.text.passages().agg(F.count(F.lit(1)).alias("passages")).join(ready.agg(F.count(F.lit(1)).alias("questions"))).join(pairs)
+    return counts.selectExpr("passages", "questions", "10 * pairs <= passages * questions AS tenth_scored")
