@@ -338,7 +338,7 @@ _PAGES = f"SELECT page_id AS option_id, {_words(_TITLE)} AS words FROM pages"
 def matched_schemas(t):
     # Documents of one source had their schema chosen at upload.
     chosen = t.documents.selectExpr("doc_id", "text", "if(source = 'src0', -1L, NULL) AS chosen")
-    docs = matching.word_sets(chosen, "doc_id", "text").join(chosen.select("doc_id", "chosen"), "doc_id")
+    docs = matching.word_sets(chosen, "doc_id", "text", "chosen")
     options = matching.word_sets(t.benchmark.withColumnRenamed("item_id", "option_id"), "option_id", "text")
     return matching.match_schema(docs, options).withColumn("score", F.round("score", 9))
 
@@ -350,8 +350,8 @@ def matched_schemas(t):
     FROM documents""",
 )
 def suggested_topics(t):
-    hints = t.documents.selectExpr("doc_id", "if(source = 'src1', array(doc_id), CAST(array() AS ARRAY<BIGINT>)) AS hint_ids")
-    docs = matching.word_sets(t.documents, "doc_id", "text").join(hints, "doc_id")
+    hinted = t.documents.selectExpr("doc_id", "text", "if(source = 'src1', array(doc_id), CAST(array() AS ARRAY<BIGINT>)) AS hint_ids")
+    docs = matching.word_sets(hinted, "doc_id", "text", "hint_ids")
     titles = t.pages.selectExpr("page_id AS option_id", "regexp_extract(html, '<title>([^<]*)</title>', 1) AS title")
     found = matching.suggest_topics(docs, matching.word_sets(titles, "option_id", "title"))
     return found.withColumn("topic_ids", F.array_join(F.col("topic_ids").cast("array<string>"), ","))

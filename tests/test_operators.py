@@ -2,6 +2,7 @@ import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -151,6 +152,39 @@ def test_overlap_equals_brute_force(spark):
         assert {(r["doc_id"], r["option_id"]): r["shared"] for r in got} == want
 
 
+@pytest.mark.parametrize("counts", [7, 4_000_000])
+@pytest.mark.parametrize("share", [1, 16, 1000])
+def test_dictionary_counts_shared_words(monkeypatch, counts, share):
+    monkeypatch.setattr(matching, "COUNTS", counts)
+    monkeypatch.setattr(matching, "COMMON_SHARE", share)
+    rng = random.Random(share)
+    words = [f"w{i}" for i in range(20)] + ["é", ""]
+    options = [rng.sample(words, rng.randint(1, 9)) for _ in range(23)]
+    texts = [None if rng.random() < 0.1 else rng.sample([*words, "other"], rng.randint(0, 15)) for _ in range(31)]
+    table = pa.table({"option_id": pa.array(range(23), pa.int64()), "words": pa.array(options)})
+    got = np.concatenate([c for _, c in matching.Dictionary(table, 0.5).shared(pa.array(texts, pa.list_(pa.string())))])
+    assert got.tolist() == [[len(set(t or []) & set(o)) for o in options] for t in texts]
+
+
+def test_options_too_many_for_a_dictionary(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, ["a", "b"], "x"), (2, ["c"], "y"), (3, None, "z")], "doc_id int, words array<string>, kept string")
+    options = spark.createDataFrame([(7, ["a", "b", "c"]), (8, ["c"]), (9, [])], "option_id int, words array<string>")
+    rows = {}
+    for limit in (2_000_000, 1):
+        monkeypatch.setattr(matching, "DICTIONARY_WORDS", limit)
+        found = matching.with_hits(docs, options, 0.5).collect()
+        rows[limit] = {(r["doc_id"], r["kept"]): sorted((h["option_id"], h["shared"], round(h["score"], 9)) for h in r["hits"]) for r in found}
+    assert rows[1] == rows[2_000_000] == {(1, "x"): [(7, 2, 0.666666667)], (2, "y"): [(8, 1, 1.0)], (3, "z"): []}
+    none = matching.with_hits(docs, options.filter("option_id = 9"), 0.5).collect()
+    assert [r["hits"] for r in none] == [[], [], []]
+
+
+def test_texts_are_not_shuffled_to_their_options(spark):
+    docs = spark.createDataFrame([(1, ["a"], None)], "doc_id int, words array<string>, chosen int")
+    options = spark.createDataFrame([(7, ["a"])], "option_id int, words array<string>")
+    assert "Exchange" not in matching.match_schema(docs, options)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_search_equals_brute_force_with_ties(spark, monkeypatch):
     monkeypatch.setattr(retrieval, "QUESTION_BLOCK", 2)  # several blocks
     rng = np.random.default_rng(2)
