@@ -9,15 +9,18 @@ threshold falls below `MISS`. Survivors are verified on their full shingle sets.
 No group is paired out. In a bucket (texts agreeing in a band) every member
 meets the smallest one only. Links so confirmed are joined into components, and
 just the members of a bucket that are still in different components meet each
-other, in bounded tiles, inside a task. At the end each two texts of a bucket
-are either in one component or were compared.
+other, in bounded tiles, inside a task that holds their shingles. There, pairs
+that survive are verified at once, those already joined are skipped, and only
+links that join two components leave the task: fewer than a tile has members. At
+the end each two texts of a bucket are either in one component or were compared.
 
 With 30 bands of 5, two texts at the threshold of 0.8 share no band with a
 probability of 7e-6, and less above it.
 
 Defined results: null and wordless texts have no shingles and link with nothing;
-rows without a doc_id link as equal texts only; several rows of one doc_id are
-one document; further columns are ignored; an empty table gives an empty result.
+rows without a doc_id link as equal texts only; several rows of one doc_id are one
+document, so texts under one doc_id are linked; further columns are ignored; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -39,8 +42,9 @@ LONG = 750
 LONG_LOOKS = (*LOOKS, 300, 450, 600, 750)
 # A pair is given up when its posterior chance of reaching the threshold is lower.
 MISS = 1e-6
-# Members of a bucket that meet in one task.
+# Members of a bucket, and shingles of them, that a tile holds about at most.
 TILE = 1000
+TILE_SHINGLES = 500_000
 # Ids of at most this many candidate texts are sent to all tasks (8 bytes each);
 # beyond it the texts are shuffled to them.
 BROADCAST_IDS = 2_000_000
@@ -55,6 +59,12 @@ def word_hashes(text: str | None):
     return np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words))
 
 
+def words_digest(words) -> bytes:
+    from hashlib import blake2b
+
+    return blake2b(words.tobytes(), digest_size=16).digest()
+
+
 def shingle_hashes(words, size: int):
     """Sorted distinct hashes of all runs of `size` words; a shorter text is one run."""
     import numpy as np
@@ -93,8 +103,6 @@ def sketches(docs: DataFrame, shingle: int) -> DataFrame:
     """doc_id, digest of the words, n_shingles, sig (a byte per hash), bands (keys)."""
 
     def sketch(batches):
-        import hashlib
-
         import numpy as np
         import pyarrow as pa
 
@@ -105,7 +113,7 @@ def sketches(docs: DataFrame, shingle: int) -> DataFrame:
             for text in batch.column(1).to_pylist():
                 words = word_hashes(text)
                 shingles = shingle_hashes(words, shingle)
-                digests.append(hashlib.blake2b(words.tobytes(), digest_size=16).digest())
+                digests.append(words_digest(words))
                 sizes.append(len(shingles))
                 low = signature(shingles, multipliers, addends)
                 sigs.append(low.astype(np.uint8).tobytes())
@@ -233,17 +241,23 @@ def _undecided(members: DataFrame, groups: DataFrame) -> DataFrame:
     A bucket of two has nothing more to meet: its leader met the other."""
     own = groups.select(F.col("node").alias("id"), "component")
     named = members.join(own, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    tiles = F.greatest(F.ceil(F.col("n") / TILE), F.ceil(F.col("shingles") / TILE_SHINGLES)).cast("int")
     mixed = (
         named.groupBy("key")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            F.sum("n_shingles").alias("shingles"),
+            F.min("component").alias("low"),
+            F.max("component").alias("high"),
+        )
         .filter("low <> high AND n > 2")
-        .select("key", F.ceil(F.col("n") / TILE).cast("int").alias("tiles"))
+        .select("key", tiles.alias("tiles"))
     )
     return named.join(mixed, "key")
 
 
-def _long_signatures(texts: DataFrame, shingle: int) -> DataFrame:
-    """id and the longer signature (a byte per hash) of some texts."""
+def _shingled(texts: DataFrame, shingle: int) -> DataFrame:
+    """id, the longer signature (a byte per hash) and all shingles of some texts."""
 
     def sketch(batches):
         import numpy as np
@@ -251,174 +265,184 @@ def _long_signatures(texts: DataFrame, shingle: int) -> DataFrame:
 
         functions = hash_functions(LONG)
         for batch in batches:
-            sigs = [
-                signature(shingle_hashes(word_hashes(text), shingle), *functions).astype(np.uint8).tobytes()
-                for text in batch.column(1).to_pylist()
-            ]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sigs, pa.binary())], names=["id", "sig"])
+            sets = [shingle_hashes(word_hashes(text), shingle) for text in batch.column(1).to_pylist()]
+            sigs = [signature(s, *functions).astype(np.uint8).tobytes() for s in sets]
+            raw = [s.tobytes() for s in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sigs, pa.binary()), pa.array(raw, pa.binary())], names=["id", "sig", "shingles"])
+
+    return texts.select("id", "text").mapInArrow(sketch, "id bigint, sig binary, shingles binary")
+
 
-    return texts.select("id", "text").mapInArrow(sketch, "id bigint, sig binary")
+def _alike(a, b, percent: int) -> bool:
+    """Whether two sorted sets of shingles reach the threshold."""
+    import numpy as np
+
+    if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
+        return False
+    small, large = (a, b) if len(a) < len(b) else (b, a)
+    at = np.searchsorted(large, small)
+    common = int((large[np.minimum(at, len(large) - 1)] == small).sum())
+    return 100 * common >= percent * (len(a) + len(b) - common)
 
 
-def _met_pairs(undecided: DataFrame, sigs: DataFrame, looks, best: bool) -> DataFrame:
-    """Surviving pairs of bucket members that are in different components.
+def _tile_links(undecided: DataFrame, sets: DataFrame, looks, percent: int) -> DataFrame:
+    """Links (a, b) that join members of a bucket which are in different components.
 
     Members of a bucket are dealt to tiles; every two tiles of a bucket meet in
-    one task, which holds at most about 2 * TILE signatures at a time. With
-    `best`, a member gives only the pair in which most hashes match; otherwise a
-    pair is given in the first band its members share, and in no other.
-    sigs: id, sig, bands.
+    one task, which holds the signatures and shingles of both at a time. A pair
+    is looked at in the first band its members share, and in no other.
+    sets: id, sig, shingles, bands.
     """
-    width = looks[-1][0]
     tile = F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int")
+    names = ("key", "t1", "t2", "tile", "id", "component", "leader", "sig", "shingles", "bands")
     rows = (
-        undecided.join(sigs, "id")
+        undecided.join(sets, "id")
         .withColumn("tile", tile)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-        .select(
-            "key",
-            F.least("tile", "other").alias("t1"),
-            F.greatest("tile", "other").alias("t2"),
-            "tile",
-            "id",
-            "component",
-            "leader",
-            "sig",
-            "bands",
-        )
+        .withColumns({"t1": F.least("tile", "other"), "t2": F.greatest("tile", "other")})
+        .select(*names)
     )
 
     def meet(batches):
-        import numpy as np
         import pyarrow as pa
 
-        names = ("key", "t1", "t2", "tile", "id", "component", "leader")
-        rest = None
+        held, now, found = [], None, set()
         for batch in batches:
-            now = [batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in names]
-            sig = np.frombuffer(b"".join(batch.column(batch.schema.get_field_index("sig")).to_pylist()), np.uint8)
-            now.append(sig.reshape(-1, width))
-            bands = batch.column(batch.schema.get_field_index("bands"))
-            now.append(bands.flatten().to_numpy(zero_copy_only=False).reshape(-1, BANDS))
-            if rest is not None:
-                now = [np.concatenate(x) for x in zip(rest, now, strict=True)]
-            cut = _last_start(now)
-            yield from _met([x[:cut] for x in now], looks)
-            rest = [x[cut:] for x in now]
-        if rest is not None:
-            yield from _met(rest, looks)
-
-    def _last_start(c):
-        import numpy as np
+            for row in zip(*(batch.column(k).to_pylist() for k in range(len(names))), strict=True):
+                if row[:3] != now:
+                    found.update(_joined(now, held, looks, percent))
+                    held, now = [], row[:3]
+                held.append(row[3:])
+        found.update(_joined(now, held, looks, percent))
+        pairs = sorted(found)
+        yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    dealt = rows.repartition("key", "t1", "t2").sortWithinPartitions("key", "t1", "t2", "id")
+    return dealt.mapInArrow(meet, "a bigint, b bigint").distinct()
 
-        same = (c[0] == c[0][-1]) & (c[1] == c[1][-1]) & (c[2] == c[2][-1])
-        return int(np.argmax(same)) if len(same) else 0
 
-    def _met(c, looks):
-        import numpy as np
+def _joined(place, rows: list, looks, percent: int) -> list[tuple[int, int]]:
+    """Links that join the components of the members of two tiles, at most one fewer than those.
+    place: bucket and tiles; rows: tile, id, component, leader, sig, shingles, bands; tiles of a pair meet each other,
+    not themselves, unless it is one tile."""
+    import numpy as np
+
+    if len(rows) < 2:
+        return []
+    tile, ids, component, leader = (np.array([r[k] for r in rows], np.int64) for k in range(4))
+    sig = np.frombuffer(b"".join(r[4] for r in rows), np.uint8).reshape(len(rows), -1)
+    sets = [np.frombuffer(r[5], np.uint64) for r in rows]
+    bands = np.array([r[6] for r in rows], np.int64)
+    key = place[0]
+    _, group = np.unique(component, return_inverse=True)
+    links, apart = [], place[1] != place[2]
+    for i in range(len(rows)):
+        j = np.arange(i + 1, len(rows))
+        # The leader has met everybody.
+        fit = (group[j] != group[i]) & (ids[j] != leader[i]) & (ids[i] != leader[i])
+        if apart:
+            fit &= tile[j] != tile[i]
+        j = j[fit]
+        if not len(j):
+            continue
+        first = np.argmax(bands[j] == bands[i], axis=1)
+        j = j[bands[i][first] == key]
+        if not len(j):
+            continue
+        alive, matches = surviving(np.broadcast_to(sig[i], (len(j), sig.shape[1])), sig[j], looks)
+        for x in j[alive[np.argsort(-matches, kind="stable")]]:
+            if group[x] != group[i] and _alike(sets[i], sets[x], percent):
+                links.append((int(max(ids[i], ids[x])), int(min(ids[i], ids[x]))))
+                group[group == group[x]] = group[i]
+    return links
+
+
+def _texts_of(docs: DataFrame, uniques: DataFrame, ids: DataFrame) -> DataFrame:
+    """id and text of some different texts. Only a checked number of ids is broadcast."""
+    few = ids.count() <= BROADCAST_IDS
+    wanted = uniques.join(ids, "id", "left_semi").select("id", F.col("low").alias("doc_id"), "digest")
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    known = wanted.select("doc_id").distinct()
+    found = texts.join(F.broadcast(known) if few else known, "doc_id", "left_semi")
+
+    def mark(batches):
         import pyarrow as pa
 
-        key, t1, t2, tile, ids, component, leader, sig, bands = c
-        if not len(key):
-            return
-        begins = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (t1[1:] != t1[:-1]) | (t2[1:] != t2[:-1])])
-        found = []
-        for start, end in zip(begins, [*begins[1:], len(key)], strict=True):
-            most, partner = np.zeros(end - start, np.int64), np.full(end - start, -1)
-            for i in range(start, end):
-                j = np.arange(i + 1, end)
-                # The leader has met everybody; tiles of a pair meet each other, not themselves.
-                fit = (component[j] != component[i]) & (ids[j] != leader[i]) & (ids[i] != leader[i])
-                if t1[i] != t2[i]:
-                    fit &= tile[j] != tile[i]
-                j = j[fit]
-                if not len(j):
-                    continue
-                alive, matches = surviving(np.broadcast_to(sig[i], (len(j), width)), sig[j], looks)
-                j = j[alive]
-                if not best:
-                    shared = np.argmax(bands[j] == bands[i], axis=1)
-                    j = j[bands[i][shared] == key[i]]
-                    found += [(max(ids[i], ids[x]), min(ids[i], ids[x])) for x in j]
-                elif len(j):
-                    better = matches > most[j - start]
-                    most[j[better] - start], partner[j[better] - start] = matches[better], i
-                    top = int(np.argmax(matches))
-                    if matches[top] > most[i - start]:
-                        most[i - start], partner[i - start] = matches[top], j[top]
-            for i in np.flatnonzero(partner >= 0):
-                a, b = ids[start + i], ids[partner[i]]
-                found.append((max(a, b), min(a, b)))
-        pairs = sorted(set(found))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([int(p[k]) for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"]
-        )
+        for batch in batches:
+            digests = [words_digest(word_hashes(text)) for text in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(digests, pa.binary())], names=["doc_id", "text", "digest"])
 
-    dealt = rows.repartition("key", "t1", "t2").sortWithinPartitions("key", "t1", "t2", "id")
-    return dealt.mapInArrow(meet, "a bigint, b bigint").distinct()
+    # A doc_id may stand for several texts.
+    marked = found.select("doc_id", "text").mapInArrow(mark, "doc_id bigint, text string, digest binary")
+    once = marked.groupBy("doc_id", "digest").agg(F.first("text").alias("text"))
+    return as_table(once.join(wanted, ["doc_id", "digest"]).select("id", "text"), "candidate-texts")
 
 
-def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """id and text of some documents. Only a checked number of ids is broadcast."""
-    few = ids.count() <= BROADCAST_IDS
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), "text")
-    found = texts.join(F.broadcast(ids) if few else ids, "id", "left_semi")
-    return as_table(found.dropDuplicates(["id"]), "candidate-texts")
+def _same_documents(marked: DataFrame, uniques: DataFrame) -> DataFrame:
+    """Links (a, b) between different texts of one doc_id."""
+    worded = marked.filter("doc_id IS NOT NULL AND n_shingles > 0").select("doc_id", "digest")
+    several = worded.groupBy("doc_id").agg(F.min("digest").alias("first"), F.max("digest").alias("last")).filter("first <> last")
+    named = uniques.select("digest", "id")
+    pairs = worded.join(several.select("doc_id", "first"), "doc_id").filter("digest <> first").distinct()
+    firsts = named.select(F.col("digest").alias("first"), F.col("id").alias("one"))
+    ends = pairs.join(named, "digest").join(firsts, "first")
+    return ends.select(F.greatest("id", "one").alias("a"), F.least("id", "one").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each row."""
     looks = least_matches(percent)
     marked = as_table(sketches(docs, shingle), "sketches")
-    uniques = as_table(
-        marked.groupBy("digest").agg(
-            F.min("doc_id").alias("id"),
-            F.max("n_shingles").alias("n_shingles"),
-            F.first("sig").alias("sig"),
-            F.first("bands").alias("bands"),
-        ),
-        "different-texts",
+    uniques = marked.groupBy("digest").agg(
+        F.min("doc_id").alias("low"),
+        F.max("n_shingles").alias("n_shingles"),
+        F.first("sig").alias("sig"),
+        F.first("bands").alias("bands"),
     )
-    keyed = uniques.filter("n_shingles > 0 AND id IS NOT NULL").select("id", F.explode("bands").alias("key"))
+    # A number of its own for each different text, stored with it.
+    uniques = as_table(uniques.withColumn("id", F.monotonically_increasing_id()), "different-texts")
+    keyed = uniques.filter("n_shingles > 0 AND low IS NOT NULL").select("id", "n_shingles", F.explode("bands").alias("key"))
     buckets = keyed.groupBy("key").agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     members = as_table(keyed.join(buckets.select("key", "leader"), "key"), "bucket-members")
 
     stars = members.filter("id <> leader").select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct()
     hopeful = as_table(_pruned(stars, uniques, looks), "survivors")
     ids = hopeful.select(F.col("a").alias("id")).unionByName(hopeful.select(F.col("b").alias("id"))).distinct()
-    texts = _texts_of(docs, as_table(ids, "candidate-ids"))
+    texts = _texts_of(docs, uniques, as_table(ids, "candidate-ids"))
 
     # One verification ties most members. A likely partner with a small id keeps the
     # graph of links shallow.
     likely = F.col("matches") >= percent * HASHES / 100
     first = hopeful.groupBy("a").agg(F.max_by("b", F.struct(likely.alias("likely"), -F.col("b"))).alias("b"))
     first = as_table(first, "first-pairs")
-    links = as_table(_verified(first, texts, shingle, percent), "links")
+    links = _verified(first, texts, shingle, percent).unionByName(_same_documents(marked, uniques))
+    links = as_table(links, "links")
     groups = components(links)
-    rest = as_table(hopeful.select("a", "b").join(first, ["a", "b"], "left_anti"), "other-pairs")
-    # Then each member of a bucket meets its best partner in another component, which
-    # ties the copies of one text to it; then all that are still apart meet.
-    undecided = as_table(_undecided(members, groups), "undecided")
+    # The other pairs with a leader are verified where they still matter.
+    rest = hopeful.select("a", "b").join(first, ["a", "b"], "left_anti")
     apart = as_table(_apart(rest, groups), "apart-pairs")
-    ids = undecided.select("id").unionByName(apart.select(F.col("a").alias("id"))).unionByName(apart.select(F.col("b").alias("id")))
-    texts = _texts_of(docs, as_table(ids.distinct(), "late-ids"))
-    sigs = as_table(_long_signatures(texts, shingle).join(uniques.select("id", "bands"), "id"), "long-signatures")
-    looks = least_matches(percent, ends=LONG_LOOKS)
-    late = as_table(_met_pairs(undecided, sigs, looks, True).unionByName(apart).distinct(), "late-pairs")
-    if not late.isEmpty():
-        links = as_table(links.unionByName(_verified(late, texts, shingle, percent)), "links")
+    if not apart.isEmpty():
+        links = as_table(links.unionByName(_verified(apart, texts, shingle, percent)), "links")
         groups = components(links)
-        last = _met_pairs(_undecided(undecided.drop("component", "tiles"), groups), sigs, looks, False)
-        last = as_table(last.join(late, ["a", "b"], "left_anti"), "last-pairs")
-        if not last.isEmpty():
-            groups = components(links.unionByName(_verified(last, texts, shingle, percent)))
-
-    classes = uniques.select("digest", "id", "n_shingles").join(groups, F.col("id") == F.col("node"), "left")
-    classes = as_table(classes.select("digest", "n_shingles", F.coalesce("component", "id").alias("group")), "classes")
-    component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("group"))
+    # Then all members of a bucket that are still apart meet.
+    undecided = as_table(_undecided(members, groups), "undecided")
+    if not undecided.isEmpty():
+        texts = _texts_of(docs, uniques, as_table(undecided.select("id").distinct(), "late-ids"))
+        sets = as_table(_shingled(texts, shingle).join(uniques.select("id", "bands"), "id"), "shingles")
+        met = as_table(_tile_links(undecided, sets, least_matches(percent, ends=LONG_LOOKS), percent), "tile-links")
+        if not met.isEmpty():
+            groups = components(links.unionByName(met))
+
+    classes = uniques.join(groups, F.col("id") == F.col("node"), "left").select(
+        "digest", "low", "n_shingles", F.coalesce("component", "id").alias("group")
+    )
+    classes = as_table(classes, "classes")
+    smallest = classes.groupBy("group").agg(F.min("low").alias("smallest"))
+    named = classes.join(smallest, "group").select("digest", "n_shingles", "smallest")
+    component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("smallest"))
     return (
         marked.select("doc_id", "digest")
-        .join(classes, "digest")
+        .join(named, "digest")
         .select("doc_id", "n_shingles", component.alias("component_id"))
         .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
     )

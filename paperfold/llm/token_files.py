@@ -31,7 +31,8 @@ _BLOCKS = "part int, block int, doc_ids array<bigint>, lengths array<int>, n_ids
 
 def stored_ids(docs: DataFrame, path: str = encoding.BYTE_BPE, end_id: int = END_ID) -> DataFrame:
     """doc_id and ids (little-endian; two bytes each where the vocabulary allows)
-    of every document, encoded once and written to the shared folder."""
+    of every document, encoded once and written to the shared folder. Each task
+    adds a row with the `counts` of its ids and nothing else."""
 
     def encode(batches):
         import numpy as np
@@ -40,16 +41,22 @@ def stored_ids(docs: DataFrame, path: str = encoding.BYTE_BPE, end_id: int = END
         encoder = encoding.byte_encoder(path)
         kind = id_kind(path)
         end = np.array([end_id], "<u4").tobytes()
+        total = np.zeros(max(encoding.byte_tokenizer(path).get_vocab_size(), end_id + 1), np.int64)
+
+        def sent(doc_ids, ids, counts):
+            return pa.RecordBatch.from_arrays([doc_ids, pa.array(ids, pa.binary()), pa.array(counts, pa.binary())], names=["doc_id", "ids", "counts"])
+
         for batch in batches:
-            ids = [
-                np.frombuffer(encoder.encode(text) + end, "<u4").astype(kind).tobytes()
-                for text in encoding.texts_of(batch)
-            ]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+            ids = [np.frombuffer(encoder.encode(text) + end, "<u4").astype(kind).tobytes() for text in encoding.texts_of(batch)]
+            # A stretch of documents at a time: counting has a cost per vocabulary.
+            for k in range(0, len(ids), 1024):
+                total += np.bincount(np.frombuffer(b"".join(ids[k : k + 1024]), kind), minlength=len(total))
+            yield sent(batch.column(0), ids, [None] * len(ids))
+        yield sent(pa.array([None], pa.int64()), [None], [total.tobytes()])
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     folder = shared_folder(docs.sparkSession, "token-ids")
-    rows.mapInArrow(encode, "doc_id bigint, ids binary").write.option("compression", "zstd").parquet(folder)
+    rows.mapInArrow(encode, "doc_id bigint, ids binary, counts binary").write.option("compression", "zstd").parquet(folder)
     return docs.sparkSession.read.parquet(folder)
 
 
@@ -57,28 +64,23 @@ def id_kind(path: str) -> str:
     return "<u2" if encoding.byte_tokenizer(path).get_vocab_size() <= 1 << 16 else "<u4"
 
 
-def id_counts(ids: DataFrame, path: str = encoding.BYTE_BPE):
-    """Counts of all ids, as one array. Each task sends one row per id it met, and
-    the result has a row per id of the vocabulary, however large the input is."""
+def id_counts(ids: DataFrame):
+    """Counts of all ids, as one array, from the counts of each task. The result has
+    a row per id of the vocabulary, however large the input is."""
     import numpy as np
 
     def count(batches):
         import numpy as np
         import pyarrow as pa
 
-        total = np.zeros(0, np.int64)
         for batch in batches:
             for raw in batch.column(0):
-                got = np.bincount(np.frombuffer(raw.as_buffer(), id_kind(path)))
-                if len(got) > len(total):
-                    got[: len(total)] += total
-                    total = got
-                else:
-                    total[: len(got)] += got
-        met = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(met, pa.int64()), pa.array(total[met], pa.int64())], names=["id", "n"])
-
-    rows = ids.select("ids").mapInArrow(count, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).collect()
+                total = np.frombuffer(raw.as_buffer(), np.int64)
+                met = np.flatnonzero(total)
+                yield pa.RecordBatch.from_arrays([pa.array(met, pa.int64()), pa.array(total[met], pa.int64())], names=["id", "n"])
+
+    counted = ids.filter("counts IS NOT NULL").select("counts").mapInArrow(count, "id bigint, n bigint")
+    rows = counted.groupBy("id").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(max((r.id for r in rows), default=0) + 1, np.int64)
     for r in rows:
         counts[r.id] = r.n
@@ -89,7 +91,7 @@ def write_ids(docs: DataFrame, folder: str, path: str = encoding.BYTE_BPE, end_i
     """Encodes every text, appends the end id and writes code and blocks to `folder`."""
     spark = docs.sparkSession
     ids = stored_ids(docs, path, end_id)
-    lengths = huffman.code_lengths(id_counts(ids, path))
+    lengths = huffman.code_lengths(id_counts(ids))
     spark.createDataFrame([(lengths.tobytes(),)], "lengths binary").coalesce(1).write.parquet(f"{folder}/code")
     code = spark.sparkContext.broadcast(lengths)
 
@@ -116,7 +118,7 @@ def write_ids(docs: DataFrame, folder: str, path: str = encoding.BYTE_BPE, end_i
         for batch in batches:
             for doc_id, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 held.append(doc_id)
-                parts.append(np.frombuffer(raw.as_buffer(), kind).astype(np.int64))
+                parts.append(np.frombuffer(raw.as_buffer(), kind))
                 size += len(parts[-1])
                 if size >= BLOCK_IDS:
                     yield block(held, parts)
@@ -124,7 +126,7 @@ def write_ids(docs: DataFrame, folder: str, path: str = encoding.BYTE_BPE, end_i
         if held:
             yield block(held, parts)
 
-    ordered = ids.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids")
+    ordered = ids.filter("counts IS NULL").select("doc_id", "ids").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids")
     ordered.mapInArrow(blocks, _BLOCKS).write.option("compression", "uncompressed").parquet(f"{folder}/blocks")
 
 
