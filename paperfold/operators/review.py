@@ -20,6 +20,24 @@ def surviving_confidence(old: DataFrame, new: DataFrame) -> DataFrame:
     return edited.withColumn("confidence", F.when(same, F.col("__score"))).drop("__old", "__score")
 
 
+def surviving_row_confidence(old: DataFrame, new: DataFrame) -> DataFrame:
+    """`surviving_confidence` on flattened records: rows are joined once and their maps compared.
+
+    old: document_id, row_index, data, data_confidence; new: document_id, row_index,
+    data. Gives new with data_confidence, which holds the scores that survive.
+    """
+    before = old.select("document_id", "row_index", F.col("data").alias("__old"), F.col("data_confidence").alias("__scores"))
+    same = F.map_filter(
+        "__scores",
+        lambda field, _: F.map_contains_key("data", field)
+        & F.map_contains_key("__old", field)
+        & F.try_element_at("data", field).eqNullSafe(F.try_element_at("__old", field)),
+    )
+    none = F.create_map().cast("map<string,double>")
+    joined = new.drop("data_confidence").join(before, ["document_id", "row_index"], "left")
+    return joined.withColumn("data_confidence", F.coalesce(same, none)).drop("__old", "__scores")
+
+
 def is_clean(cells: DataFrame, threshold: float = CLEAN_THRESHOLD) -> DataFrame:
     """(document_id, clean): every numeric score of every row reaches the threshold.
 

@@ -85,16 +85,38 @@ def header_view(view: DataFrame, columns: list[str]) -> DataFrame:
     return view.groupBy("document_id").agg(*[F.max(c).alias(c) for c in columns])
 
 
+def content_stamp(records: DataFrame) -> str:
+    """What a view says of its records: their number and a sum of their digests, in any order."""
+    row = F.xxhash64("id", "schema_version_id", "document_id", "row_index", F.array_sort(F.map_entries("data")), F.col("created_at").cast("string"))
+    told = records.agg(F.count(F.lit(1)).alias("n"), F.sum(row.cast("decimal(38,0)")).alias("digests")).first()
+    return f"{told.n}:{told.digests}"
+
+
+def files_stamp(*tables: DataFrame) -> str:
+    """The same for records that come straight from files: which files, and when they were written."""
+    told = []
+    for table in tables:
+        jvm, conf = table.sparkSession.sparkContext._jvm, table.sparkSession.sparkContext._jsc.hadoopConfiguration()
+        for name in sorted(table.inputFiles()):
+            place = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(name))
+            status = place.getFileSystem(conf).getFileStatus(place)
+            told.append(f"{name}|{status.getLen()}|{status.getModificationTime()}")
+    return hashlib.sha256("\n".join(told).encode()).hexdigest()
+
+
 class StoredViews:
     """Typed views kept as tables, so that browsing reads columns instead of maps.
 
-    A view is stored under the digest of its field specs and of whatever `stamp`
-    says about its records; while both stay the same it is read as it is. Rows
-    and document-level columns are apart, so a header total never reads rows.
+    A view is stored under the digest of its field specs and of its records'
+    stamp: `content_stamp`, or one the caller has at less cost. While both stay the
+    same it is read as it is; a changed record gives another stamp and so a new
+    view. Rows and document-level columns are apart, so a header total never
+    reads rows.
     """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
+        self._stamps: dict[str, str] = {}
 
     def _path(self, name: str, specs: list[FieldSpec], stamp: str) -> str:
         digest = hashlib.sha256(f"{stamp}|{specs!r}".encode()).hexdigest()[:32]
@@ -104,17 +126,20 @@ class StoredViews:
         place = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
         return place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
 
-    def refresh(self, name: str, records: DataFrame, specs: list[FieldSpec], header: list[str], stamp: str = "") -> str:
+    def refresh(self, name: str, records: DataFrame, specs: list[FieldSpec], header: list[str], stamp: str | None = None) -> str:
         """Stores a view unless it is there; "kept" or "built"."""
+        stamp = content_stamp(records) if stamp is None else stamp
         path = self._path(name, specs, stamp)
-        if self._complete(f"{path}/header"):
-            return "kept"
-        typed_view(records, specs).write.mode("overwrite").parquet(f"{path}/rows")
-        rows = self.spark.read.parquet(f"{path}/rows")
-        header_view(rows, header).write.mode("overwrite").parquet(f"{path}/header")
-        return "built"
-
-    def refresh_all(self, lineages: dict[str, tuple[DataFrame, list[FieldSpec], list[str]]], stamp: str = "") -> dict[str, str]:
+        outcome = "kept"
+        if not self._complete(f"{path}/header"):
+            typed_view(records, specs).write.mode("overwrite").parquet(f"{path}/rows")
+            rows = self.spark.read.parquet(f"{path}/rows")
+            header_view(rows, header).write.mode("overwrite").parquet(f"{path}/header")
+            outcome = "built"
+        self._stamps[name] = stamp
+        return outcome
+
+    def refresh_all(self, lineages: dict[str, tuple[DataFrame, list[FieldSpec], list[str]]], stamp: str | None = None) -> dict[str, str]:
         """`refresh` for many lineages; one that fails is reported and stops no other."""
         outcome = {}
         for name, (records, specs, header) in lineages.items():
@@ -124,11 +149,17 @@ class StoredViews:
                 outcome[name] = f"failed: {exc}"
         return outcome
 
-    def rows(self, name: str, specs: list[FieldSpec], stamp: str = "") -> DataFrame:
-        return self.spark.read.parquet(f"{self._path(name, specs, stamp)}/rows")
+    def _stored(self, name: str, specs: list[FieldSpec], stamp: str | None) -> str:
+        """The folder of the view as last refreshed here, or as of a stamp."""
+        if stamp is None and name not in self._stamps:
+            raise ValueError(f"refresh {name} first, or give the stamp of its records")
+        return self._path(name, specs, self._stamps[name] if stamp is None else stamp)
+
+    def rows(self, name: str, specs: list[FieldSpec], stamp: str | None = None) -> DataFrame:
+        return self.spark.read.parquet(f"{self._stored(name, specs, stamp)}/rows")
 
-    def header(self, name: str, specs: list[FieldSpec], stamp: str = "") -> DataFrame:
-        return self.spark.read.parquet(f"{self._path(name, specs, stamp)}/header")
+    def header(self, name: str, specs: list[FieldSpec], stamp: str | None = None) -> DataFrame:
+        return self.spark.read.parquet(f"{self._stored(name, specs, stamp)}/header")
 
 
 def typed_cells(records: DataFrame, fields: DataFrame) -> DataFrame:

@@ -159,7 +159,8 @@ def order_views(t: Tables) -> views.StoredViews:
         _STORES[key] = views.StoredViews(t.spark, shared_folder(t.spark, "views"))
     specs = order_specs(t)
     header = [s.column for s in specs if s.scope != "row"]
-    _STORES[key].refresh("view_orders", order_records(t), specs, header)
+    stamp = views.files_stamp(t.orders, t.lineitem)
+    _STORES[key].refresh("view_orders", order_records(t), specs, header, stamp)
     return _STORES[key]
 
 

@@ -31,10 +31,34 @@ def _update_stream(t):
     return raw.selectExpr("event_id", "user_id AS job_id", "CAST(ts AS TIMESTAMP) AS ts", f"{fx._STATUS} AS status")
 
 
+DELIVERIES = 4
+
+
+def _arrivals(t):
+    """(stream, delay): the events as files that arrive one by one, every seventh event
+    a file late, and an event of no user behind them all that moves the watermark on."""
+    folder = shared_folder(t.spark, "arrivals")
+    low, high = (r for r in t.events.agg(F.min(F.unix_micros(F.col("ts").cast("timestamp"))), F.max(F.unix_micros(F.col("ts").cast("timestamp")))).first())
+    width = (high - low) // DELIVERIES + 1
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    number = F.floor((at - low) / width) + F.when(F.col("event_id") % 7 == 0, 1).otherwise(0)
+    delay = 2 * width // 1_000_000 + 1
+    for k in range(DELIVERIES + 1):
+        t.events.filter(number == k).coalesce(1).write.parquet(f"{folder}/{k:03d}")
+    last = t.spark.range(1).select(
+        *[(F.timestamp_micros(F.lit(high + 3 * delay * 1_000_000)).cast(f.dataType) if f.name == "ts" else F.lit(None).cast(f.dataType)).alias(f.name) for f in t.events.schema]
+    )
+    last.write.parquet(f"{folder}/{DELIVERIES + 1:03d}")
+    raw = t.spark.readStream.schema(t.events.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/*")
+    return raw.selectExpr("event_id", "user_id AS job_id", "CAST(ts AS TIMESTAMP) AS ts", f"{fx._STATUS} AS status"), f"{delay} seconds"
+
+
 @query("status_change_stream", _CHANGES)
 def status_change_stream(t):
+    streams.use_state_store(t.spark)
     out = shared_folder(t.spark, "changes")
-    ingest.run_to_end(streams.status_change_stream(_update_stream(t)), out, shared_folder(t.spark, "changes-state"))
+    arriving, delay = _arrivals(t)
+    ingest.run_to_end(streams.status_change_stream(arriving, delay), out, shared_folder(t.spark, "changes-state"))
     return t.spark.read.parquet(out).select("job_id", "event_id", "status")
 
 
@@ -53,16 +77,26 @@ def claimable_jobs(t):
     return jobs.claimable(waiting, F.expr("TIMESTAMP_NTZ '2024-01-15 00:00:00'")).select("job_id", "created_at")
 
 
-@query(
-    "request_rates",
-    """SELECT event_id AS request_id, user_id AS key, count(*) OVER w AS in_window, 7 AS capacity, count(*) OVER w > 7 AS over_quota
-    FROM events WINDOW w AS (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 86399999999 PRECEDING AND CURRENT ROW)""",
-)
+_RATES = """SELECT event_id AS request_id, user_id AS key, count(*) OVER w AS in_window, 7 AS capacity, count(*) OVER w > 7 AS over_quota
+    FROM events WINDOW w AS (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 86399999999 PRECEDING AND CURRENT ROW)"""
+
+
+@query("request_rates", _RATES)
 def request_rates(t):
     requests = t.events.selectExpr("event_id AS request_id", "user_id AS key", "ts")
     return jobs.request_rate(requests, 86_400, 8).drop("ts")
 
 
+@query("trailing_rate_stream", _RATES)
+def trailing_rate_stream(t):
+    streams.use_state_store(t.spark)
+    out = shared_folder(t.spark, "trailing")
+    arriving, delay = _arrivals(t)
+    requests = arriving.selectExpr("event_id AS request_id", "job_id AS key", "ts")
+    ingest.run_to_end(streams.trailing_rate_stream(requests, 86_400, 8, delay=delay), out, shared_folder(t.spark, "trailing-state"))
+    return t.spark.read.parquet(out).drop("ts")
+
+
 @query(
     "request_rate_stream",
     """SELECT user_id AS key, w AS window_start, count(*) AS requests FROM (

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from paperfold.operators import confirm, dedup, extraction, review
+from paperfold.operators.identity_index import IdentityIndex
 from paperfold.plans import fixtures as fx
 from paperfold.plans.registry import Tables, query
-from paperfold.session import as_table
+from paperfold.session import as_table, shared_folder
+from paperfold.sources.commits import TableStore
 
 IDENTITY = ["Customer", "Priority", "Status"]
 
@@ -81,6 +83,44 @@ def dedup_matches(t):
     return _matches(t, _live(t)).select("document_id", "matched_record_id")
 
 
+@query("indexed_dedup_matches", f"WITH {_MATCHES} SELECT * FROM matches")
+def indexed_dedup_matches(t):
+    """`dedup_matches` from the index that two confirms filled, the newer records first."""
+    folder = shared_folder(t.spark, "identities")
+    index = IdentityIndex(t.spark, "identities_" + folder.rsplit("-", 1)[-1], folder)
+    live = dedup.record_identities(_live(t), fx.order_fields(t), _identity_columns(t, fx.CUSTOMER, fx.PRIORITY))
+    live = as_table(live.select("id", "schema_id", "identity", "created_at", "document_id"), "live-identities")
+    for part in ("document_id % 2 = 1", "document_id % 2 = 0"):
+        index.append(live.filter(part))
+    return index.match(_staged_identities(t)).select("document_id", "matched_record_id")
+
+
+@query(
+    "committed_confirm",
+    f"""WITH {fx.R1}, links AS ({fx.plain(fx.DOCUMENT_TOPICS_SQL)})
+    SELECT 'records' AS "table", count(*) AS "rows", 2 AS version FROM r1 WHERE status <> 'O' OR document_id % 2 = 0
+    UNION ALL SELECT 'links', count(*), 2 FROM links JOIN orders ON o_orderkey = document_id WHERE o_orderstatus <> 'O' OR document_id % 2 = 0""",
+)
+def committed_confirm(t):
+    """Records and links of live documents, then those of a confirm, each visible in one step."""
+    store = TableStore(t.spark, shared_folder(t.spark, "store"))
+    links = as_table(
+        fx.run(t, fx.DOCUMENT_TOPICS_SQL).join(t.orders.selectExpr("o_orderkey AS document_id", "o_orderstatus"), "document_id"), "links"
+    )
+    store.commit("live", {"records": _live(t), "links": links.filter("o_orderstatus <> 'O'")})
+    now = store.tables()
+    confirmed = {
+        "records": now["records"].unionByName(fx.order_records(t, "o_orderstatus = 'O' AND o_orderkey % 2 = 0")),
+        "links": now["links"].unionByName(links.filter("o_orderstatus = 'O' AND document_id % 2 = 0")),
+    }
+    version = store.commit("confirm", confirmed)
+    counts = [
+        rows.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("table"), "rows", F.lit(version).alias("version"))
+        for name, rows in store.tables().items()
+    ]
+    return counts[0].unionByName(counts[1])
+
+
 @query(
     "dedup_banners",
     f"""WITH {_MATCHES}, l AS (SELECT m.document_id, m.matched_record_id, live.* EXCLUDE (document_id, row_index)
@@ -111,14 +151,12 @@ def batch_twins(t):
 
 def _edited(t: Tables):
     """The second line of every order gets a typed amount; every first line is copied as an added row."""
-    old = as_table(cells(t), "cells")
-    typed = old.withColumn(
-        "value",
-        F.when((F.col("row_index") == 1) & (F.col("field") == "Line Amount"), "1,250.00").otherwise(F.col("value")),
-    )
-    return old, typed.unionByName(
-        old.filter("row_index = 0").withColumn("row_index", F.lit(1_000))
+    old = as_table(fx.order_staged(t).select("document_id", "row_index", "data", "data_confidence"), "staged")
+    typed = F.transform_values(
+        "data", lambda field, value: F.when((F.col("row_index") == 1) & (field == "Line Amount"), "1,250.00").otherwise(value)
     )
+    new = old.select("document_id", "row_index", typed.alias("data"))
+    return old, new.unionByName(new.filter("row_index = 0").withColumn("row_index", F.lit(1_000)))
 
 
 @query(
@@ -128,7 +166,9 @@ def _edited(t: Tables):
     UNION ALL SELECT document_id, 1000, field, NULL FROM cells WHERE row_index = 0""",
 )
 def surviving_confidence(t):
-    return review.surviving_confidence(*_edited(t)).select("document_id", "row_index", "field", "confidence")
+    scored = review.surviving_row_confidence(*_edited(t))
+    each = scored.select("document_id", "row_index", "data_confidence", F.explode("data").alias("field", "value"))
+    return each.select("document_id", "row_index", "field", F.try_element_at("data_confidence", F.col("field")).alias("confidence"))
 
 
 _CLEAN = f"""{CELLS}, clean AS (SELECT document_id, NOT bool_or(COALESCE(confidence < 0.75, false)) AS clean FROM cells GROUP BY 1)"""

@@ -1,46 +1,175 @@
-"""Streaming forms of the job reports; each has a batch twin in operators.jobs."""
+"""Streaming forms of the job reports; each has a batch twin in operators.jobs.
+
+The status feed and the trailing rate keep state per key and go by event time: a row
+waits in the state until the watermark has passed it, so rows that arrive late,
+but within the allowed delay, take their place, and the stream gives the rows of
+its batch twin. Rows are put into the state one by one. Both need the RocksDB
+state store (`use_state_store`).
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor
 
 from paperfold.operators.browse import TERMINAL
-from paperfold.operators.jobs import batch_completion
+from paperfold.operators.jobs import QUOTA_MARGIN, batch_completion
 
+DELAY = "1 hour"
+# How long a feed that has ended is remembered, so that stragglers do not open it again.
+REMEMBERED_SECONDS = 86_400
 
-def status_change_stream(updates: DataFrame) -> DataFrame:
-    """Status changes per job (job_id, ts, event_id, status), ending at a terminal status.
 
-    The state of a job is its last status and whether its feed has ended. Input
-    batches arrive in Arrow pieces, so the rows of one trigger are sorted first.
-    Within a trigger a job's rows are one group; keep triggers small
-    (maxFilesPerTrigger) where single jobs are very chatty.
+def use_state_store(spark: SparkSession) -> None:
+    spark.conf.set(
+        "spark.sql.streaming.stateStore.providerClass",
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    )
+
+
+class InOrder(StatefulProcessor):
+    """Holds rows until the watermark has passed them, then works them in order.
+
+    Rows have `at` (microseconds), `number` (breaks ties) and what `_work` reads. A row
+    whose key is null only moves the watermark.
     """
-    output = "job_id bigint, ts timestamp, event_id bigint, status string"
-
-    def emit(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, ended = state.get if state.exists else (None, False)
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        keep = []
-        for at, status in enumerate(rows["status"]):
-            fresh = not ended and status != last
-            keep.append(fresh)
-            if fresh:
-                last, ended = status, status in TERMINAL
-        state.update((last, ended))
-        yield rows[keep][["job_id", "ts", "event_id", "status"]]
 
-    return (
-        updates.select("job_id", "ts", "event_id", "status")
-        .groupBy("job_id")
-        .applyInPandasWithState(
-            emit, output, "last string, ended boolean", "append", GroupStateTimeout.NoTimeout
-        )
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "at bigint, number bigint", self.held)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        for row in rows:
+            if key[0] is not None and self._wanted():
+                self.waiting.updateValue((row.at, row.number), self._keep(row))
+                # Timers go by milliseconds; a row is due when its whole millisecond has passed.
+                self.handle.registerTimer(row.at // 1000 + 1)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        due = expiredTimerInfo.getExpiryTimeInMs() * 1000
+        ready = sorted((k, v) for k, v in self.waiting.iterator() if k[0] < due)
+        for k, _ in ready:
+            self.waiting.removeKey(k)
+        yield from self._work(key[0], ready, due)
+
+    def close(self) -> None:
+        pass
+
+
+class StatusFeed(InOrder):
+    """Status changes of a job until its first terminal status. A feed that has ended
+    is a single value; that goes too when it has been remembered long enough."""
+
+    held = "status string"
+
+    def __init__(self, remembered_seconds: int):
+        self.remembered = remembered_seconds * 1_000_000
+
+    def init(self, handle) -> None:
+        super().init(handle)
+        self.last = handle.getValueState("last", "status string, ended_at bigint")
+
+    def _wanted(self) -> bool:
+        return not self.last.exists() or self.last.get()[1] is None
+
+    def _keep(self, row) -> tuple:
+        return (row.status,)
+
+    def _work(self, job_id, ready, due) -> Iterator[Row]:
+        last, ended = self.last.get() if self.last.exists() else (None, None)
+        fresh = not self.last.exists()
+        if ended is not None:
+            if due > ended + self.remembered:
+                self.last.clear()
+                self.waiting.clear()
+            return
+        for (at, number), (status,) in ready:
+            if fresh or status != last:
+                yield Row(job_id=job_id, at=at, event_id=number, status=status)
+            last, fresh = status, False
+            if status in TERMINAL:
+                self.last.update((last, at))
+                self.waiting.clear()
+                self.handle.registerTimer((at + self.remembered) // 1000 + 2)
+                return
+        if not fresh:
+            self.last.update((last, None))
+
+
+def status_change_stream(updates: DataFrame, delay: str = DELAY, remembered_seconds: int = REMEMBERED_SECONDS) -> DataFrame:
+    """Status changes per job (job_id, ts, event_id, status), ending at a terminal status.
+
+    Updates later than `delay` are dropped. What arrives for a feed that has ended is
+    dropped too, for `remembered_seconds` of event time after its end.
+    """
+    timed = updates.withWatermark("ts", delay)
+    rows = timed.select("job_id", "ts", F.unix_micros("ts").alias("at"), F.col("event_id").alias("number"), "status")
+    found = rows.groupBy("job_id").transformWithState(
+        StatusFeed(remembered_seconds), "job_id bigint, at bigint, event_id bigint, status string", "Append", "EventTime"
+    )
+    return found.select("job_id", F.timestamp_micros("at").alias("ts"), "event_id", "status")
+
+
+class TrailingRate(InOrder):
+    """Requests of a key in the window that ends with each request. The state is the
+    queue of the times in the window; older ones leave it."""
+
+    held = "request_id bigint"
+
+    def __init__(self, width: int):
+        self.width = width
+
+    def init(self, handle) -> None:
+        super().init(handle)
+        self.recent = handle.getListState("recent", "at bigint, n bigint")
+
+    def _wanted(self) -> bool:
+        return True
+
+    def _keep(self, row) -> tuple:
+        return (row.number,)
+
+    def _work(self, key, ready, due) -> Iterator[Row]:
+        if not ready:
+            return
+        queue = [tuple(x) for x in self.recent.get()] if self.recent.exists() else []
+        total = sum(n for _, n in queue)
+        start = 0
+        while start < len(ready):
+            # Requests of one moment see each other.
+            at, end = ready[start][0][0], start
+            while end < len(ready) and ready[end][0][0] == at:
+                end += 1
+            queue.append((at, end - start))
+            total += end - start
+            gone = 0
+            while queue[gone][0] <= at - self.width:
+                total -= queue[gone][1]
+                gone += 1
+            queue = queue[gone:]
+            for (_, number), _ in ready[start:end]:
+                yield Row(request_id=number, key=key, at=at, in_window=total)
+            start = end
+        self.recent.put(queue)
+
+
+def trailing_rate_stream(requests: DataFrame, seconds: int, limit: int, margin: float = QUOTA_MARGIN, delay: str = DELAY) -> DataFrame:
+    """Per request: requests of its key in the trailing window, open at exactly `seconds`,
+    capacity and over_quota, as `operators.jobs.request_rate` gives them.
+
+    requests: key, ts, request_id (bigints). Requests later than `delay` are dropped.
+    """
+    capacity = max(1, int(limit * margin))
+    rows = requests.withWatermark("ts", delay).select("key", "ts", F.unix_micros("ts").alias("at"), F.col("request_id").alias("number"))
+    found = rows.groupBy("key").transformWithState(
+        TrailingRate(seconds * 1_000_000), "request_id bigint, key bigint, at bigint, in_window bigint", "Append", "EventTime"
+    )
+    return found.select(
+        "request_id", "key", F.timestamp_micros("at").alias("ts"), "in_window", F.lit(capacity).alias("capacity"), (F.col("in_window") > capacity).alias("over_quota")
     )
 
 
