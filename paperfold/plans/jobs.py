@@ -58,7 +58,9 @@ def status_change_stream(t):
     streams.use_state_store(t.spark)
     out = shared_folder(t.spark, "changes")
     arriving, delay = _arrivals(t)
-    ingest.run_to_end(streams.status_change_stream(arriving, delay), out, shared_folder(t.spark, "changes-state"))
+    # The batch twin remembers every feed that has ended; so does this, for ten years.
+    changes = streams.status_change_stream(arriving, delay, 3650 * 86_400)
+    ingest.run_to_end(changes, out, shared_folder(t.spark, "changes-state"))
     return t.spark.read.parquet(out).select("job_id", "event_id", "status")
 
 
