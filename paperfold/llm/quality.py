@@ -12,8 +12,10 @@ with the smallest doc_id among the carriers of a line keeps it, so a text that
 was only copied often never vanishes from the host altogether.
 
 Defined results: a null text has no words and fails the base rules; rows without
-a source belong to one host of their own; further columns are ignored; an empty
-table gives an empty result.
+a source belong to one host of their own; each row is judged by itself, also one of
+several with one doc_id or none, and a row without a doc_id is never a line's first
+carrier where another has one; of equal first carriers all keep the line; further
+columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,17 +33,17 @@ _WINDOW = 5
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 
-# Different documents of one host that may carry a line, whatever the host's size.
-LINE_LIMIT = 200
-# The same by size of the host. A template line stays on its share of the pages
-# however many a host has, so a share separates it from a line many authors hit
-# upon; below 1,000 documents one percent would be a handful that chance explains,
-# so the floor holds there.
+# Documents of a host that may carry a line. A template line stays on its share of the
+# pages however many a host has, so a share separates it from a line many authors hit
+# upon; below 1,000 documents one percent would be a handful that chance explains, so
+# the floor holds there.
 HOST_FLOOR = 10
 HOST_PERCENT = 1
 # A document is depleted when less than this share of its words remains.
 MIN_LEFT_PERCENT = 30
 
+ROW = "__row"
+
 
 def _text() -> Column:
     return F.coalesce(F.col("text"), F.lit(""))
@@ -49,6 +51,7 @@ def _text() -> Column:
 
 def text_counts(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, `keep` and the base counts of each row, all computed inside the row.
+    `keep`: further columns of docs.
 
     A five-word window is a match of one look-ahead pattern, so no word arrays
     are sliced. Only where windows repeat are they sorted with their places; a
@@ -128,11 +131,11 @@ def _normal(line: Column) -> Column:
 
 
 def document_lines(docs: DataFrame) -> DataFrame:
-    """One row per document and line with a word: host, line hash, its words there."""
+    """One row per row of docs and line with a word: host, content, line hash, its words there."""
     rows = (
         docs.select(
             "doc_id",
-            F.coalesce(F.col("source"), F.lit("")).alias("host"),
+            _host().alias("host"),
             F.xxhash64(_text()).alias("content"),
             F.explode(F.split(_text(), "\n")).alias("line"),
         )
@@ -143,18 +146,20 @@ def document_lines(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "host", "content", F.xxhash64("line").alias("line"), words.alias("words"))
 
 
+def _host() -> Column:
+    return F.coalesce(F.col("source"), F.lit(""))
+
+
 def host_sizes(docs: DataFrame) -> DataFrame:
     """Different documents with a word of each host."""
     worded = docs.filter(_text().rlike(_WORD))
-    texts = worded.select(F.coalesce(F.col("source"), F.lit("")).alias("host"), F.xxhash64(_text()).alias("content"))
+    texts = worded.select(_host().alias("host"), F.xxhash64(_text()).alias("content"))
     return texts.distinct().groupBy("host").agg(F.count(F.lit(1)).alias("size"))
 
 
-def frequent_lines(
-    lines: DataFrame, line_limit: int = LINE_LIMIT, line_percent: int = 0, sizes: DataFrame | None = None
-) -> DataFrame:
+def frequent_lines(lines: DataFrame, sizes: DataFrame, line_limit: int, line_percent: float) -> DataFrame:
     """host, line and first carrier of lines in more than `line_limit` different
-    documents of the host and, given its size, more than `line_percent` of them.
+    documents of the host and more than `line_percent` of them.
     The steps combine before they shuffle."""
     carriers = lines.groupBy("host", "line", "content").agg(F.min("doc_id").alias("first_id"))
     frequent = (
@@ -162,39 +167,47 @@ def frequent_lines(
         .agg(F.count(F.lit(1)).alias("carriers"), F.min("first_id").alias("first_id"))
         .filter(F.col("carriers") > line_limit)
     )
-    if sizes is None:
-        return frequent
     return frequent.join(sizes, "host").filter(100 * F.col("carriers") > line_percent * F.col("size")).drop("size")
 
 
 def quality_rules(
     docs: DataFrame,
-    line_limit: int = LINE_LIMIT,
+    line_limit: int = HOST_FLOOR,
+    line_percent: float = HOST_PERCENT,
     min_left_percent: int = MIN_LEFT_PERCENT,
-    line_percent: int = 0,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Counts, removed words and verdict of each document.
+    """Counts, removed words and verdict of each row, with the columns `keep`.
 
-    The frequent lines are stored first: Spark then knows their size and sends
-    them to all tasks only when that is small; otherwise both sides shuffle and
-    adaptive execution splits a line that many documents carry.
+    What is removed depends on doc_id, host and text alone, so equal rows are worked
+    out once and every row finds its own. The frequent lines are stored first: Spark
+    then knows their size and sends them to all tasks only when that is small;
+    otherwise both sides shuffle and adaptive execution splits a line that many
+    documents carry.
     """
     lines = document_lines(docs)
-    sizes = host_sizes(docs) if line_percent > 0 else None
-    frequent = as_table(frequent_lines(lines, line_limit, line_percent, sizes), "frequent-lines")
+    frequent = as_table(frequent_lines(lines, host_sizes(docs), line_limit, line_percent), "frequent-lines")
+    carried = lines.join(frequent, ["host", "line"]).filter(~F.col("doc_id").eqNullSafe(F.col("first_id")))
     removed = (
-        lines.join(frequent, ["host", "line"])
-        .filter(~F.col("doc_id").eqNullSafe(F.col("first_id")))
-        .groupBy("doc_id")
-        .agg(F.sum("words").alias("removed_words"), F.collect_set("line").alias("removed_lines"))
+        # Rows of one doc_id, host and text count their lines together; `rows` parts them again.
+        carried.groupBy("doc_id", "host", "content")
+        .agg(F.sum("words").alias("all_words"), F.collect_set("line").alias("removed_lines"))
+        .toDF("__doc_id", "__host", "__content", "all_words", "removed_lines")
     )
     # Stored, since a filter on these counts would otherwise be pushed below the steps
     # that compute them, where each would be worked out again for every window.
-    counts = as_table(text_counts(docs), "text-counts")
+    counted = text_counts(docs.withColumns({"__h": _host(), "__c": F.xxhash64(_text())}), ("__h", "__c", *keep))
+    counts = as_table(counted, "text-counts")
+    rows = counts.groupBy("doc_id", "__h", "__c").agg(F.count(F.lit(1)).alias("__rows")).filter("__rows > 1")
+    same = [F.col("doc_id").eqNullSafe(F.col("__doc_id")), F.col("__h") == F.col("__host"), F.col("__c") == F.col("__content")]
+    repeats = rows.toDF("__r_id", "__r_h", "__r_c", "__rows")
+    again = [F.col("doc_id").eqNullSafe(F.col("__r_id")), F.col("__h") == F.col("__r_h"), F.col("__c") == F.col("__r_c")]
+    own = (F.coalesce("all_words", F.lit(0)) / F.coalesce("__rows", F.lit(1))).cast("bigint")
     left = F.col("n_words") - F.col("removed_words")
     return (
-        counts.join(removed, "doc_id", "left")
-        .withColumn("removed_words", F.coalesce("removed_words", F.lit(0)).cast("bigint"))
+        counts.join(removed, same[0] & same[1] & same[2], "left")
+        .join(repeats, again[0] & again[1] & again[2], "left")
+        .withColumn("removed_words", own)
         .withColumn("base_failed", base_failed())
         .withColumn(
             "depleted",
@@ -202,32 +215,30 @@ def quality_rules(
             & ((left < MIN_WORDS) | (100 * left < min_left_percent * F.col("n_words"))),
         )
         .withColumn("kept", ~F.col("base_failed") & ~F.col("depleted"))
+        .drop("__h", "__c", "__doc_id", "__host", "__content", "all_words", "__r_id", "__r_h", "__r_c", "__rows")
     )
 
 
-def host_rules(docs: DataFrame) -> DataFrame:
-    """The rules with the limit that follows the size of the host."""
-    return quality_rules(docs, HOST_FLOOR, line_percent=HOST_PERCENT)
+def numbered(docs: DataFrame) -> DataFrame:
+    """The rows with a number of their own, stored once so that it stays."""
+    return as_table(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
-    """The documents that pass, unchanged, so that exact copies stay exact copies
+    """The rows that pass, unchanged, so that exact copies stay exact copies
     for the steps after this one; `without_furniture` takes the lines out."""
-    passed = host_rules(docs).filter("kept").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(passed, docs["doc_id"].eqNullSafe(F.col("__id")), "left_semi")
+    rows = numbered(docs)
+    passed = quality_rules(rows, keep=(ROW,)).filter("kept").select(ROW)
+    return rows.join(passed, ROW, "left_semi").drop(ROW)
 
 
 def without_furniture(docs: DataFrame) -> DataFrame:
-    """All documents without the removed lines of their host; `n_chars`, where there
+    """All rows without the removed lines of their host; `n_chars`, where there
     is one, counts what remains. It makes copies in different hosts, and copies of a
     line's first carrier, different: it belongs after deduplication."""
-    gone = (
-        host_rules(docs)
-        .filter("removed_words > 0")
-        .select(F.col("doc_id").alias("__id"), F.col("removed_lines").alias("__gone"))
-        .dropDuplicates(["__id"])
-    )
-    joined = docs.join(gone, docs["doc_id"].eqNullSafe(F.col("__id")), "left")
+    rows = numbered(docs)
+    gone = quality_rules(rows, keep=(ROW,)).filter("removed_words > 0").select(ROW, F.col("removed_lines").alias("__gone"))
+    joined = rows.join(gone, ROW, "left")
     rest = F.filter(F.split("text", "\n"), lambda x: ~F.array_contains(F.col("__gone"), line_hash(x)))
     joined = joined.withColumn(
         "text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(rest, "\n"))

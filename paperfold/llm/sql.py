@@ -15,43 +15,46 @@ _PLAIN = "trim(regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g
 
 QUALITY = f"""
 WITH base AS (
-  SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text,
+  SELECT row_number() OVER () AS id, doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text,
          CASE WHEN {_PLAIN} = '' THEN [] ELSE string_split({_PLAIN}, ' ') END AS words
   FROM documents
 ), counts AS (
-  SELECT doc_id, host, text, words, len(words) AS n_words,
+  SELECT id, doc_id, host, text, words, len(words) AS n_words,
          length(array_to_string(words, '')) AS word_chars,
          length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS n_symbols
   FROM base
 ), windows AS (
-  SELECT doc_id, p, array_to_string(words[p:p + 4], ' ') AS w
-  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 3)) AS p FROM base)
+  SELECT id, p, array_to_string(words[p:p + 4], ' ') AS w
+  FROM (SELECT id, words, unnest(range(1, len(words) - 3)) AS p FROM base)
 ), repeated AS (
-  SELECT doc_id, p FROM (SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, w) AS n FROM windows) WHERE n > 1
+  SELECT id, p FROM (SELECT id, p, count(*) OVER (PARTITION BY id, w) AS n FROM windows) WHERE n > 1
 ), covered AS (
-  SELECT doc_id, count(DISTINCT p + k) AS n FROM repeated, (SELECT unnest(range(0, 5)) AS k) GROUP BY doc_id
+  SELECT id, count(DISTINCT p + k) AS n FROM repeated, (SELECT unnest(range(0, 5)) AS k) GROUP BY id
 ), lines AS (
-  SELECT doc_id, host, hash(text) AS content, line FROM (
-    SELECT doc_id, host, text, unnest(string_split(text, chr(10))) AS line FROM base)
+  SELECT id, doc_id, host, hash(text) AS content, line FROM (
+    SELECT id, doc_id, host, text, unnest(string_split(text, chr(10))) AS line FROM base)
   WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')
 ), dup AS (
-  SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM lines GROUP BY doc_id
+  SELECT id, count(*) - count(DISTINCT line) AS n FROM lines GROUP BY id
 ), normal AS (
-  SELECT doc_id, host, content,
+  SELECT id, doc_id, host, content,
          lower(trim(regexp_replace(regexp_replace(line, '[\\x20\\x09-\\x0D]+', ' ', 'g'), '[0-9]', '0', 'g'))) AS line
   FROM lines
+), sizes AS (
+  SELECT coalesce(source, '') AS host, count(DISTINCT hash(text)) AS size FROM documents
+  WHERE regexp_matches(text, '[^\\x20\\x09-\\x0D]') GROUP BY ALL
 ), frequent AS (
-  SELECT host, line, min(doc_id) AS first_id FROM normal GROUP BY host, line
-  HAVING count(DISTINCT content) > {quality.LINE_LIMIT}
+  SELECT n.host, line, min(doc_id) AS first_id FROM normal n JOIN sizes s ON n.host = s.host GROUP BY n.host, line
+  HAVING count(DISTINCT content) > {quality.HOST_FLOOR} AND 100 * count(DISTINCT content) > {quality.HOST_PERCENT} * any_value(size)
 ), removed AS (
-  SELECT n.doc_id, sum(len(string_split(n.line, ' '))) AS n
+  SELECT n.id, sum(len(string_split(n.line, ' '))) AS n
   FROM normal n JOIN frequent f ON n.host = f.host AND n.line = f.line
-  WHERE n.doc_id <> f.first_id GROUP BY n.doc_id
+  WHERE n.doc_id IS DISTINCT FROM f.first_id GROUP BY n.id
 ), joined AS (
   SELECT c.doc_id, c.n_words, c.word_chars, c.n_symbols, coalesce(d.n, 0) AS n_dup_lines,
          coalesce(v.n, 0) AS n_repeat_words, coalesce(r.n, 0)::BIGINT AS removed_words
-  FROM counts c LEFT JOIN covered v ON c.doc_id = v.doc_id LEFT JOIN dup d ON c.doc_id = d.doc_id
-  LEFT JOIN removed r ON c.doc_id = r.doc_id
+  FROM counts c LEFT JOIN covered v ON c.id = v.id LEFT JOIN dup d ON c.id = d.id
+  LEFT JOIN removed r ON c.id = r.id
 ), judged AS (
   SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words AS base_failed,
          removed_words > 0 AND (n_words - removed_words < {quality.MIN_WORDS}

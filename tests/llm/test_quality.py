@@ -58,7 +58,7 @@ def by_hand(rows):
 
 def test_limit_follows_the_size_of_the_host(spark):
     rows = hosts()
-    got = {r.doc_id: r for r in quality.host_rules(documents(spark, rows)).collect()}
+    got = {r.doc_id: r for r in quality.quality_rules(documents(spark, rows)).collect()}
     want = by_hand(rows)
     assert {d: r.removed_words for d, r in got.items()} == {d: want[d] for d, _, _ in rows}
     assert got[0].removed_words == 0 and got[1].removed_words == 10 and got[1].kept
@@ -73,7 +73,7 @@ def test_stage_drops_depleted_documents(spark):
 
 
 def test_twin_where_lines_are_removed(spark, tmp_path):
-    rows = [(k, "mid", f"{LINE}\n{OWN.format(word(k))}") for k in range(quality.LINE_LIMIT + 5)]
+    rows = [(k, "mid", f"{LINE}\n{OWN.format(word(k))}") for k in range(quality.HOST_FLOOR + 5)]
     rows += [(1_000 + k, "mid", f"{LINE}\nonly {word(k)} words here") for k in range(2)]
     docs = documents(spark, rows)
     docs.write.parquet(f"{tmp_path}/documents.parquet")
@@ -106,3 +106,28 @@ def test_lines_are_removed_on_request(spark):
         d: OWN.format(word(d)) if 0 < d < 20 else t for d, _, t in rows
     }
     assert got[3].n_chars == len(got[3].text) and len(got) == len(rows)
+
+
+def test_each_row_is_judged_by_itself(spark):
+    carriers = [(k, "h", f"{LINE}\n{OWN.format(word(k))}") for k in range(30)]
+    # Sixty percent of this document remain, however often its row is repeated.
+    repeated = [(40, "h", f"{LINE}\nfifteen words of its own remain here so that this text is not ever called depleted")] * 3
+    no_id = [(None, "h", f"{LINE}\n{OWN.format('none')}"), (None, "h", "short")]
+    docs = documents(spark, carriers + repeated + no_id)
+    got = quality.quality_rules(docs).collect()
+    assert len(got) == 35
+    assert [(r.removed_words, r.kept) for r in got if r.doc_id == 40] == [(10, True)] * 3
+    assert sorted((r.n_words > 1, r.removed_words, r.kept) for r in got if r.doc_id is None) == [(False, 0, False), (True, 10, True)]
+    kept = [tuple(r) for r in quality.kept_documents(docs).collect()]
+    assert len(kept) == 34 and not any(r[0] is None and r[1] == "short" for r in kept)
+
+
+def test_repeated_and_null_rows_equal_the_twin(spark, tmp_path):
+    rows = [(k % 25, "mid", f"{LINE}\n{OWN.format(word(k))}") for k in range(40)] + [(3, "mid", f"{LINE}\nshort")] * 2
+    rows += [(None, "mid", f"{LINE}\nshort")] * 2 + [(None, None, None), (7, "mid", f"{LINE}\n{LINE}")]
+    docs = documents(spark, rows)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.QUERIES["op6_quality_rules"](spark, str(tmp_path)).collect()
+    con = duckdb.connect()
+    con.register("documents", docs.toArrow())
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, con.execute(sql.QUALITY).fetchall()))
