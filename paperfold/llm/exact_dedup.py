@@ -7,8 +7,9 @@ the index; what the join leaves is appended. Only digests and ids move, never
 texts.
 
 Defined results: a null text counts as empty; rows without a doc_id never win
-against rows with one; several rows of one doc_id share that document's verdict;
-an empty table gives an empty result; further columns of the input are ignored.
+against rows with one; several rows of one doc_id and one text have one verdict, and
+of those that stay the stage keeps one; an empty table gives an empty result; further
+columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from paperfold.llm.rows import ROW, chosen, numbered
 from paperfold.session import as_table, shared_folder
 
 # Fixed value: the characters that count as white space.
@@ -32,9 +34,9 @@ def digest(text: Column) -> Column:
     return F.unhex(F.sha2(F.regexp_replace(F.coalesce(text, F.lit("")), WHITE_SPACE, " "), 256))
 
 
-def marks(docs: DataFrame) -> DataFrame:
-    """doc_id and digest of each row."""
-    return docs.select("doc_id", digest(F.col("text")).alias("digest"))
+def marks(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, digest and the columns `keep` of each row."""
+    return docs.select("doc_id", digest(F.col("text")).alias("digest"), *keep)
 
 
 class DigestIndex:
@@ -80,8 +82,8 @@ class DigestIndex:
         )
 
 
-def verdicts(marked: DataFrame, index: DigestIndex) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256 of each marked row.
+def verdicts(marked: DataFrame, index: DigestIndex, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256 of each marked row, and its columns `keep`.
 
     Counting a group combines before it shuffles. Handing its verdict back to
     its members is a plain join of two shuffled sides, which adaptive execution
@@ -95,10 +97,11 @@ def verdicts(marked: DataFrame, index: DigestIndex) -> DataFrame:
         "group_size",
         F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
+        *keep,
     )
 
 
-def exact_dedup(docs: DataFrame, deliveries: int = 2) -> DataFrame:
+def exact_dedup(docs: DataFrame, deliveries: int = 2, buckets: int = BUCKETS, keep: tuple[str, ...] = ()) -> DataFrame:
     """Deduplicates a whole table through a new index.
 
     The rows arrive in `deliveries` by ascending doc_id, so the index holds the
@@ -106,23 +109,24 @@ def exact_dedup(docs: DataFrame, deliveries: int = 2) -> DataFrame:
     earlier ones left.
     """
     spark = docs.sparkSession
-    marked = as_table(marks(docs), "digests")
+    marked = as_table(marks(docs, keep), "digests")
     folder = shared_folder(spark, "digest-index")
-    index = DigestIndex(spark, "digests_" + folder.rsplit("-", 1)[-1], folder)
+    index = DigestIndex(spark, "digests_" + folder.rsplit("-", 1)[-1], folder, buckets)
     low, high = marked.agg(F.min("doc_id"), F.max("doc_id")).first()
     if low is None:
         index.append(marked)
-        return verdicts(marked, index)
+        return verdicts(marked, index, keep)
     step = (high - low) // deliveries + 1
     for k in range(deliveries):
         there = F.col("doc_id").between(low + k * step, low + (k + 1) * step - 1)
         index.append(marked.filter(there))
     if marked.filter(F.col("doc_id").isNull()).limit(1).count():
         index.append(marked.filter(F.col("doc_id").isNull()))
-    return verdicts(marked, index)
+    return verdicts(marked, index, keep)
 
 
-def kept_documents(docs: DataFrame) -> DataFrame:
-    """The rows of the documents that stay, with all their columns."""
-    stay = exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("__stay")).distinct()
-    return docs.join(stay, docs["doc_id"].eqNullSafe(F.col("__stay")), "left_semi")
+def kept_documents(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """The rows that stay, one of each text, with all their columns."""
+    rows = numbered(docs)
+    stay = exact_dedup(rows, buckets=buckets, keep=(ROW,)).filter("kept")
+    return chosen(rows, stay.groupBy("text_sha256").agg(F.min(ROW).alias(ROW)))

@@ -25,6 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from paperfold.llm.rows import ROW, numbered
 from paperfold.session import as_table
 
 LEVELS = ("domain", "lang", "source")
@@ -43,10 +44,10 @@ def n_words(text: str = "text") -> Column:
     return F.when(F.length(plain) > 0, words).otherwise(0).cast("bigint")
 
 
-def measured(docs: DataFrame, levels: dict[str, Column]) -> DataFrame:
-    """doc_id, labels and tokens of each row; stored, since several steps read it."""
+def measured(docs: DataFrame, levels: dict[str, Column], keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, labels, tokens and `keep` of each row; stored, since several steps read it."""
     labels = [F.coalesce(c.cast("string"), F.lit("")).alias(name) for name, c in levels.items()]
-    return as_table(docs.select("doc_id", *labels, n_words().alias("tokens")), "measured")
+    return as_table(docs.select("doc_id", *labels, n_words().alias("tokens"), *keep), "measured")
 
 
 def leaf_capacities(rows: DataFrame, levels: tuple[str, ...], weights: dict[str, DataFrame], max_epochs: int) -> DataFrame:
@@ -112,7 +113,9 @@ def leaf_budgets(leaves: DataFrame, levels: tuple[str, ...], total: int | None,
     )
 
 
-def selected(rows: DataFrame, budgets: DataFrame, levels: tuple[str, ...], seed: int = SEED) -> DataFrame:
+def selected(
+    rows: DataFrame, budgets: DataFrame, levels: tuple[str, ...], seed: int = SEED, keep: tuple[str, ...] = ()
+) -> DataFrame:
     """Rows of whole epochs, and the prefix of the epoch after them."""
     leaf = list(levels)
     plan = budgets.select(
@@ -121,7 +124,7 @@ def selected(rows: DataFrame, budgets: DataFrame, levels: tuple[str, ...], seed:
         (F.col("target") % F.col("available")).alias("rest"),
     )
     joined = rows.join(plan, leaf)
-    columns = ["doc_id", *leaf, "tokens", "epoch", "tokens_taken"]
+    columns = ["doc_id", *leaf, "tokens", "epoch", "tokens_taken", *keep]
     passes = joined.filter("whole > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("whole") - 1)))
     passes = passes.withColumn("tokens_taken", F.col("tokens")).select(*columns)
 
@@ -147,13 +150,14 @@ def mix(
     max_epochs: int = MAX_EPOCHS,
     seed: int = SEED,
     percent: int = 100,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """doc_id, labels, tokens, epoch, tokens_taken of everything that is read."""
+    """doc_id, labels, tokens, epoch, tokens_taken of everything that is read, and `keep`."""
     names = tuple(levels)
-    rows = measured(docs, levels)
+    rows = measured(docs, levels, keep)
     leaves = leaf_capacities(rows, names, weights, max_epochs)
     budgets = as_table(leaf_budgets(leaves, names, total, percent), "budgets")
-    return selected(rows, budgets, names, seed)
+    return selected(rows, budgets, names, seed, keep)
 
 
 # The tree over `documents`: which sources make up a domain, and what each weighs.
@@ -175,19 +179,17 @@ def document_weights(spark) -> dict[str, DataFrame]:
 
 
 def mixed_documents(
-    docs: DataFrame, total: int | None = None, max_epochs: int = MAX_EPOCHS, percent: int = 100
+    docs: DataFrame, total: int | None = None, max_epochs: int = MAX_EPOCHS, percent: int = 100, keep: tuple[str, ...] = ()
 ) -> DataFrame:
     weights = document_weights(docs.sparkSession)
-    return mix(docs, document_levels(), weights, total, max_epochs, percent=percent)
-
-
-# Share of a corpus that is kept to come nearer to the weights.
-KEPT_PERCENT = 90
+    return mix(docs, document_levels(), weights, total, max_epochs, percent=percent, keep=keep)
 
 
-def kept_documents(docs: DataFrame, percent: int = KEPT_PERCENT) -> DataFrame:
-    """The documents a single-epoch mix reads, with all their columns. Nothing can
-    be read twice, so sources that fall short pass their budget on. The document
-    at a leaf's cut is kept whole."""
-    stay = mixed_documents(docs, max_epochs=1, percent=percent).select(F.col("doc_id").alias("__stay")).distinct()
-    return docs.join(stay, docs["doc_id"].eqNullSafe(F.col("__stay")), "left_semi")
+def kept_documents(docs: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame:
+    """The rows of the mix, with all their columns, once for every epoch that reads
+    them. As many tokens go out as come in: sources that fall short of their weight are
+    read again, up to `max_epochs` times, and those above it lose documents; where
+    the shares fit already, every document stays, once. The document at a leaf's cut
+    is kept whole."""
+    rows = numbered(docs)
+    return rows.join(mixed_documents(rows, max_epochs=max_epochs, keep=(ROW,)).select(ROW), ROW).drop(ROW)

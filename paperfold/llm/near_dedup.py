@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paperfold.llm.components import components
+from paperfold.llm.rows import ROW, chosen, numbered
 from paperfold.session import as_table
 
 SHINGLE = 5
@@ -99,8 +100,8 @@ def signature(shingles, multipliers, addends):
     return low
 
 
-def sketches(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, digest of the words, n_shingles, sig (a byte per hash), bands (keys)."""
+def sketches(docs: DataFrame, shingle: int, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, digest of the words, n_shingles, sig (a byte per hash), bands (keys), and the columns `keep`."""
 
     def sketch(batches):
         import numpy as np
@@ -130,12 +131,14 @@ def sketches(docs: DataFrame, shingle: int) -> DataFrame:
                     pa.array(sizes, pa.int64()),
                     pa.array(sigs, pa.binary()),
                     pa.ListArray.from_arrays(ends, flat),
+                    *batch.columns[2:],
                 ],
-                names=["doc_id", "digest", "n_shingles", "sig", "bands"],
+                names=["doc_id", "digest", "n_shingles", "sig", "bands", *keep],
             )
 
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return rows.mapInArrow(sketch, "doc_id bigint, digest binary, n_shingles bigint, sig binary, bands array<bigint>")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", *keep)
+    kept = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in keep)
+    return rows.mapInArrow(sketch, f"doc_id bigint, digest binary, n_shingles bigint, sig binary, bands array<bigint>{kept}")
 
 
 def hash_functions(count: int):
@@ -389,10 +392,10 @@ def _same_documents(marked: DataFrame, uniques: DataFrame) -> DataFrame:
     return ends.select(F.greatest("id", "one").alias("a"), F.least("id", "one").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of each row."""
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept, digest (of the words) of each row, and its columns `keep`."""
     looks = least_matches(percent)
-    marked = as_table(sketches(docs, shingle), "sketches")
+    marked = as_table(sketches(docs, shingle, keep), "sketches")
     uniques = marked.groupBy("digest").agg(
         F.min("doc_id").alias("low"),
         F.max("n_shingles").alias("n_shingles"),
@@ -441,14 +444,21 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     named = classes.join(smallest, "group").select("digest", "n_shingles", "smallest")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("smallest"))
     return (
-        marked.select("doc_id", "digest")
+        marked.select("doc_id", "digest", *keep)
         .join(named, "digest")
-        .select("doc_id", "n_shingles", component.alias("component_id"))
+        .select("doc_id", "n_shingles", component.alias("component_id"), "digest", *keep)
         .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
     )
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
-    """One document of each group, with all its columns."""
-    stay = near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("__stay")).distinct()
-    return docs.join(stay, docs["doc_id"].eqNullSafe(F.col("__stay")), "left_semi")
+    """One row of each group, with all its columns. Rows without words belong to no
+    group and stay; of rows without a doc_id that equal none with one, one stays."""
+    rows = numbered(docs)
+    found = near_duplicates(rows, keep=(ROW,)).filter("kept")
+    group = (
+        F.when(F.col("n_shingles") == 0, F.concat(F.lit("row "), F.col(ROW).cast("string")))
+        .when(F.col("component_id").isNull(), F.concat(F.lit("text "), F.hex("digest")))
+        .otherwise(F.col("component_id").cast("string"))
+    )
+    return chosen(rows, found.groupBy(group.alias("group")).agg(F.min(ROW).alias(ROW)))

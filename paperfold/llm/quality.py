@@ -23,6 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from paperfold.llm.rows import ROW, chosen, numbered
 from paperfold.session import as_table
 
 # Fixed values of the base rules.
@@ -42,8 +43,6 @@ HOST_PERCENT = 1
 # A document is depleted when less than this share of its words remains.
 MIN_LEFT_PERCENT = 30
 
-ROW = "__row"
-
 
 def _text() -> Column:
     return F.coalesce(F.col("text"), F.lit(""))
@@ -219,17 +218,11 @@ def quality_rules(
     )
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """The rows with a number of their own, stored once so that it stays."""
-    return as_table(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
-
-
 def kept_documents(docs: DataFrame) -> DataFrame:
     """The rows that pass, unchanged, so that exact copies stay exact copies
     for the steps after this one; `without_furniture` takes the lines out."""
     rows = numbered(docs)
-    passed = quality_rules(rows, keep=(ROW,)).filter("kept").select(ROW)
-    return rows.join(passed, ROW, "left_semi").drop(ROW)
+    return chosen(rows, quality_rules(rows, keep=(ROW,)).filter("kept"))
 
 
 def without_furniture(docs: DataFrame) -> DataFrame:

@@ -66,7 +66,7 @@ def _packing(spark, docs):
 
 @_documents("op5_near_dedup", sql.NEAR)
 def _near(spark, docs):
-    return near_dedup.near_duplicates(docs, shingle=2)
+    return near_dedup.near_duplicates(docs, shingle=2).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 _VERDICT = "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words removed_words base_failed depleted kept".split()
