@@ -19,7 +19,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperfold.llm.rows import ROW, chosen, numbered
+from paperfold.llm.rows import ROW, numbered, without
 from paperfold.session import as_table, shared_folder
 
 # Fixed value: the characters that count as white space.
@@ -128,5 +128,6 @@ def exact_dedup(docs: DataFrame, deliveries: int = 2, buckets: int = BUCKETS, ke
 def kept_documents(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """The rows that stay, one of each text, with all their columns."""
     rows = numbered(docs)
-    stay = exact_dedup(rows, buckets=buckets, keep=(ROW,)).filter("kept")
-    return chosen(rows, stay.groupBy("text_sha256").agg(F.min(ROW).alias(ROW)))
+    found = as_table(exact_dedup(rows, buckets=buckets, keep=(ROW,)).select("kept", "text_sha256", ROW), "verdicts")
+    stay = found.filter("kept").groupBy("text_sha256").agg(F.min(ROW).alias(ROW))
+    return without(rows, found.join(stay, ROW, "left_anti"))

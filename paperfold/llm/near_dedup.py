@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paperfold.llm.components import components
-from paperfold.llm.rows import ROW, chosen, numbered
+from paperfold.llm.rows import ROW, numbered, without
 from paperfold.session import as_table
 
 SHINGLE = 5
@@ -455,10 +455,11 @@ def kept_documents(docs: DataFrame) -> DataFrame:
     """One row of each group, with all its columns. Rows without words belong to no
     group and stay; of rows without a doc_id that equal none with one, one stays."""
     rows = numbered(docs)
-    found = near_duplicates(rows, keep=(ROW,)).filter("kept")
+    found = as_table(near_duplicates(rows, keep=(ROW,)), "verdicts")
     group = (
         F.when(F.col("n_shingles") == 0, F.concat(F.lit("row "), F.col(ROW).cast("string")))
         .when(F.col("component_id").isNull(), F.concat(F.lit("text "), F.hex("digest")))
         .otherwise(F.col("component_id").cast("string"))
     )
-    return chosen(rows, found.groupBy(group.alias("group")).agg(F.min(ROW).alias(ROW)))
+    stay = found.filter("kept").groupBy(group.alias("group")).agg(F.min(ROW).alias(ROW))
+    return without(rows, found.join(stay, ROW, "left_anti"))

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperfold.llm.rows import ROW, chosen, numbered
+from paperfold.llm.rows import ROW, numbered, without
 from paperfold.session import as_table
 
 # Fixed values of the base rules.
@@ -222,7 +222,7 @@ def kept_documents(docs: DataFrame) -> DataFrame:
     """The rows that pass, unchanged, so that exact copies stay exact copies
     for the steps after this one; `without_furniture` takes the lines out."""
     rows = numbered(docs)
-    return chosen(rows, quality_rules(rows, keep=(ROW,)).filter("kept"))
+    return without(rows, quality_rules(rows, keep=(ROW,)).filter(~F.col("kept")))
 
 
 def without_furniture(docs: DataFrame) -> DataFrame:

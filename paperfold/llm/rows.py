@@ -15,6 +15,8 @@ def numbered(docs: DataFrame) -> DataFrame:
     return as_table(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
 
 
-def chosen(rows: DataFrame, numbers: DataFrame) -> DataFrame:
-    """The numbered rows that `numbers` names, without their number."""
-    return rows.join(numbers.select(ROW), ROW, "left_semi").drop(ROW)
+def without(rows: DataFrame, dropped: DataFrame) -> DataFrame:
+    """The numbered rows that `dropped` does not name, without their number. Few rows
+    are dropped as a rule, so Spark can send their numbers to all tasks where its
+    size check allows it, and texts stay where they are."""
+    return rows.join(dropped.select(ROW), ROW, "left_anti").drop(ROW)
