@@ -49,6 +49,34 @@ def html_chunks(t):
     return retrieval.chunk_html(docs).select("document_id", "chunk_index", "page_number", "content")
 
 
+# Text of a page as a reader sees it, without white space: what is no text goes first.
+_SEEN = "html"
+for _gone in ("<!--.*?-->", "<script.*?</script>", "<style.*?</style>", "<[^>]*>"):
+    _SEEN = f"regexp_replace({_SEEN}, '{_gone}', '', 'gs')"
+# The entities that occur in pages.
+_ENTITIES = {"&copy;": "©", "&middot;": "·", "&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"'}
+for _entity, _sign in _ENTITIES.items():
+    _SEEN = f"replace({_SEEN}, '{_entity}', '{_sign}')"
+_SEEN = f"regexp_replace({_SEEN}, '&amp;?', '&', 'g')"  # a page may end inside one
+_SEEN = f"regexp_replace({_SEEN}, '[\\x20\\x09-\\x0D\\xA0]+', '', 'g')"
+
+
+@query(
+    "page_chunks",
+    f"""SELECT page_id AS document_id, length({_SEEN}) AS chars, sha256({_SEEN}) AS text_sha256, true AS in_size, true AS in_order FROM pages""",
+)
+def page_chunks(t):
+    """The chunks of every page hold all of its text, in order, and none is too long."""
+    chunked = retrieval.chunk_html(t.pages.selectExpr("page_id AS document_id", "html"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "content"))), lambda c: c["content"]), "")
+    pages = chunked.groupBy("document_id").agg(
+        F.regexp_replace(joined, r"[\x20\x09-\x0D\xA0]+", "").alias("text"),
+        (F.max(F.length("content")) <= MAX_CHARS).alias("in_size"),
+        (F.max("chunk_index") + 1 == F.count(F.lit(1))).alias("in_order"),
+    )
+    return pages.select("document_id", F.length("text").alias("chars"), F.sha2("text", 256).alias("text_sha256"), "in_size", "in_order")
+
+
 @query("embedded_documents", "SELECT doc_id, 384 AS size, 1.0::DOUBLE AS norm FROM documents WHERE regexp_matches(text, '[\\p{L}\\p{N}]')")
 def embedded_documents(t):
     embedded = vectors.embed(t.documents.select("doc_id", "text"), "text").filter(F.size("embedding") > 0)
