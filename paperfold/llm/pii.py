@@ -292,11 +292,14 @@ def _listed(only_base: bool) -> Column:
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
-    """Counts and digest of base spans, and all spans, of each document."""
+    """Counts and digest of base spans, all spans, counts of the further kinds and
+    whether there is any span, of each document."""
     rows = candidates(docs)
     spans = as_table(with_posteriors(as_table(voted(placed(rows)), "votes")), "spans")
     found = chosen(classified(spans))
+    further = [k for k in KINDS if k not in BASE_KINDS]
     counts = [F.count(F.when(F.col("base") & (F.col("kind") == k), 1)).alias(f"n_{k}") for k in BASE_KINDS]
+    counts += [F.count(F.when(F.col("kind") == k, 1)).alias(f"n_{k}") for k in further]
     per_document = found.groupBy("uid").agg(*counts, _listed(True).alias("base_spans"), _listed(False).alias("spans"))
     joined = rows.select("uid", "doc_id").join(per_document, "uid", "left")
     return joined.select(
@@ -304,4 +307,6 @@ def personal_data(docs: DataFrame) -> DataFrame:
         *[F.coalesce(f"n_{k}", F.lit(0)).cast("bigint").alias(f"n_{k}") for k in BASE_KINDS],
         F.sha2(F.coalesce("base_spans", F.lit("")), 256).alias("base_sha256"),
         F.coalesce("spans", F.lit("")).alias("spans"),
+        *[F.coalesce(f"n_{k}", F.lit(0)).cast("bigint").alias(f"n_{k}") for k in further],
+        F.col("spans").isNotNull().alias("private"),
     )
