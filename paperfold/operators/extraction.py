@@ -57,7 +57,8 @@ def render_field_prompt(fields: DataFrame, feedback: DataFrame | None = None) ->
         block = F.concat(
             F.lit(f"\n\n{FEEDBACK_OPEN}\n"), "feedback", F.lit(f"\n{FEEDBACK_CLOSE}")
         )
-        out = out.join(feedback, "schema_id", "left").withColumn(
+        # One row per schema on both sides: neither goes to the driver whole.
+        out = out.join(feedback.hint("merge"), "schema_id", "left").withColumn(
             "prompt", F.concat("prompt", F.coalesce(block, F.lit("")))
         )
     return out.select("schema_id", "prompt")

@@ -12,7 +12,7 @@ from paperfold.plans.registry import Tables, query
 
 def _newest(fields):
     newest = fields.groupBy("schema_id").agg(F.max("version").alias("version"))
-    return fields.join(newest, ["schema_id", "version"])
+    return fields.join(newest.hint("merge"), ["schema_id", "version"])
 
 
 @query(
