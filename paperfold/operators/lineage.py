@@ -4,6 +4,10 @@
   schema_id, version, pos, name, type, description, required, column, scope
 `versions` is one row per version: schema_id, version.
 A column key outlives renames; records are stored under field names.
+
+Fields are often made of smaller rows (a list in a version), so file sizes say little
+about them: joins with tables of fields or keys ask for a shuffle (`hint("merge")`), else
+Spark may send all of them through the driver.
 """
 
 from __future__ import annotations
@@ -61,7 +65,7 @@ def mint_keys(names: DataFrame, taken: DataFrame) -> DataFrame:
         .distinct()
         .withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(_MINT_SALTS)])))
         .withColumn("column", F.concat(F.lit("f_"), F.substring(hashed, 1, 8)))
-        .join(taken.select("schema_id", "column").distinct(), ["schema_id", "column"], "left_anti")
+        .join(taken.select("schema_id", "column").distinct().hint("merge"), ["schema_id", "column"], "left_anti")
     )
     owned = (
         tries.groupBy("schema_id", "column")
@@ -73,7 +77,7 @@ def mint_keys(names: DataFrame, taken: DataFrame) -> DataFrame:
     return (
         names.select("schema_id", "name")
         .distinct()
-        .join(minted, ["schema_id", "name"], "left")
+        .join(minted.hint("merge"), ["schema_id", "name"], "left")
         .withColumn("minted", F.coalesce("minted", none_free))
     )
 
@@ -95,7 +99,7 @@ def backfill_keys(fields: DataFrame) -> DataFrame:
         carried.filter("__carried IS NULL"), fields.filter(valid_key())
     )
     return (
-        carried.join(minted, ["schema_id", "name"], "left")
+        carried.join(minted.hint("merge"), ["schema_id", "name"], "left")
         .withColumn("column", F.coalesce(F.col("__carried.column"), F.col("minted")))
         .drop("__carried", "minted")
     )
@@ -117,11 +121,11 @@ def assign_column_keys(requests: DataFrame, fields: DataFrame) -> DataFrame:
     whole = W.partitionBy("request_id")
     asked = (
         requests.withColumn("__name", F.trim(F.coalesce("name", F.lit(""))))
-        .join(lineages, "schema_id", "left")
+        .join(lineages.hint("merge"), "schema_id", "left")
         # A new lineage has nothing to preserve, so supplied keys are ignored.
         .withColumn("__supplied", F.when(F.col("__lineage"), F.col("column")))
         .join(
-            known.select("schema_id", F.col("column").alias("__supplied"), F.lit(True).alias("__known")),
+            known.select("schema_id", F.col("column").alias("__supplied"), F.lit(True).alias("__known")).hint("merge"),
             ["schema_id", "__supplied"],
             "left",
         )
@@ -147,8 +151,8 @@ def assign_column_keys(requests: DataFrame, fields: DataFrame) -> DataFrame:
     )
     rivals = W.partitionBy("request_id", "__candidate", supplied).orderBy("pos")
     reclaimed = (
-        checked.join(names, ["schema_id", "__name"], "left")
-        .join(used, ["request_id", "__candidate"], "left")
+        checked.join(names.hint("merge"), ["schema_id", "__name"], "left")
+        .join(used.hint("merge"), ["request_id", "__candidate"], "left")
         .withColumn("__turn", F.row_number().over(rivals))
         .withColumn(
             "__key",
@@ -163,7 +167,7 @@ def assign_column_keys(requests: DataFrame, fields: DataFrame) -> DataFrame:
         ),
         known,
     ).withColumnRenamed("name", "__name")
-    return reclaimed.join(minted, ["schema_id", "__name"], "left").select(
+    return reclaimed.join(minted.hint("merge"), ["schema_id", "__name"], "left").select(
         "request_id",
         "schema_id",
         "pos",
@@ -183,7 +187,7 @@ def identity_keys(versions: DataFrame, fields: DataFrame, strict: bool = True) -
     entries = versions.select("schema_id", "version", F.posexplode("identity_names").alias("pos", "name"))
     is_key = valid_key("name") if not strict else F.lit(False)
     looked_up = (
-        entries.join(declared, ["schema_id", "version", "name"], "left")
+        entries.join(declared.hint("merge"), ["schema_id", "version", "name"], "left")
         .withColumn("key", F.when(is_key, F.col("name")).otherwise(F.col("column")))
         .withColumn(
             "reason",
@@ -211,7 +215,7 @@ def identity_names(versions: DataFrame, fields: DataFrame) -> DataFrame:
     entries = versions.select("schema_id", "version", F.posexplode("identity_keys").alias("pos", "key"))
     ordered = F.array_sort(F.collect_list(F.struct("pos", F.coalesce("name", "key").alias("label"))))
     return (
-        entries.join(declared, ["schema_id", "version", "key"], "left")
+        entries.join(declared.hint("merge"), ["schema_id", "version", "key"], "left")
         .groupBy("schema_id", "version")
         .agg(F.transform(ordered, lambda e: e["label"]).alias("identity_names"))
     )
@@ -292,7 +296,7 @@ def field_specs(fields: DataFrame, versions: DataFrame) -> DataFrame:
         & (F.col("__owners") == 1)
         & (F.size(F.col("__branches")[0]["versions"]) == F.col("__total"))
     )
-    return columns.join(total, "schema_id").select(
+    return columns.join(total.hint("merge"), "schema_id").select(
         "schema_id",
         "column",
         "first_at",
@@ -305,7 +309,7 @@ def field_specs(fields: DataFrame, versions: DataFrame) -> DataFrame:
 def name_at(fields: DataFrame, wanted: DataFrame) -> DataFrame:
     """The JSON key of (schema_id, column) at a version; NULL where undeclared."""
     declared = fields.filter(valid_key()).select("schema_id", "column", "version", "name")
-    return wanted.join(declared, ["schema_id", "column", "version"], "left")
+    return wanted.join(declared.hint("merge"), ["schema_id", "column", "version"], "left")
 
 
 def schema_diff(fields: DataFrame, versions: DataFrame) -> DataFrame:

@@ -182,7 +182,7 @@ def plain_fields(t):
 )
 def names_at_version(t):
     fields = fx.part_fields(t)
-    wanted = fx.part_versions(t).join(fields.select("schema_id", "column").distinct(), "schema_id")
+    wanted = fx.part_versions(t).join(fields.select("schema_id", "column").distinct().hint("merge"), "schema_id")
     return lineage.name_at(fields, wanted).select("schema_id", "version", "column", "name")
 
 
