@@ -3,13 +3,15 @@
 The status feed and the trailing rate keep state per key and go by event time: a row
 waits in the state until the watermark has passed it, so rows that arrive late,
 but within the allowed delay, take their place, and the stream gives the rows of
-its batch twin. Rows are put into the state one by one. Both need the RocksDB
-state store (`use_state_store`).
+its batch twin. A trigger puts the rows of a key into the state in lists, and one timer
+per key wakes them: what a trigger asks of the state follows the keys, not the rows.
+Both need the RocksDB state store (`use_state_store`).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +21,8 @@ from paperfold.operators.browse import TERMINAL
 from paperfold.operators.jobs import QUOTA_MARGIN, batch_completion
 
 DELAY = "1 hour"
+# Rows of a key that go into the state together.
+STATE_ROWS = 10_000
 # How long a feed that has ended is remembered, so that stragglers do not open it again.
 REMEMBERED_SECONDS = 86_400
 
@@ -39,21 +43,36 @@ class InOrder(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "at bigint, number bigint", self.held)
+        self.waiting = handle.getListState("waiting", f"at bigint, number bigint{self.held}")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        for row in rows:
-            if key[0] is not None and self._wanted():
-                self.waiting.updateValue((row.at, row.number), self._keep(row))
-                # Timers go by milliseconds; a row is due when its whole millisecond has passed.
-                self.handle.registerTimer(row.at // 1000 + 1)
+        if key[0] is not None and self._wanted():
+            first = None
+            while some := [(row.at, row.number, *self._keep(row)) for row in islice(rows, STATE_ROWS)]:
+                self.waiting.appendList(some)
+                least = min(row[0] for row in some)
+                first = least if first is None else min(first, least)
+            if first is not None:
+                self._wake(first)
         return iter(())
 
+    def _wake(self, at: int) -> None:
+        # Timers go by milliseconds; a row is due when its whole millisecond has passed.
+        self.handle.registerTimer(at // 1000 + 1)
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        due = expiredTimerInfo.getExpiryTimeInMs() * 1000
-        ready = sorted((k, v) for k, v in self.waiting.iterator() if k[0] < due)
-        for k, _ in ready:
-            self.waiting.removeKey(k)
+        # All that the watermark has passed is complete, not only what this timer was set for.
+        due = timerValues.getCurrentWatermarkInMs() * 1000
+        # The same row twice is one row.
+        held = {(at, number): tuple(kept) for at, number, *kept in self.waiting.get()}
+        ready = sorted((k, v) for k, v in held.items() if k[0] < due)
+        later = [(*k, *v) for k, v in held.items() if k[0] >= due]
+        if ready:
+            self.waiting.clear()
+            for start in range(0, len(later), STATE_ROWS):
+                self.waiting.appendList(later[start : start + STATE_ROWS])
+            if later:
+                self._wake(min(row[0] for row in later))
         yield from self._work(key[0], ready, due)
 
     def close(self) -> None:
@@ -64,7 +83,7 @@ class StatusFeed(InOrder):
     """Status changes of a job until its first terminal status. A feed that has ended
     is a single value; that goes too when it has been remembered long enough."""
 
-    held = "status string"
+    held = ", status string"
 
     def __init__(self, remembered_seconds: int):
         self.remembered = remembered_seconds * 1_000_000
@@ -74,14 +93,16 @@ class StatusFeed(InOrder):
         self.last = handle.getValueState("last", "status string, ended_at bigint")
 
     def _wanted(self) -> bool:
-        return not self.last.exists() or self.last.get()[1] is None
+        told = self.last.get()
+        return told is None or told[1] is None
 
     def _keep(self, row) -> tuple:
         return (row.status,)
 
     def _work(self, job_id, ready, due) -> Iterator[Row]:
-        last, ended = self.last.get() if self.last.exists() else (None, None)
-        fresh = not self.last.exists()
+        told = self.last.get()
+        last, ended = told or (None, None)
+        fresh = told is None
         if ended is not None:
             if due > ended + self.remembered:
                 self.last.clear()
@@ -118,7 +139,7 @@ class TrailingRate(InOrder):
     """Requests of a key in the window that ends with each request. The state is the
     queue of the times in the window; older ones leave it."""
 
-    held = "request_id bigint"
+    held = ""
 
     def __init__(self, width: int):
         self.width = width
@@ -131,12 +152,12 @@ class TrailingRate(InOrder):
         return True
 
     def _keep(self, row) -> tuple:
-        return (row.number,)
+        return ()
 
     def _work(self, key, ready, due) -> Iterator[Row]:
         if not ready:
             return
-        queue = [tuple(x) for x in self.recent.get()] if self.recent.exists() else []
+        queue = [tuple(x) for x in self.recent.get()]
         total = sum(n for _, n in queue)
         start = 0
         while start < len(ready):
