@@ -27,7 +27,7 @@ def status_changes(t):
 
 
 def _update_stream(t):
-    raw = t.spark.readStream.schema(t.events.schema).option("pathGlobFilter", "events.parquet").parquet(t.folder)
+    raw = t.spark.readStream.schema(t.events.schema).parquet(ingest.file_or_folder(f"{t.folder}/events.parquet"))
     return raw.selectExpr("event_id", "user_id AS job_id", "CAST(ts AS TIMESTAMP) AS ts", f"{fx._STATUS} AS status")
 
 

@@ -255,7 +255,7 @@ def replaced_table(t):
 )
 def ingest_stream(t):
     # The document table as an arriving file source; a folder of files works alike.
-    arriving = t.spark.readStream.schema(t.documents.schema).option("pathGlobFilter", "documents.parquet").parquet(t.folder)
+    arriving = t.spark.readStream.schema(t.documents.schema).parquet(ingest.file_or_folder(f"{t.folder}/documents.parquet"))
     named = arriving.selectExpr(
         "doc_id AS path", "'doc_' || doc_id AS filename", "source AS batch_id", "CAST(text AS BINARY) AS content"
     )

@@ -23,6 +23,11 @@ def file_ingest_stream(spark: SparkSession, folder: str, batch_id: str, glob: st
     return document_inventory(named, F.lit(batch_id))
 
 
+def file_or_folder(path: str) -> str:
+    """`path` as a pattern that a file stream takes whether it is one file or a folder of files."""
+    return f"{path[:-1]}[{path[-1]}]"
+
+
 def run_to_end(stream: DataFrame, output: str, checkpoint: str, mode: str = "append") -> None:
     """Processes what is there, writes parquet and stops."""
     query = (

@@ -13,3 +13,99 @@ def test_no_table_of_fields_goes_through_the_driver(spark, sf_dir, name):
 
     planned = queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in planned
+
+
+def test_texts_that_fit_most_options_are_sent_on_block_by_block(spark, monkeypatch):
+    """No batch holds the hits of more texts than one block counts."""
+    from paperfold.operators import matching
+
+    monkeypatch.setattr(matching, "COUNTS", 40)
+    options = spark.range(20).selectExpr("id AS option_id", "array('all', 'word' || id) AS words")
+    docs = spark.range(0, 50, 1, 1).selectExpr("id AS doc_id", "array('all', 'word3') AS words")
+    found = matching.with_hits(docs, options, 0.5)
+
+    def rows_of(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [batch.num_rows], "hits": [sum(len(h) for h in batch.column(0).to_pylist())]})
+
+    assert [tuple(r) for r in found.selectExpr("sum(size(hits))", "min(size(hits))").collect()] == [(1000, 20)]
+    dictionary = matching.Dictionary(options.toArrow(), 0.5)
+    words = docs.select("words").toArrow().column("words").combine_chunks()
+    assert max(len(counts) for _, counts in dictionary.shared(words)) == 2
+
+
+def test_a_file_stream_reads_a_folder_of_files(spark, tmp_path):
+    from __spark_entry__ import queries
+
+    rows = spark.createDataFrame([(1, "a b", "en", "s", 3), (2, "c", "en", "s", 1)], "doc_id bigint, text string, lang string, source string, n_chars int")
+    rows.repartition(2).write.parquet(f"{tmp_path}/documents.parquet")
+    assert [tuple(r) for r in queries()["ingest_stream"](spark, str(tmp_path)).collect()] == [("s", 2, 4, 2)]
+
+
+def test_a_stream_asks_the_state_once_for_many_rows_of_a_key():
+    """Not once a row: a key's rows of a trigger go in together, with one timer."""
+    from types import SimpleNamespace
+
+    from paperfold.streaming.jobs import TrailingRate
+
+    class Recorded:
+        def __init__(self):
+            self.rows, self.calls = [], 0
+
+        def exists(self):
+            return bool(self.rows)
+
+        def get(self):
+            return iter(self.rows)
+
+        def clear(self):
+            self.rows = []
+
+        def appendList(self, rows):
+            self.rows, self.calls = self.rows + list(rows), self.calls + 1
+
+        put = appendList
+
+    states, timers = {}, []
+    handle = SimpleNamespace(getListState=lambda name, _: states.setdefault(name, Recorded()), registerTimer=timers.append)
+    rate = TrailingRate(10_000_000)
+    rate.init(handle)
+    rows = [SimpleNamespace(at=n * 1_000_000, number=n) for n in range(1000)]
+    list(rate.handleInputRows((1,), iter(rows), None))
+    assert (states["waiting"].calls, timers) == (1, [1])
+    passed = SimpleNamespace(getCurrentWatermarkInMs=lambda: 500_000)
+    out = list(rate.handleExpiredTimer((1,), passed, None))
+    assert [r.in_window for r in out] == [min(n + 1, 10) for n in range(500)]
+    assert len(states["waiting"].rows) == 500 and timers == [1, 500_001]
+
+
+def test_parts_of_texts_go_on_a_few_thousand_at_a_time(spark):
+    from types import SimpleNamespace
+
+    import pandas as pd
+
+    from paperfold.sources.elements import per_document
+
+    docs = spark.range(0, 20, 1, 1).selectExpr("id AS document_id", "'x' AS text")
+    split = lambda _: ((n,) for n in range(5_000))
+    assert per_document(docs, "text", split, ["n"], ["int"]).count() == 100_000
+    # What a task does with one batch of texts.
+    held = SimpleNamespace(mapInPandas=lambda run, _: run)
+    run = per_document(SimpleNamespace(schema=docs.schema, select=lambda *_: held), "text", split, ["n"], ["int"])
+    sizes = [len(part) for part in run(iter([pd.DataFrame({"document_id": range(20), "text": "x"})]))]
+    assert (sum(sizes), max(sizes)) == (100_000, 5_000)
+
+
+def test_embedding_counts_words_in_one_pass(spark):
+    """Every word at its own place; the count does not go through all words for each place."""
+    import math
+
+    from paperfold.functions.vectors import embed, embed_sql
+
+    df = spark.createDataFrame([("b a b c b a",), ("",), (None,)], "text string")
+    vector, *empty = [r.embedding for r in embed(df, "text").collect()]
+    counts = sorted(round(x * math.sqrt(14)) for x in vector if x)
+    assert (len(vector), counts, empty) == (384, [1, 2, 3], [[], []])
+    assert "array_remove" not in embed_sql("text")
