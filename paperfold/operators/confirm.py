@@ -99,9 +99,15 @@ def record_id(document_id: Column, schema_id: Column, row_index: Column) -> Colu
 
 def detach_duplicates(records: DataFrame, doomed: DataFrame) -> DataFrame:
     """Nulls is_duplicate_of where it points at a record about to go (id)."""
-    gone = doomed.select(F.col("id").alias("is_duplicate_of"), F.lit(True).alias("__gone")).distinct()
+    gone = doomed.select(F.col("id").alias("is_duplicate_of")).distinct().withColumns(
+        {"__gone": F.lit(True), "__deal": F.xxhash64(F.col("is_duplicate_of").cast("string"))}
+    )
+    # Most records point nowhere: without a second key they would all go to one task.
+    own = F.xxhash64("id", "document_id", "row_index")
+    deal = F.when(F.col("is_duplicate_of").isNull(), own).otherwise(F.xxhash64(F.col("is_duplicate_of").cast("string")))
     return (
-        records.join(gone, "is_duplicate_of", "left")
+        records.withColumn("__deal", deal)
+        .join(gone, ["is_duplicate_of", "__deal"], "left")
         .withColumn("is_duplicate_of", F.when(F.col("__gone").isNull(), F.col("is_duplicate_of")))
         .select(*records.columns)
     )

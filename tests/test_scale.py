@@ -104,3 +104,27 @@ def test_embedding_counts_words_in_one_pass(spark):
     counts = sorted(round(x * math.sqrt(14)) for x in vector if x)
     assert (len(vector), counts, empty) == (384, [1, 2, 3], [[], []])
     assert "array_remove" not in embed_sql("text")
+
+
+def test_records_that_point_nowhere_are_shared_out(spark):
+    from pyspark.sql import functions as F
+
+    from paperfold.operators import confirm
+
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    kept = {k: spark.conf.get(k) for k in settings}
+    records = spark.range(2_000).selectExpr(
+        "CAST(id AS STRING) AS id", "id AS document_id", "0 AS row_index", "if(id % 100 = 7, CAST(id % 200 AS STRING), NULL) AS is_duplicate_of"
+    )
+    doomed = spark.createDataFrame([("7",)], "id string")
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        out = confirm.detach_duplicates(records, doomed)
+        sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+        pointing = out.filter("is_duplicate_of IS NOT NULL")
+        assert (out.count(), pointing.count(), pointing.select("is_duplicate_of").distinct().count()) == (2_000, 10, 1)
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert max(sizes) < 1_000
