@@ -78,17 +78,21 @@ def boolean_text_sql(x: str) -> str:
 
 # Text the number rule would return unchanged; most cells are of this kind.
 _PLAIN_NUMBER = "^-?(0|[1-9][0-9]*)([.][0-9]+)?$"
+# Thousands set off by commas, with decimals: only the commas go.
+_GROUPED_NUMBER = "^-?[1-9][0-9]{0,2}(,[0-9]{3})+[.][0-9]+$"
 _PLAIN_INTEGER = "^(0|-?[1-9][0-9]*)$"
 
 
-def _guarded(x: str, coerced: str, plain: str | None = None) -> str:
+def _guarded(x: str, coerced: str, plain: str | None = None, grouped: str | None = None) -> str:
     """Blank reads as NULL; a failed coercion keeps the raw text."""
     shortcut = f"WHEN {x} RLIKE '{plain}' THEN {x} " if plain else ""
+    if grouped:
+        shortcut += f"WHEN {x} RLIKE '{grouped}' THEN replace({x}, ',', '') "
     return f"CASE {shortcut}WHEN {x} RLIKE '[^{_SPACE[1:]}' THEN coalesce({coerced}, {x}) END"
 
 
 def coerce_number_sql(x: str, mode: str = "default") -> str:
-    return _guarded(x, number_text_sql(x, mode), _PLAIN_NUMBER)
+    return _guarded(x, number_text_sql(x, mode), _PLAIN_NUMBER, _GROUPED_NUMBER)
 
 
 def coerce_integer_sql(x: str, mode: str = "default") -> str:

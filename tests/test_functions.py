@@ -100,3 +100,16 @@ def test_hot_keys_give_the_same_results_as_plain_windows(spark):
     assert sorted(along(df, keys, cut, work, hot_keys(df, keys, 0)).collect()) == plain
     assert sorted(along(df, keys, cut, work, hot_keys(df, keys, 120)).collect()) == plain
     assert hot_keys(df, keys, HOT_ROWS).isEmpty()
+
+
+def test_grouped_numbers_take_the_short_way_to_the_same_text(spark):
+    from pyspark.sql import functions as F
+
+    from paperfold.functions.coerce import coerce_number_sql, number_text_sql
+
+    values = ["1,234.50", "-1,234.50", "12,345,678.9", "1,23.4", "0,123.4", "(1,234.50)", "1,234", "1.234,56"]
+    rows = spark.createDataFrame([(v,) for v in values], "v string")
+    for mode in ("default", "strict"):
+        whole = f"coalesce({number_text_sql('v', mode)}, v)"
+        assert rows.filter(~F.expr(f"{coerce_number_sql('v', mode)} <=> {whole}")).count() == 0
+    assert "replace(v, ',', '') " in coerce_number_sql("v")
