@@ -103,7 +103,7 @@ def detach_duplicates(records: DataFrame, doomed: DataFrame) -> DataFrame:
         {"__gone": F.lit(True), "__deal": F.xxhash64(F.col("is_duplicate_of").cast("string"))}
     )
     # Most records point nowhere: without a second key they would all go to one task.
-    own = F.xxhash64("id", "document_id", "row_index")
+    own = F.xxhash64("id")
     deal = F.when(F.col("is_duplicate_of").isNull(), own).otherwise(F.xxhash64(F.col("is_duplicate_of").cast("string")))
     return (
         records.withColumn("__deal", deal)
