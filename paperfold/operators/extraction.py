@@ -224,7 +224,8 @@ def flatten(header: DataFrame, rows: DataFrame, hot: DataFrame | None = None, sl
     ordinary = header.join(few, key, "left_anti").join(cold_lines, key, "left")
     sliced = lines.join(few, key, "left_semi").withColumn("__slice", F.floor(F.col("row_index") / slice_rows))
     slices = sliced.select("document_id", "__slice").distinct()
-    spread = header.join(slices, key).join(sliced, ["document_id", "__slice"]).drop("__slice")
+    # Cut to hot documents before the shuffle: without any, no header is sent a second time.
+    spread = header.join(few, key, "left_semi").join(slices, key).join(sliced, ["document_id", "__slice"]).drop("__slice")
 
     def over(base: str, top: str) -> Column:
         return F.when(F.col(top).isNull(), F.col(base)).otherwise(F.map_concat(base, top))

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
+
+from paperfold.functions.ordering import hot_keys, split_hot
+from paperfold.operators.extraction import staged_cells
 
 CLEAN_THRESHOLD = 0.75
 CELL = ["document_id", "row_index", "field"]
 
+# Edits of a document that may travel with each of its rows; beyond, cells meet edits one by one.
+MANY_EDITS = 1_000
+
 
 def surviving_confidence(old: DataFrame, new: DataFrame) -> DataFrame:
     """Scores after an edit: kept only where the same cell holds the same value.
@@ -105,6 +112,61 @@ def fill_down(cells: DataFrame, edits: DataFrame, scopes: DataFrame) -> DataFram
     )
 
 
+def fill_down_rows(
+    rows: DataFrame, edits: DataFrame, scopes: DataFrame, hot: DataFrame | None = None, many_edits: int = MANY_EDITS
+) -> DataFrame:
+    """`fill_down` on flattened records; gives their cells, as `staged_cells` does.
+
+    The edits of a document are gathered first and meet its rows by document_id, the
+    key that `flatten` leaves rows dealt by, so cells are made after the join and
+    never shuffled. Documents with very many edits, or very many rows (`hot`, see
+    `hot_keys`), go cell by cell.
+    """
+    key = ["document_id"]
+    apart = hot_keys(edits, key, many_edits)
+    apart = apart if hot is None else apart.unionByName(hot.select(*key)).distinct()
+
+    def by_row(some: DataFrame) -> DataFrame:
+        own = edits.filter("document_id IS NOT NULL").join(F.broadcast(apart), key, "left_anti")
+        own = own.join(scopes, "field", "left").repartition(*key)
+        whole = (
+            own.filter("scope = 'document'")
+            .groupBy(*key, "field")
+            .agg(F.max_by("value", "row_index").alias("value"))
+            .groupBy(*key)
+            .agg(F.map_from_entries(F.collect_list(F.struct("field", "value"))).alias("__whole"))
+        )
+        # An edit that stands twice gives its cell twice, as a join does, so each cell keeps a list.
+        local = (
+            own.filter("coalesce(scope, 'row') <> 'document' AND row_index IS NOT NULL AND field IS NOT NULL")
+            .groupBy(*CELL)
+            .agg(F.collect_list(F.struct("value")).alias("values"))
+            .groupBy(*key, "row_index")
+            .agg(F.map_from_entries(F.collect_list(F.struct("field", "values"))).alias("fields"))
+            .groupBy(*key)
+            .agg(F.map_from_entries(F.collect_list(F.struct("row_index", "fields"))).alias("__local"))
+        )
+        met = some.join(whole.hint("merge"), key, "left").join(local.hint("merge"), key, "left")
+        each = met.select(
+            "document_id",
+            "row_index",
+            "data_confidence",
+            "__whole",
+            F.try_element_at("__local", F.col("row_index")).alias("__cells"),
+            F.explode("data").alias("field", "value"),
+        )
+        value = F.when(F.map_contains_key("__whole", F.col("field")), F.try_element_at("__whole", F.col("field"))).otherwise(F.col("value"))
+        found = F.coalesce(F.try_element_at("__cells", F.col("field")), F.array(F.struct(value.alias("value"))))
+        confidence = F.try_element_at("data_confidence", F.col("field")).alias("confidence")
+        return each.select(*CELL, confidence, F.explode(found).alias("__found")).select(*CELL, "__found.value", "confidence")
+
+    def by_cell(some: DataFrame) -> DataFrame:
+        theirs = edits.join(F.broadcast(apart), key, "left_semi")
+        return fill_down(staged_cells(some), theirs, scopes).select(*CELL, "value", "confidence")
+
+    return split_hot(rows, key, apart, by_row, by_cell)
+
+
 def review_columns(cells: DataFrame, declared: DataFrame) -> DataFrame:
     """(document_id, field, position): declared fields in order, then undeclared
     keys in the order they first appear.

@@ -209,12 +209,13 @@ def low_confidence_cells(t):
       WHEN field = 'Quantity' AND row_index = 0 THEN '99' ELSE value END AS value FROM cells""",
 )
 def filled_down(t):
-    staged = cells(t)
-    edits = staged.filter("row_index = 0 AND field IN ('Status', 'Quantity')").select(
+    staged = fx.order_staged(t)
+    edits = extraction.staged_cells(staged).filter("row_index = 0 AND field IN ('Status', 'Quantity')").select(
         "document_id", "row_index", "field", F.expr("if(field = 'Status', 'closed', '99')").alias("value")
     )
     scopes = fx.order_fields(t).select(F.col("name").alias("field"), "scope").distinct()
-    return review.fill_down(staged, edits, scopes).select("document_id", "row_index", "field", "value")
+    filled = review.fill_down_rows(staged, as_table(edits, "edits"), scopes, fx.hot_orders(t))
+    return filled.select("document_id", "row_index", "field", "value")
 
 
 @query(

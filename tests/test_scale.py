@@ -128,3 +128,50 @@ def test_records_that_point_nowhere_are_shared_out(spark):
         for k, v in kept.items():
             spark.conf.set(k, v)
     assert max(sizes) < 1_000
+
+
+def test_edits_fill_down_by_row_as_by_cell(spark):
+    """Cells are made after edits have met their rows, so no cell is shuffled."""
+    import random
+
+    from paperfold.operators import extraction, review
+
+    rng = random.Random(5)
+    data = lambda: {f: rng.choice(["a", "b", None]) for f in "wxyz" if rng.random() < 0.9}
+    rows = [(d, r, data(), {"x": 0.5}) for d in (1, 2, 3, 4, None) for r in range(6)]
+    rows += [rows[0], (1, None, {"x": "a", "z": "b"}, {})]
+    # Document-wide w and x; y and z (unknown scope) by the cell. One cell is edited twice.
+    edits = [(1, 0, "w", "W"), (1, 3, "w", "V"), (2, 1, "x", None), (2, 1, "y", None), (3, 2, "z", "Z"), (3, 2, "z", "Q")]
+    edits += [(None, 0, "w", "n"), (None, 1, "y", "n"), (4, None, "y", "n"), (4, 0, None, "n"), (1, 5, "y", "Y"), (9, 0, "w", "n")]
+    rows = spark.createDataFrame(rows, "document_id int, row_index int, data map<string,string>, data_confidence map<string,double>")
+    edits = spark.createDataFrame(edits, "document_id int, row_index int, field string, value string")
+    scopes = spark.createDataFrame([("w", "document"), ("x", "document"), ("y", "row")], "field string, scope string")
+    hot = spark.createDataFrame([(2,)], "document_id int")
+
+    def plain(df):
+        columns = ["document_id", "row_index", "field", "value", "confidence"]
+        return sorted(map(repr, map(tuple, df.select(*columns).collect())))
+
+    want = plain(review.fill_down(extraction.staged_cells(rows), edits, scopes))
+    for apart, many in ((None, 1_000), (None, 1), (hot, 1_000), (hot, 3)):
+        assert plain(review.fill_down_rows(rows, edits, scopes, apart, many)) == want
+
+
+@pytest.mark.parametrize("name", ["filled_down"])
+def test_rows_dealt_by_document_stay_where_they_are(spark, sf_dir, name):
+    """Staged rows meet their edits, or their old state, without another shuffle of rows or cells."""
+    import re
+
+    from __spark_entry__ import queries
+
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    kept = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        df = queries()[name](spark, sf_dir)
+        df.collect()
+        ran = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    finally:
+        spark.conf.set(key, kept)
+    dealt = re.findall(r"Exchange hashpartitioning\((document_id#[^)]*), \d+\)", ran)
+    assert dealt and not [keys for keys in dealt if "," in keys]
