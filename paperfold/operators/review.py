@@ -28,21 +28,38 @@ def surviving_confidence(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def surviving_row_confidence(old: DataFrame, new: DataFrame) -> DataFrame:
-    """`surviving_confidence` on flattened records: rows are joined once and their maps compared.
+    """`surviving_confidence` on flattened records: rows are matched once and their maps compared.
 
     old: document_id, row_index, data, data_confidence; new: document_id, row_index,
     data. Gives new with data_confidence, which holds the scores that survive.
+
+    Old and new rows meet in a window over their union: rows that are dealt by
+    document_id already, as `flatten` leaves them, are not shuffled again, which a join
+    by document_id and row_index would do.
     """
-    before = old.select("document_id", "row_index", F.col("data").alias("__old"), F.col("data_confidence").alias("__scores"))
-    same = F.map_filter(
-        "__scores",
-        lambda field, _: F.map_contains_key("data", field)
-        & F.map_contains_key("__old", field)
-        & F.try_element_at("data", field).eqNullSafe(F.try_element_at("__old", field)),
+    key = ["document_id", "row_index"]
+    fresh = new.select(*key, *[c for c in new.columns if c not in (*key, "data_confidence")])
+    # Rows without a key match nothing. A row that stands twice matches twice.
+    before = old.dropna(subset=key).select(*key, F.struct("data", "data_confidence").alias("__before"))
+    both = fresh.unionByName(before, allowMissingColumns=True)
+    found = both.withColumn("__found", F.collect_list("__before").over(W.partitionBy(*key))).filter("__before IS NULL")
+    met = found.select(*fresh.columns, F.explode_outer("__found").alias("__before")).select(
+        *fresh.columns, F.col("__before.data").alias("__old"), F.col("__before.data_confidence").alias("__scores")
+    )
+    # Most rows of an edit stay as they were: compared as a whole first.
+    untouched = (F.map_entries("data") == F.map_entries("__old")) & (
+        F.size(F.array_except(F.map_keys("__scores"), F.map_keys("data"))) == 0
     )
+
+    def kept_field(field: Column, _) -> Column:
+        now, was = F.try_element_at("data", field), F.try_element_at("__old", field)
+        both_null = now.isNull() & was.isNull() & F.map_contains_key("data", field) & F.map_contains_key("__old", field)
+        return F.coalesce(now == was, both_null)
+
+    same = F.map_filter("__scores", kept_field)
     none = F.create_map().cast("map<string,double>")
-    joined = new.drop("data_confidence").join(before, ["document_id", "row_index"], "left")
-    return joined.withColumn("data_confidence", F.coalesce(same, none)).drop("__old", "__scores")
+    kept = F.when(untouched, F.col("__scores")).otherwise(same)
+    return met.withColumn("data_confidence", F.coalesce(kept, none)).drop("__old", "__scores")
 
 
 def is_clean(cells: DataFrame, threshold: float = CLEAN_THRESHOLD) -> DataFrame:

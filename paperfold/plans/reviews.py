@@ -151,12 +151,11 @@ def batch_twins(t):
 
 def _edited(t: Tables):
     """The second line of every order gets a typed amount; every first line is copied as an added row."""
-    old = as_table(fx.order_staged(t).select("document_id", "row_index", "data", "data_confidence"), "staged")
-    typed = F.transform_values(
-        "data", lambda field, value: F.when((F.col("row_index") == 1) & (field == "Line Amount"), "1,250.00").otherwise(value)
-    )
-    new = old.select("document_id", "row_index", typed.alias("data"))
-    return old, new.unionByName(new.filter("row_index = 0").withColumn("row_index", F.lit(1_000)))
+    old = fx.order_staged(t, fixed=True).select("document_id", "row_index", "data", "data_confidence")
+    typed = F.transform_values("data", lambda field, value: F.when(field == "Line Amount", "1,250.00").otherwise(value))
+    edited = F.when(F.col("row_index") == 1, typed).otherwise(F.col("data"))
+    places = F.when(F.col("row_index") == 0, F.array(F.lit(0), F.lit(1_000))).otherwise(F.array("row_index"))
+    return old, old.select("document_id", edited.alias("data"), F.explode(places).alias("row_index"))
 
 
 @query(

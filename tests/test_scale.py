@@ -157,7 +157,7 @@ def test_edits_fill_down_by_row_as_by_cell(spark):
         assert plain(review.fill_down_rows(rows, edits, scopes, apart, many)) == want
 
 
-@pytest.mark.parametrize("name", ["filled_down"])
+@pytest.mark.parametrize("name", ["filled_down", "surviving_confidence"])
 def test_rows_dealt_by_document_stay_where_they_are(spark, sf_dir, name):
     """Staged rows meet their edits, or their old state, without another shuffle of rows or cells."""
     import re
@@ -175,3 +175,18 @@ def test_rows_dealt_by_document_stay_where_they_are(spark, sf_dir, name):
         spark.conf.set(key, kept)
     dealt = re.findall(r"Exchange hashpartitioning\((document_id#[^)]*), \d+\)", ran)
     assert dealt and not [keys for keys in dealt if "," in keys]
+
+
+def test_scores_survive_for_rows_that_stand_twice_or_have_no_key(spark):
+    from paperfold.operators import review
+
+    shape = "document_id int, row_index int, data map<string,string>"
+    old = [(1, 0, {"x": "a", "y": None}, {"x": 0.1, "y": 0.2}), (1, 0, {"x": "b", "y": None}, {"x": 0.3}), (None, 0, {"x": "a"}, {"x": 0.4}), (2, 0, None, {"x": 0.5}), (3, 0, {"x": "a"}, None)]
+    new = [(1, 0, {"x": "a", "y": None}), (None, 0, {"x": "a"}), (2, 0, {"x": "a"}), (3, 0, {"x": "a"}), (4, 0, {"x": "a"}), (1, 0, {"x": "b"})]
+    before, after = spark.createDataFrame(old, shape + ", data_confidence map<string,double>"), spark.createDataFrame(new, shape)
+    kept = review.surviving_row_confidence(before, after)
+    got = sorted((r["document_id"] or 0, sorted(r["data"]), sorted(r["data_confidence"].items())) for r in kept.collect())
+    assert got == [
+        (0, ["x"], []), (1, ["x"], []), (1, ["x"], [("x", 0.3)]),
+        (1, ["x", "y"], []), (1, ["x", "y"], [("x", 0.1), ("y", 0.2)]), (2, ["x"], []), (3, ["x"], []), (4, ["x"], []),
+    ]
