@@ -190,3 +190,37 @@ def test_scores_survive_for_rows_that_stand_twice_or_have_no_key(spark):
         (0, ["x"], []), (1, ["x"], []), (1, ["x"], [("x", 0.3)]),
         (1, ["x", "y"], []), (1, ["x", "y"], [("x", 0.1), ("y", 0.2)]), (2, ["x"], []), (3, ["x"], []), (4, ["x"], []),
     ]
+
+
+def test_fitting_options_equal_counting_each_pair(spark, monkeypatch):
+    """Ids come sorted, each once, however texts, options and batches are cut."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from paperfold.operators import matching
+
+    monkeypatch.setattr(matching, "LANES", 1, raising=False)
+    monkeypatch.setattr(matching, "STRIP_OPTIONS", 7, raising=False)
+    monkeypatch.setattr(matching, "COUNTS", 30)
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(30)]
+    options = [(rng.choice([*range(40), None]), rng.sample([*words, "absent"], rng.randint(0, 14))) for _ in range(61)]
+    texts = [(d % 140, None if d % 17 == 0 else rng.sample([*words, "other"], rng.randint(0, 20))) for d in range(150)]
+    docs = spark.createDataFrame(texts, "doc_id int, words array<string>").coalesce(1)
+    given = spark.createDataFrame(options, "option_id int, words array<string>")
+
+    def want(text, those, threshold):
+        fit = {o for o, ws in those if ws and len(set(ws) & set(text or [])) >= max(1, -(-threshold * len(ws) // 1))}
+        return sorted(fit - {None}) + [None] * (None in fit)
+
+    for threshold in (0.0, 0.3, 0.5, 1.0, 1.5):
+        got = matching.with_hits(docs, given, threshold, only_ids=True).collect()
+        assert [(r.doc_id, r.hits) for r in got] == [(d, want(t, options, threshold)) for d, t in texts]
+    hinted = docs.withColumn("hint_ids", F.expr("CASE doc_id % 3 WHEN 0 THEN array(5, 3, 5) WHEN 1 THEN CAST(array() AS ARRAY<INT>) END"))
+    got = {(r.doc_id, tuple(r.topic_ids or ["none"])) for r in matching.suggest_topics(hinted, given).collect()}
+    assert got == {(d, ((3, 5), tuple(want(t, options, 0.5)) or ("none",), ("none",))[d % 3]) for d, t in texts}
+    tasks = [(rng.choice(["b", "a", "é", None]), *o) for o in options] + [("unasked", 1, [])]
+    found = matching.multi_task_classify(docs, spark.createDataFrame(tasks, "task string, option_id int, words array<string>"))
+    names = ["a", "b", "unasked", "é"]
+    assert [tuple(r) for r in found.collect()] == [(d, n, want(t, [o[1:] for o in tasks if o[0] == n], 0.5)) for d, t in texts for n in names]
