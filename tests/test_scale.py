@@ -224,3 +224,15 @@ def test_fitting_options_equal_counting_each_pair(spark, monkeypatch):
     found = matching.multi_task_classify(docs, spark.createDataFrame(tasks, "task string, option_id int, words array<string>"))
     names = ["a", "b", "unasked", "é"]
     assert [tuple(r) for r in found.collect()] == [(d, n, want(t, [o[1:] for o in tasks if o[0] == n], 0.5)) for d, t in texts for n in names]
+
+
+def test_repeated_words_of_options_take_little_room(spark, monkeypatch):
+    """More options than words still go by a dictionary: texts are not shuffled."""
+    from paperfold.operators import matching
+
+    monkeypatch.setattr(matching, "DICTIONARY_WORDS", 20)
+    options = spark.range(50).selectExpr("id AS option_id", "array('a', 'b') AS words")
+    docs = spark.createDataFrame([(1, ["a"]), (2, ["c"])], "doc_id int, words array<string>")
+    found = matching.with_hits(docs, options, 0.5, only_ids=True)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {r.doc_id: r.hits for r in found.collect()} == {1: list(range(50)), 2: []}
