@@ -166,12 +166,12 @@ def typed_cells(records: DataFrame, fields: DataFrame) -> DataFrame:
     """The long form of the typed view over ALL lineages at once.
 
     One row per declared (record, column): value text under the row's own
-    version, with NULL for a JSON null. Versions join as a small table; Spark
-    broadcasts it only when its size allows.
+    version, with NULL for a JSON null. Fields may be as many as records, and the
+    size of either side says little about its maps and names: they meet by shuffle.
     """
     by_version = fields.select(
         "schema_id", F.col("version").alias("schema_version_id"), "column", "name", "type"
-    )
+    ).hint("merge")
     return records.join(by_version, ["schema_id", "schema_version_id"]).select(
         *RECORD_COLUMNS, "schema_id", "column", "type", F.try_element_at("data", F.col("name")).alias("value")
     )

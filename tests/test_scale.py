@@ -236,3 +236,11 @@ def test_repeated_words_of_options_take_little_room(spark, monkeypatch):
     found = matching.with_hits(docs, options, 0.5, only_ids=True)
     assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
     assert {r.doc_id: r.hits for r in found.collect()} == {1: list(range(50)), 2: []}
+
+
+def test_fields_of_all_lineages_meet_their_records_by_shuffle(spark, sf_dir):
+    """A small file may hold many records, and more fields: neither goes through the driver."""
+    from __spark_entry__ import queries
+
+    planned = queries()["typed_cells_all_lineages"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in planned and "Broadcast" not in planned
