@@ -7,15 +7,16 @@ review and merging set-based; the wide form keeps one MAP per record.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperfold.functions.coerce import coerce_value_sql
-from paperfold.functions.ordering import along, hot_keys, ordered_index, previous_within, running_within
+from paperfold.functions.ordering import HOT_ROWS, along, hot_keys, ordered_index, previous_within, running_within
 from paperfold.operators.lineage import field_scope
-from paperfold.session import as_table
+from paperfold.session import as_table, let_go
 from paperfold.sources.elements import per_document
 
 MAX_EXTRACT_CHARS = 40_000
@@ -105,8 +106,10 @@ def parse_reply(replies: DataFrame, multirow: Column) -> DataFrame:
     `error` is set where the reply is missing or no JSON object; such a reply
     must not be taken for one without values.
     """
-    object_ = F.from_json("reply_json", "map<string,string>").isNotNull()
     reply = replies.withColumn("__reply", F.from_json("reply_json", REPLY_SCHEMA))
+    # Where a part was read, the reply is an object; only others are read again to see.
+    read = reduce(Column.__or__, [F.col(f"__reply.{part}").isNotNull() for part in ("values", "confidence", "document", "rows")])
+    object_ = (F.col("reply_json").rlike(r"^\s*\{") & read) | F.from_json("reply_json", "map<string,string>").isNotNull()
     nothing = F.create_map().cast("map<string,string>")
 
     def scores(column: Column) -> Column:
@@ -189,16 +192,17 @@ def merge_header_chunks(cells: DataFrame) -> DataFrame:
     )
 
 
-def concat_chunk_rows(rows: DataFrame) -> DataFrame:
+def concat_chunk_rows(rows: DataFrame, hot: DataFrame | None = None) -> DataFrame:
     """Rows of all chunks in order (document_id, chunk_no, pos, values, ...).
 
     A row whose every value is NULL says "no line items here" and is dropped.
+    `hot`: documents with very many rows, where the caller knows them (see `hot_keys`).
     """
     informative = F.exists(F.map_values("values"), lambda v: v.isNotNull())
     # One chunk of a hot document may itself be large, so slices follow the position too.
     coarse = F.struct("chunk_no", F.floor(F.col("pos") / ROW_SLICE).alias("part"))
     return ordered_index(
-        rows.filter(informative), ["document_id"], ["chunk_no", "pos"], coarse, "row_index"
+        rows.filter(informative), ["document_id"], ["chunk_no", "pos"], coarse, "row_index", hot
     ).drop("chunk_no", "pos")
 
 
@@ -268,11 +272,13 @@ def extract_documents(
     A document goes to the model in parts; header values of its parts are
     merged, rows follow each other. A document of which any part failed is an
     error as a whole: it never becomes a record with something missing. Replies
-    are stored, so no part is sent twice. docs: document_id and the text.
+    are stored as read, so no part is sent, and no reply read, twice. docs: document_id
+    and the text.
     """
     asked = split_long(docs, text, limit).withColumnRenamed("part", "prompt")
-    replies = as_table(model_map(asked, make_client).drop("prompt").withColumnRenamed("error", "call_error"), "replies")
-    parsed = parse_reply(replies, F.lit(True))
+    replies = model_map(asked, make_client).drop("prompt").withColumnRenamed("error", "call_error")
+    parsed = as_table(parse_reply(replies, F.lit(True)), "replies")
+    let_go(docs.sparkSession)
     problem = F.coalesce("call_error", "error")
     errors = parsed.filter(problem.isNotNull()).groupBy("document_id").agg(F.min_by(problem, "chunk_no").alias("error"))
     good = parsed.join(errors.select("document_id"), "document_id", "left_anti")
@@ -291,8 +297,11 @@ def extract_documents(
         F.coalesce("__values", F.create_map().cast("map<string,string>")).alias("values"),
         F.coalesce("__scores", F.create_map().cast("map<string,double>")).alias("confidence"),
     )
-    rows = concat_chunk_rows(reply_rows(good, ["document_id", "chunk_no"]))
-    return flatten(header, rows), errors
+    # Counted by replies, before rows are taken out of them.
+    many = parsed.groupBy("document_id").agg(F.sum(F.size("rows")).alias("n"))
+    hot = many.filter(F.col("n") > HOT_ROWS).select("document_id")
+    rows = concat_chunk_rows(reply_rows(good, ["document_id", "chunk_no"]), hot)
+    return flatten(header, rows, hot), errors
 
 
 def staged_cells(records: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import tempfile
@@ -80,3 +81,25 @@ def as_table(df, purpose: str):
     path = shared_folder(df.sparkSession, purpose)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def let_go(spark: SparkSession) -> None:
+    """Frees the disk of shuffles that no plan in use refers to.
+
+    Spark removes them once the driver has collected the plans they belong to, which in a
+    driver with room left may be never. For a step that leaves much behind.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+# Rows that are sent to every task to pick out others: about 120 MB at most.
+SENT_ROWS = 2_000_000
+
+
+def among(df, wanted, on: list[str], most: int | None = None):
+    """The rows of `df` whose `on` are in the stored table `wanted`, which is sent to all
+    tasks if its rows, counted first, are few enough: then `df` is not shuffled."""
+    few = wanted.count() <= (SENT_ROWS if most is None else most)
+    kept = wanted.select(*on)
+    return df.join(kept.hint("broadcast") if few else kept, on, "left_semi")

@@ -244,3 +244,33 @@ def test_fields_of_all_lineages_meet_their_records_by_shuffle(spark, sf_dir):
 
     planned = queries()["typed_cells_all_lineages"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in planned and "Broadcast" not in planned
+
+
+def test_replies_are_read_once(spark):
+    """Rows and header values come from stored replies as read, however often they are used."""
+    import json
+
+    from paperfold.operators import extraction
+
+    ask = lambda: lambda prompt: (json.dumps({"document": {"values": {"a": "x"}}, "rows": [{"values": {"w": w}} for w in prompt.split()]}), "!" not in prompt)
+    docs = spark.createDataFrame([(1, "a b c d e"), (2, "f ! g"), (3, "")], "document_id int, text string")
+    records, errors = extraction.extract_documents(docs, ask, limit=4)
+    for df in (records, errors):
+        assert "from_json" not in df._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.document_id, r.row_index, r.data.get("w")) for r in records.collect()) == [(1, i, w) for i, w in enumerate("abcde")] + [(3, 0, None)]
+    assert [r.document_id for r in errors.collect()] == [2]
+
+
+def test_only_an_object_is_a_reply(spark):
+    from pyspark.sql import functions as F
+
+    from paperfold.operators import extraction
+
+    texts = [
+        '{"values":{"a":"1"}}', ' \n{"rows":[]}', "{}", '{"other":1}', '[{"values":{"a":"1"}}]', "[]", "1", '"x"', "", "x", None, "null",
+        '{"values":{"a":"1"}', '{"values":{"a":"1"}} x', '{"values":3}', '{"values":{"a":{"b":1}},"rows":"no"}', '{"document":{"values":{}},"rows":[1]}', "{'values':{}}",
+    ]
+    replies = spark.createDataFrame(list(enumerate(texts)), "id int, reply_json string")
+    failed = {r.id: r.error is not None for r in extraction.parse_reply(replies, F.lit(True)).collect()}
+    objects = replies.select("id", F.from_json("reply_json", "map<string,string>").isNotNull().alias("sound")).collect()
+    assert failed == {r.id: not r.sound for r in objects}
